@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hilbert, langid, neardup, quality, tiff, token_counts
+from . import bpe, chat, decontam, hilbert, html_text, langid, neardup, quality, tiff, token_counts
 from .common import read
 
 
@@ -41,6 +41,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read(spark, sf_dir, "conversations"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -54,8 +62,8 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_language, op4_near_duplicates, op5_decontaminate, op8_token_counts, op9_hilbert_shards, op10_tiff_media)}
+    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_language, op4_near_duplicates, op5_decontaminate, op6_tool_calls, op7_html_text, op8_token_counts, op9_hilbert_shards, op10_tiff_media)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_tool_calls": chat.ORACLE_SQL}

@@ -8,38 +8,38 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: What the filters need of the four platforms' payloads, read in one pass.
+PAYLOAD = (
+    "repository struct<clone_url string>, ref string, head_commit struct<id string, author struct<username string, name string>>, "
+    "pull_request struct<number string, head struct<ref string, sha string>>, project struct<git_http_url string>, checkout_sha string, after string, "
+    "user struct<username string>, object_attributes struct<iid string, source_branch string>, "
+    "repoUrl string, branch string, commitId string, author string, mrId string"
+)
+
+
 def parsed(events: DataFrame) -> DataFrame:
     """Events with repo_url, branch, commit_id, author and request_id taken from a payload of their platform; unknown platforms read as
     GENERIC; events without a repository are dropped. Works on streams."""
-    j = lambda path: F.get_json_object("payload", f"$.{path}")
+    p = lambda path: F.col(f"_p.{path}")
     heads = lambda c: F.when(c.startswith("refs/heads/"), F.substring(c, F.lit(12), F.length(c)))
-    platform = F.upper("platform")
-    is_ = lambda name: F.coalesce(platform == name, F.lit(False))
-    known = {
-        "GITHUB": {
-            "repo_url": j("repository.clone_url"),
-            "branch": F.coalesce(j("pull_request.head.ref"), heads(j("ref"))),
-            "commit_id": F.coalesce(j("pull_request.head.sha"), j("head_commit.id")),
-            "author": F.coalesce(j("head_commit.author.username"), j("head_commit.author.name")),
-            "request_id": j("pull_request.number"),
-        },
-        "GITLAB": {
-            "repo_url": j("project.git_http_url"),
-            "branch": F.when(j("object_attributes.iid").isNotNull(), j("object_attributes.source_branch")).otherwise(F.coalesce(heads(j("ref")), j("ref"))),
-            "commit_id": F.coalesce(j("checkout_sha"), j("after")),
-            "author": j("user.username"),
-            "request_id": j("object_attributes.iid"),
-        },
-        "GITEE": {"repo_url": j("project.git_http_url"), "branch": heads(j("ref")), "commit_id": j("after"), "author": F.lit(None).cast("string"), "request_id": j("pull_request.number")},
+    in_gitlab_request = p("object_attributes.iid").isNotNull()
+    #             GITHUB, GITLAB, GITEE, GENERIC
+    fields = {
+        "repo_url": (p("repository.clone_url"), p("project.git_http_url"), p("project.git_http_url"), p("repoUrl")),
+        "branch": (
+            F.coalesce(p("pull_request.head.ref"), heads(p("ref"))),
+            F.when(in_gitlab_request, p("object_attributes.source_branch")).otherwise(F.coalesce(heads(p("ref")), p("ref"))),
+            heads(p("ref")),
+            F.coalesce(p("branch"), F.lit("main")),
+        ),
+        "commit_id": (F.coalesce(p("pull_request.head.sha"), p("head_commit.id")), F.coalesce(p("checkout_sha"), p("after")), p("after"), p("commitId")),
+        "author": (F.coalesce(p("head_commit.author.username"), p("head_commit.author.name")), p("user.username"), F.lit(None).cast("string"), p("author")),
+        "request_id": (p("pull_request.number"), p("object_attributes.iid"), p("pull_request.number"), p("mrId")),
     }
-    generic = {"repo_url": j("repoUrl"), "branch": F.coalesce(j("branch"), F.lit("main")), "commit_id": j("commitId"), "author": j("author"), "request_id": j("mrId")}
-    out = events
-    for name, fallback in generic.items():
-        c = fallback
-        for k, fields in known.items():
-            c = F.when(is_(k), fields[name]).otherwise(c)
-        out = out.withColumn(name, c)
-    return out.filter(F.col("repo_url").isNotNull())
+    platform = F.upper("platform")
+    out = events.withColumn("_p", F.from_json("payload", PAYLOAD))
+    columns = [F.when(platform == "GITHUB", a).when(platform == "GITLAB", b).when(platform == "GITEE", c).otherwise(d).alias(name) for name, (a, b, c, d) in fields.items()]
+    return out.select(*events.columns, *columns).filter(F.col("repo_url").isNotNull())
 
 
 def branch_matches(branch: Column, patterns: list[str], legacy_glob: bool = False) -> Column:

@@ -308,3 +308,75 @@ def cascade_delete(spark, d):
 @query("line_labels", MERGED_SQL + "SELECT task_id, file_path, rule_code, line_label FROM merged WHERE occurrence_count > 1")
 def line_labels(spark, d):
     return merged(spark, d).filter("occurrence_count > 1").select("task_id", "file_path", "rule_code", T.line_label(F.col("line_points")).alias("line_label"))
+
+
+@query("checker_enablement", "WITH c AS (SELECT * FROM (VALUES ('naming', TRUE), ('security', TRUE), ('ai_design', FALSE), ('other', NULL)) t(checker_code, default_enabled)), s AS (SELECT * FROM (VALUES ('naming', FALSE), ('security', NULL), ('ai_design', TRUE)) t(checker_code, on_)) SELECT checker_code, default_enabled, coalesce(on_, default_enabled, TRUE) AS is_enabled FROM c LEFT JOIN s USING (checker_code)")
+def checker_enablement(spark, d):
+    from ..operators import checkers
+    from ..schemas import CHECKER_CONFIG
+
+    known = spark.createDataFrame([("naming", True), ("security", True), ("ai_design", False), ("other", None)], "checker_code string, default_enabled boolean")
+    config = spark.createDataFrame([("naming", False, None, 1), ("security", None, None, 2), ("ai_design", True, None, 3)], CHECKER_CONFIG)
+    return checkers.enabled(known, config)
+
+
+@query(
+    "ai_findings",
+    "SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'AI_REVIEW_SUGGESTION' ELSE 'AI_SEMANTIC' END AS rule_code, CASE WHEN event_id % 5 = 0 THEN 'INFO' WHEN event_id % 2 = 0 THEN 'MAJOR' ELSE 'BLOCKER' END AS level, CASE WHEN event_id % 5 = 0 THEN 'suggestion' ELSE event_type END AS title, CASE WHEN event_id % 5 = 0 THEN 1 ELSE (event_id % 70)::INT END AS line FROM events",
+)
+def ai_findings(spark, d):
+    from ..operators import reviews
+
+    i = F.col("event_id")
+    one = F.concat(F.lit('Found: [{"level":"'), F.when(i % 2 == 0, "warning").otherwise("blocker"), F.lit('","title":"'), F.col("event_type"), F.lit('","line":'), (i % 70).cast("string"), F.lit("}] ok"))
+    answers = tables.read(spark, d, "events").select(i.alias("id"), F.when(i % 5 == 0, "use fewer calls").otherwise(one).alias("answer"))
+    return reviews.findings(answers).select("id", "rule_code", "level", "title", "line")
+
+
+AI_SQL = "i AS (SELECT event_id // 40 AS task_id, ts AS ai_at, CASE WHEN event_id % 3 = 0 THEN 'do' WHEN event_id % 3 = 1 THEN ' ' END AS s FROM events WHERE event_id % 3 < 2)"
+
+
+def reviewed(spark, d):
+    i = F.col("event_id")
+    return tables.read(spark, d, "events").filter(i % 3 < 2).select(F.floor(i / 40).alias("task_id"), F.col("ts").alias("ai_suggestion_at"), F.when(i % 3 == 0, "do").otherwise(" ").alias("ai_suggestion"))
+
+
+@query("last_review", f"WITH {AI_SQL} SELECT task_id, max(ai_at) AS last_ai, count(*) FILTER (trim(s) <> '') AS enhanced FROM i GROUP BY 1")
+def last_review(spark, d):
+    from ..operators import reviews
+
+    return reviews.last_review(reviewed(spark, d))
+
+
+@query("stale_reports", f"WITH {AI_SQL}, r AS (SELECT event_id AS task_id, 'r' || event_id AS path, ts AS modified FROM events WHERE event_id < 200) SELECT task_id, path FROM r JOIN (SELECT task_id, max(ai_at) AS last_ai FROM i GROUP BY 1) USING (task_id) WHERE modified < last_ai")
+def stale_reports(spark, d):
+    from ..operators import reviews
+
+    r = tables.read(spark, d, "events").filter("event_id < 200").select(F.col("event_id").alias("task_id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("modified"))
+    return reviews.stale_reports(r, reviewed(spark, d))
+
+
+@query("id_lists", "WITH r AS (SELECT c_custkey AS k, c_custkey || ', ' || (c_custkey + 1) || ',x,,' || c_custkey AS ids FROM customer) SELECT k, k AS id FROM r UNION ALL SELECT k, k + 1 FROM r")
+def id_lists(spark, d):
+    from ..operators import reviews
+
+    k = F.col("c_custkey").cast("string")
+    rows = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.concat(k, F.lit(", "), (F.col("c_custkey") + 1).cast("string"), F.lit(",x,,"), k).alias("ids"))
+    return reviews.id_list(rows, "ids").select("k", "id")
+
+
+@query("prompt_lines", "WITH " + tables.LINES_SQL + " SELECT task_id, file_path, string_agg(line, chr(10) ORDER BY line_no) AS prompt FROM lines WHERE line_no <= 3 GROUP BY ALL")
+def prompt_lines(spark, d):
+    from ..operators import reviews
+
+    return reviews.prompt(tables.lines(tables.files(spark, d)), 3)
+
+
+@query(
+    "gate_page",
+    f"WITH g AS ({gate_sql(MERGED_SQL, 'merged')}), {tables.TASKS_SQL}, newest AS (SELECT id AS task_id, created_at FROM tasks WHERE id < 300 ORDER BY created_at DESC, id DESC LIMIT 10) SELECT task_id, created_at, coalesce(score, 0) AS score, coalesce(grade, 'POOR') AS grade, coalesce(passed, FALSE) AS passed FROM newest LEFT JOIN g USING (task_id)",
+)
+def gate_page(spark, d):
+    newest = tables.tasks(spark, d).filter("id < 300").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10).select(F.col("id").alias("task_id"), "created_at")
+    verdicts = quality.with_missing_tasks(quality.evaluate(merged(spark, d)), newest)
+    return newest.join(verdicts.select("task_id", "score", "grade", "passed"), "task_id")

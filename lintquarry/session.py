@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: What the engine wants of a session; the cluster's own settings for memory, cores and shuffle partitions stand beside it.
@@ -24,3 +28,17 @@ def session(master: str | None = None, app: str = "lintquarry", **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once a session, whatever their own search path is."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lintquarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lintquarry-")) / "lintquarry_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._lintquarry_shipped = True

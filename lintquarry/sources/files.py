@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
 
 FILES = "task_id bigint, file_path string, content string"
 
@@ -49,6 +50,7 @@ def archives(zips: DataFrame, include_tests: bool = False, suffix: str = ".java"
                 found = list(_entries(data or b"", suffix))
                 yield pa.RecordBatch.from_arrays([pa.array([task] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], ["task_id", "file_path", "content"])
 
+    ship(zips.sparkSession)
     rows = zips.select(F.col("task_id").cast("bigint"), "content").mapInArrow(entries, "task_id bigint, file_path string, content binary")
     return decoded(wanted(rows, include_tests))
 

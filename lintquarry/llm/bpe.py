@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import kept, ship
 
 #: Determinised steps that a worker keeps at most; at the bound all states are dropped and made again as needed.
-MAX_STEPS = 1 << 19
+MAX_STEPS = 1 << 20
 #: Pre-tokens whose output a worker remembers at most, and the longest remembered.
 MAX_WORDS, WORD_CHARS = 1 << 19, 48
 
@@ -65,18 +66,33 @@ class Transducer:
                     self.token_at.append(-1)
                 node = after
             self.token_at[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
-        self.states: list[tuple] = [start]
+        """Drop all states. A state is kept as packed integers, a step as one integer: millions of them must fit a worker."""
+        start = _packed([(0, -1, ())])
+        self.states: list[bytes] = [start]
         self.number = {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple]]] = [{}]
-        self.finals: dict[int, tuple] = {0: ()}
-        self.n_steps = 0
+        self.steps: dict[int, int] = {}
+        self.outputs: list[tuple] = [()]
+        self.output_number: dict[tuple, int] = {(): 0}
+        self.ends: dict[int, tuple] = {0: ()}
+
+    def _state(self, packed: bytes) -> int:
+        n = self.number.get(packed)
+        if n is None:
+            n = self.number[packed] = len(self.states)
+            self.states.append(packed)
+        return n
+
+    def _end(self, state: int) -> tuple:
+        """What is still to emit if the text ends in a state."""
+        if (got := self.ends.get(state)) is None:
+            got = self.ends[state] = next(p for node, _, p in _readings(self.states[state]) if node == 0)
+        return got
 
     def follows(self, last: int, token: int) -> bool:
         """Whether token may stand after last (-1: at the beginning)."""
@@ -84,10 +100,11 @@ class Transducer:
             if token not in self.whole:
                 self.whole[token] = merged(self.ranks, self.bytes_of[token]) == [self.bytes_of[token]]
             return self.whole[token]
-        if (got := self.pairs.get((last, token))) is None:
+        key = last << 32 | token
+        if (got := self.pairs.get(key)) is None:
             if len(self.pairs) >= MAX_STEPS:
                 self.pairs.clear()
-            got = self.pairs[last, token] = self._apart(last, token)
+            got = self.pairs[key] = self._apart(last, token)
         return got
 
     def _spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
@@ -121,10 +138,10 @@ class Transducer:
                     return False
         return True
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """Determinise one step: move every reading, emit what all agree on."""
+    def _step(self, state: int, byte: int) -> int:
+        """Determinise one step: move every reading, emit what all agree on. The step: next state and number of the output."""
         moved = []
-        for node, last, pending in self.states[state]:
+        for node, last, pending in _readings(self.states[state]):
             child = self.children[node].get(byte)
             if child is None:
                 continue
@@ -142,41 +159,52 @@ class Transducer:
             while k < agreed and p[k] == first[k]:
                 k += 1
             agreed = k
-        after = tuple(sorted((node, last, p[agreed:]) for node, last, p in moved))
-        if (n := self.number.get(after)) is None:
-            n = self.number[after] = len(self.states)
-            self.states.append(after)
-            self.steps.append({})
-            self.finals[n] = next(p for node, _, p in after if node == 0)
-        got = self.steps[state][byte] = (n, first[:agreed])
-        self.n_steps += 1
+        after = self._state(_packed(sorted((node, last, p[agreed:]) for node, last, p in moved)))
+        out = first[:agreed]
+        n = self.output_number.get(out)
+        if n is None:
+            n = self.output_number[out] = len(self.outputs)
+            self.outputs.append(out)
+        got = self.steps[state << 8 | byte] = after << 32 | n
         return got
 
     def encode(self, data: bytes) -> list[int]:
-        if self.n_steps > MAX_STEPS:
+        if len(self.steps) > MAX_STEPS:
             self._reset()
         out: list[int] = []
-        state, steps, most = 0, self.steps, self.n_steps + MAX_STEPS
+        state, get, outputs = 0, self.steps.get, self.outputs
         for byte in data:
-            step = steps[state].get(byte)
+            step = get(state << 8 | byte)
             if step is None:
-                if self.n_steps > most:  # one pre-token has filled the table: keep only the state it is in
+                if len(self.steps) > 2 * MAX_STEPS:  # one pre-token has filled the table: keep only the state it is in
                     here = self.states[state]
                     self._reset()
-                    steps, most = self.steps, MAX_STEPS
-                    state = self.number.setdefault(here, len(self.states))
-                    if state:
-                        self.states.append(here)
-                        steps.append({})
-                        self.finals[state] = next(p for node, _, p in here if node == 0)
+                    state, get, outputs = self._state(here), self.steps.get, self.outputs
                 step = self._step(state, byte)
-            state, emitted = step
+            state = step >> 32
+            emitted = step & 0xFFFFFFFF
             if emitted:
-                out += emitted
-        out += self.finals[state]
+                out += outputs[emitted]
+        out += self._end(state)
         return out
 
 
+def _packed(readings: list[tuple]) -> bytes:
+    flat = array("i")
+    for node, last, pending in readings:
+        flat.extend((node, last, len(pending), *pending))
+    return flat.tobytes()
+
+
+def _readings(packed: bytes) -> list[tuple]:
+    flat, at, out = array("i", packed), 0, []
+    while at < len(flat):
+        n = flat[at + 2]
+        out.append((flat[at], flat[at + 1], tuple(flat[at + 3 : at + 3 + n])))
+        at += 3 + n
+    return out
+
+
 # ---------------------------------------------------------------- UTF-8
 
 
@@ -267,21 +295,26 @@ class Codec:
 
         self.transducer = Transducer(ranks_of(data))
         self.split = regex.compile(pattern).findall
+        # two generations: when the younger is full the elder goes, but words still in use have moved to the younger
         self.words: dict[str, tuple[int, ...]] = {}
+        self.elder: dict[str, tuple[int, ...]] = {}
         self.decoder = StreamingDecoder(self.transducer.bytes_of)
         self.decimal = {i: str(i) for i in self.transducer.bytes_of}
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        words, get, extend = self.words, self.words.get, out.extend
+        get, extend = self.words.get, out.extend
         for word in self.split(text or ""):
             ids = get(word)
             if ids is None:
-                ids = tuple(self.transducer.encode(word.encode("utf-8", "replace")))
+                ids = self.elder.get(word)
+                if ids is None:
+                    ids = tuple(self.transducer.encode(word.encode("utf-8", "replace")))
                 if len(word) <= WORD_CHARS:
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
-                    words[word] = ids
+                    if len(self.words) >= MAX_WORDS // 2:
+                        self.elder, self.words = self.words, {}
+                        get = self.words.get
+                    self.words[word] = ids
             extend(ids)
         return out
 

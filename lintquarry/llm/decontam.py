@@ -146,7 +146,7 @@ def searchers(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> li
 def _searcher(sent, key: str, p: Params):
     @F.arrow_udf("array<struct<item_id:bigint,distance:int,end_word:int>>")
     def search(texts: pa.Array) -> pa.Array:
-        index, ids = kept(f"decontam-{key}", key, lambda: Index(sent.value[1], p)), sent.value[0]
+        index, ids = kept("decontam", key, lambda: Index(sent.value[1], p)), sent.value[0]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32())]))
         rows = []
         for k in range(0, len(texts), 128):
@@ -168,5 +168,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents that hold no item, with their columns."""
     for c in searchers(docs, benchmark, p):
-        docs = docs.withColumn("_leaks", F.size(c)).filter("_leaks = 0").drop("_leaks")
+        docs = docs.withColumn("__lintquarry_leaks", F.size(c)).filter("__lintquarry_leaks = 0").drop("__lintquarry_leaks")
     return docs

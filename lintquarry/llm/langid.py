@@ -179,4 +179,4 @@ def identify_documents(docs: DataFrame, p: Params = Params()) -> DataFrame:
 def keep_known(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents in a language that was learned, with their columns."""
     identify = identifier(docs.sparkSession, fit(docs, p))
-    return docs.withColumn("_lang_found", identify("text")).filter(~F.col("_lang_found.rejected")).drop("_lang_found")
+    return docs.withColumn("__lintquarry_language", identify("text")).filter(~F.col("__lintquarry_language.rejected")).drop("__lintquarry_language")

@@ -60,11 +60,21 @@ def features(texts: list[str | None], p: Params):
         a, b = np.searchsorted(s, starts), np.searchsorted(s, ends)
         layers.append((words, a, b))
         # two more learned vectors: this word is the one before again, or it isn't
-        layers.append(((words[1:] == words[:-1]).astype(np.int64), a, np.maximum(a, b - 1)))
+        layers.append(((words[1:] == words[:-1]).astype(np.int64), a, b - 1))
         for n in p.orders:
             if len(c) >= n:
-                layers.append((_ngram_buckets(c, n, p.buckets), starts, np.maximum(starts, ends - n + 1)))
-        yield first, end, layers
+                layers.append((_ngram_buckets(c, n, p.buckets), starts, ends - n + 1))
+        yield first, end, [_bounded(*layer) for layer in layers]
+
+
+def _bounded(buckets: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts too short for a feature have an empty range within the layer."""
+    a = np.minimum(a, len(buckets))
+    return buckets, a, np.clip(b, a, len(buckets))
+
+
+#: A name that no table of documents has.
+OWN = "__lintquarry_quality_score"
 
 
 class Model:
@@ -180,4 +190,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: Params = Params()) ->
 def keep_good(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns."""
     score = scorer(docs.sparkSession, fit(docs, labels, p=p))
-    return docs.withColumn("_quality_score", score("text")).filter(F.col("_quality_score") >= p.threshold).drop("_quality_score")
+    return docs.withColumn(OWN, score("text")).filter(F.col(OWN) >= p.threshold).drop(OWN)

@@ -77,11 +77,11 @@ def severity_order() -> list:
     return [F.col("severity").desc(), F.col("id").asc()]
 
 
-def daily_trend(tasks: DataFrame, as_of: str, days: int = 14, newest: int = 200) -> DataFrame:
+def daily_trend(tasks: DataFrame, as_of: str, days: int = 14, most: int = 200) -> DataFrame:
     """Tasks created on each of the days up to as_of, among the newest tasks; days without any have 0. max_n is the highest
     number, at least 1."""
     spark = tasks.sparkSession
-    latest = tasks.filter(F.to_date("created_at") <= F.lit(as_of).cast("date")).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(newest)
+    latest = newest(tasks.filter(F.to_date("created_at") <= F.lit(as_of).cast("date")), most)
     n = latest.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     last = F.lit(as_of).cast("date")
     calendar = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
@@ -89,10 +89,13 @@ def daily_trend(tasks: DataFrame, as_of: str, days: int = 14, newest: int = 200)
     return out.withColumn("max_n", F.greatest(F.lit(1), F.max("n").over(Window.partitionBy(F.lit(1)))))  # one row a day: the calendar bounds the window
 
 
-def dashboard_totals(tasks: DataFrame, counts: DataFrame, newest: int = 200) -> DataFrame:
-    """Sums over the newest tasks: their number, those that succeeded, and their issues by level."""
-    latest = tasks.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(newest)
-    joined = latest.join(counts.withColumnRenamed("task_id", "id"), "id", "left")
+def newest(tasks: DataFrame, n: int = 200) -> DataFrame:
+    return tasks.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
+
+
+def dashboard_totals(tasks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Sums over tasks (the newest ones): their number, those that succeeded, and their issues by level."""
+    joined = tasks.join(counts.withColumnRenamed("task_id", "id"), "id", "left")
     sums = [F.sum(F.coalesce(F.col(v.lower()), F.lit(0))).alias(v.lower()) for v in LEVELS]
     return joined.agg(F.count(F.lit(1)).alias("tasks"), F.count_if(F.col("status") == "SUCCESS").alias("succeeded"), *sums)
 

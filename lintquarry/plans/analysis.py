@@ -11,8 +11,7 @@ from ..operators import advisories, duplicates, environment, graph, line_rules,
 from ..sources import build_files, tables
 from .registry import query
 
-N = 30  # tokens of a window in the registered queries; the operator's default is 100
-PLACES = 20  # fingerprints of more places are left out of pairs, on both sides
+N = 100  # tokens of a window
 
 WINDOWS_SQL = (
     "WITH "
@@ -23,14 +22,14 @@ w AS (SELECT file_path, idx::INT AS idx, md5(array_to_string(t[idx + 1:idx + {N}
 )
 PAIRS_SQL = (
     WINDOWS_SQL
-    + f""", rep AS (SELECT * FROM w WHERE fingerprint IN (SELECT fingerprint FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND {PLACES})),
+    + f""", rep AS (SELECT * FROM w WHERE fingerprint IN (SELECT fingerprint FROM w GROUP BY 1 HAVING count(*) > 1)),
 pairs AS (SELECT a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b.idx AS idx_b, a.fingerprint FROM rep a JOIN rep b USING (fingerprint)
   WHERE a.file_path < b.file_path OR (a.file_path = b.file_path AND b.idx - a.idx >= {N}))"""
 )
 
 
 def windows(spark, d):
-    return duplicates.windows(tables.files(spark, d).withColumn("content", F.col("content")), N)
+    return duplicates.windows(tables.files(spark, d), N)
 
 
 @query("dup_windows", WINDOWS_SQL + " SELECT file_path, idx, fingerprint FROM w")
@@ -40,12 +39,12 @@ def dup_windows(spark, d):
 
 @query("dup_pairs", PAIRS_SQL + " SELECT * FROM pairs")
 def dup_pairs(spark, d):
-    return duplicates.pairs(windows(spark, d), N, PLACES)
+    return duplicates.pairs(windows(spark, d), N)
 
 
 @query("dup_chain_heads", PAIRS_SQL + " SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.file_a = p.file_a AND q.file_b = p.file_b AND q.idx_a = p.idx_a - 1 AND q.idx_b = p.idx_b - 1)")
 def dup_chain_heads(spark, d):
-    return duplicates.chain_heads(duplicates.pairs(windows(spark, d), N, PLACES))
+    return duplicates.chain_heads(duplicates.pairs(windows(spark, d), N))
 
 
 @query(
@@ -381,7 +380,7 @@ IMPORT_LINE = "CASE event_id % 4 WHEN 0 THEN 'import a.b' || event_id WHEN 1 THE
 @query(
     "import_only_purge",
     f"""WITH l AS (SELECT 'f' || (event_id // 100) AS file_path, (event_id % 100 + 1)::INT AS line_no, {IMPORT_LINE} AS line FROM events),
-r AS (SELECT event_id // 8 AS id, 'f' || (event_id // 100) AS file_path, (event_id % 90 + 1)::INT AS s, (event_id % 90 + 3)::INT AS e FROM events WHERE event_id % 4 = 0),
+r AS (SELECT event_id // 2 AS id, 'f' || (event_id // 100) AS file_path, (event_id % 90 + 1)::INT AS s, (event_id % 90 + 3)::INT AS e FROM events),
 j AS (SELECT id, line FROM r JOIN l ON l.file_path = r.file_path AND line_no BETWEEN s AND e),
 g AS (SELECT id, bool_and(line = '' OR starts_with(line, 'import ') OR starts_with(line, 'package ') OR starts_with(line, '//')) AS p, bool_or(starts_with(line, 'import ')) AS i FROM j GROUP BY 1)
 SELECT id FROM g WHERE p AND i AND id IN (SELECT id FROM r GROUP BY 1 HAVING count(*) >= 2)""",
@@ -392,7 +391,7 @@ def import_only_purge(spark, d):
     line = F.when(i % 4 == 0, F.concat(F.lit("import a.b"), i.cast("string"))).when(i % 4 == 1, "// note").when(i % 4 == 2, "").when(i % 3 == 0, "int x;").otherwise("package p;")
     path = F.concat(F.lit("f"), F.floor(i / 100).cast("string"))
     lines = e.select(path.alias("file_path"), (i % 100 + 1).cast("int").alias("line_no"), line.alias("line"))
-    ranges = e.filter(i % 4 == 0).select(F.floor(i / 8).alias("id"), path.alias("file_path"), (i % 90 + 1).cast("int").alias("s"), (i % 90 + 3).cast("int").alias("e"))
+    ranges = e.select(F.floor(i / 2).alias("id"), path.alias("file_path"), (i % 90 + 1).cast("int").alias("s"), (i % 90 + 3).cast("int").alias("e"))
     return migrate.import_only(ranges, lines)
 
 

@@ -156,12 +156,12 @@ def interval_coalesce(spark, d):
 @query(
     "context_windows",
     FLAT_SQL.rstrip()
-    + ", iv AS (SELECT task_id, file_path, rule_code, greatest(1, line_start - 2) AS s, least(150, line_end + 2) AS e FROM issues WHERE line_end <= 150)"
+    + ", iv AS (SELECT task_id, file_path, rule_code, greatest(1, line_start - 2) AS s, least(205, line_end + 2) AS e FROM issues)"
     + ISLANDS.format(src="iv")
     + " SELECT task_id, file_path, rule_code, s, e, coalesce(s - lag(e) OVER (PARTITION BY task_id, file_path, rule_code ORDER BY s) - 1, 0) AS gap FROM merged_iv",
 )
 def context_windows(spark, d):
-    points = flat(spark, d).filter("line_end <= 150").select(*govern.GROUP, F.col("line_start").alias("s"), F.col("line_end").alias("e"), F.lit(150).alias("total"))
+    points = flat(spark, d).select(*govern.GROUP, F.col("line_start").alias("s"), F.col("line_end").alias("e"), F.lit(205).alias("total"))
     return intervals.context_windows(points, govern.GROUP, 2)
 
 
@@ -221,12 +221,13 @@ def trend_14d(spark, d):
 @query(
     "dashboard_totals",
     FLAT_SQL.rstrip()
-    + f", {tables.TASKS_SQL}, newest AS (SELECT * FROM tasks WHERE id < 100 ORDER BY created_at DESC, id DESC LIMIT 200), c AS ({counts_sql('issues')}) SELECT count(*) AS tasks, count(*) FILTER (status = 'SUCCESS') AS succeeded, "
+    + f", {tables.TASKS_SQL}, newest AS (SELECT * REPLACE (id % 250 AS id) FROM (SELECT * FROM tasks ORDER BY created_at DESC, id DESC LIMIT 200)), c AS ({counts_sql('issues')}) SELECT count(*) AS tasks, count(*) FILTER (status = 'SUCCESS') AS succeeded, "
     + ", ".join(f"sum(coalesce({v.lower()}, 0))::BIGINT AS {v.lower()}" for v in C.LEVELS)
     + " FROM newest LEFT JOIN c ON c.task_id = newest.id",
 )
 def dashboard_totals(spark, d):
-    return issues.dashboard_totals(tables.tasks(spark, d).filter("id < 100"), quality.level_pivot(flat(spark, d)))
+    newest = issues.newest(tables.tasks(spark, d), 200).withColumn("id", F.col("id") % 250)  # numbered as the hits number theirs
+    return issues.dashboard_totals(newest, quality.level_pivot(flat(spark, d)))
 
 
 @query(
@@ -238,9 +239,9 @@ def top_issues(spark, d):
     return issues.top_issues(merged(spark, d)).select("task_id", "level", "file_path", "line_start", "rule_code", "place")
 
 
-@query("report_order", MERGED_SQL + "SELECT task_id, level, file_path, line_start FROM merged WHERE task_id = 3 ORDER BY level, file_path, line_start")
+@query("report_order", MERGED_SQL + "SELECT task_id, level, file_path, line_start FROM merged ORDER BY task_id, level, file_path, line_start")
 def report_order(spark, d):
-    return merged(spark, d).filter("task_id = 3").select("task_id", "level", "file_path", "line_start").orderBy(*issues.report_order())
+    return merged(spark, d).select("task_id", "level", "file_path", "line_start").orderBy("task_id", *issues.report_order())
 
 
 @query("latest_per_task", f"WITH {tables.TASKS_SQL} SELECT owner_id, arg_max(id, (created_at, id)) AS id, arg_max(status, (created_at, id)) AS status FROM tasks GROUP BY owner_id")
@@ -333,12 +334,12 @@ def ai_findings(spark, d):
     return reviews.findings(answers).select("id", "rule_code", "level", "title", "line")
 
 
-AI_SQL = "i AS (SELECT event_id // 40 AS task_id, ts AS ai_at, CASE WHEN event_id % 3 = 0 THEN 'do' WHEN event_id % 3 = 1 THEN ' ' END AS s FROM events WHERE event_id % 3 < 2)"
+AI_SQL = "i AS (SELECT event_id // 40 AS task_id, CASE WHEN event_id % 3 < 2 THEN ts END AS ai_at, CASE WHEN event_id % 3 = 0 THEN 'do' WHEN event_id % 3 = 1 THEN ' ' END AS s FROM events)"
 
 
 def reviewed(spark, d):
     i = F.col("event_id")
-    return tables.read(spark, d, "events").filter(i % 3 < 2).select(F.floor(i / 40).alias("task_id"), F.col("ts").alias("ai_suggestion_at"), F.when(i % 3 == 0, "do").otherwise(" ").alias("ai_suggestion"))
+    return tables.read(spark, d, "events").select(F.floor(i / 40).alias("task_id"), F.when(i % 3 < 2, F.col("ts")).alias("ai_suggestion_at"), F.when(i % 3 == 0, "do").when(i % 3 == 1, " ").alias("ai_suggestion"))
 
 
 @query("last_review", f"WITH {AI_SQL} SELECT task_id, max(ai_at) AS last_ai, count(*) FILTER (trim(s) <> '') AS enhanced FROM i GROUP BY 1")
@@ -348,11 +349,11 @@ def last_review(spark, d):
     return reviews.last_review(reviewed(spark, d))
 
 
-@query("stale_reports", f"WITH {AI_SQL}, r AS (SELECT event_id AS task_id, 'r' || event_id AS path, ts AS modified FROM events WHERE event_id < 200) SELECT task_id, path FROM r JOIN (SELECT task_id, max(ai_at) AS last_ai FROM i GROUP BY 1) USING (task_id) WHERE modified < last_ai")
+@query("stale_reports", f"WITH {AI_SQL}, r AS (SELECT event_id % 250 AS task_id, 'r' || event_id AS path, ts AS modified FROM events) SELECT task_id, path FROM r JOIN (SELECT task_id, max(ai_at) AS last_ai FROM i GROUP BY 1) USING (task_id) WHERE modified < last_ai")
 def stale_reports(spark, d):
     from ..operators import reviews
 
-    r = tables.read(spark, d, "events").filter("event_id < 200").select(F.col("event_id").alias("task_id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("modified"))
+    r = tables.read(spark, d, "events").select((F.col("event_id") % 250).alias("task_id"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("modified"))
     return reviews.stale_reports(r, reviewed(spark, d))
 
 
@@ -374,9 +375,9 @@ def prompt_lines(spark, d):
 
 @query(
     "gate_page",
-    f"WITH g AS ({gate_sql(MERGED_SQL, 'merged')}), {tables.TASKS_SQL}, newest AS (SELECT id AS task_id, created_at FROM tasks WHERE id < 300 ORDER BY created_at DESC, id DESC LIMIT 10) SELECT task_id, created_at, coalesce(score, 0) AS score, coalesce(grade, 'POOR') AS grade, coalesce(passed, FALSE) AS passed FROM newest LEFT JOIN g USING (task_id)",
+    f"WITH g AS ({gate_sql(MERGED_SQL, 'merged')}), {tables.TASKS_SQL}, newest AS (SELECT id AS own_id, id % 250 AS task_id, created_at FROM tasks ORDER BY created_at DESC, id DESC LIMIT 10) SELECT own_id, task_id, created_at, coalesce(score, 0) AS score, coalesce(grade, 'POOR') AS grade, coalesce(passed, FALSE) AS passed FROM newest LEFT JOIN g USING (task_id)",
 )
 def gate_page(spark, d):
-    newest = tables.tasks(spark, d).filter("id < 300").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10).select(F.col("id").alias("task_id"), "created_at")
+    newest = issues.newest(tables.tasks(spark, d), 10).select(F.col("id").alias("own_id"), (F.col("id") % 250).alias("task_id"), "created_at")
     verdicts = quality.with_missing_tasks(quality.evaluate(merged(spark, d)), newest)
     return newest.join(verdicts.select("task_id", "score", "grade", "passed"), "task_id")

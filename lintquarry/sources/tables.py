@@ -136,7 +136,7 @@ dependencies AS (SELECT p_partkey % 50 AS task_id, p_partkey AS dep_id, CASE WHE
 
 
 def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts as methods, some line items as calls from suppliers to parts."""
+    """Parts as methods, line items as calls from suppliers to parts."""
     p, li = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
     k = F.col("p_partkey")
     methods = p.select(
@@ -151,12 +151,12 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (k % 6 == 0).alias("is_deprecated"),
         F.concat(F.lit("F"), (k % 40).cast("string")).alias("file_path"),
     )
-    called = li.filter("l_linenumber = 1 and l_suppkey % 10 = 0")
-    edges = called.select(
+    to = F.col("l_partkey") - F.col("l_partkey") % 3  # so that two methods of three are never called
+    edges = li.select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("caller"),
-        F.concat(F.lit("com.acme.C"), (F.col("l_partkey") % 100).cast("string")).alias("callee_class"),
-        F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("callee"),
-        F.concat(F.lit("F"), (F.col("l_partkey") % 40).cast("string")).alias("file_path"),
+        F.concat(F.lit("com.acme.C"), (to % 100).cast("string")).alias("callee_class"),
+        F.concat(F.lit("m"), to.cast("string")).alias("callee"),
+        F.concat(F.lit("F"), (to % 40).cast("string")).alias("file_path"),
         (F.col("l_orderkey") % 500 + 1).cast("int").alias("line"),
     )
     return methods, edges
@@ -165,8 +165,8 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 GRAPH_SQL = """methods AS (SELECT 'com.acme.C' || (p_partkey % 100) AS class_name, 'm' || p_partkey AS method, (p_partkey % 4)::INT AS arity,
   p_partkey % 10 = 0 AS is_public, p_partkey % 21 = 0 AS is_override, p_partkey % 33 = 0 AS is_ctor, p_partkey % 35 = 0 AS is_abstract, p_partkey % 6 = 0 AS is_deprecated,
   'F' || (p_partkey % 40) AS file_path FROM part),
-edges AS (SELECT 's' || l_suppkey AS caller, 'com.acme.C' || (l_partkey % 100) AS callee_class, 'm' || l_partkey AS callee, 'F' || (l_partkey % 40) AS file_path,
-  (l_orderkey % 500 + 1)::INT AS line FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 10 = 0)"""
+edges AS (SELECT 's' || l_suppkey AS caller, 'com.acme.C' || ((l_partkey - l_partkey % 3) % 100) AS callee_class, 'm' || (l_partkey - l_partkey % 3) AS callee,
+  'F' || ((l_partkey - l_partkey % 3) % 40) AS file_path, (l_orderkey % 500 + 1)::INT AS line FROM lineitem)"""
 
 
 def webhook_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Classes outside the code under review, by the beginning of their names (fixed values).
 EXTERNAL = r"^(java\.|javax\.|sun\.|com\.sun\.|org\.springframework\.|org\.junit\.|<)"
 
@@ -49,7 +51,7 @@ def nonnull_returns(seeds: DataFrame, depends: DataFrame, rounds: int = 5) -> Da
     for _ in range(rounds):
         met = depends.distinct().join(known.withColumnRenamed("method", "on"), "on").groupBy("method").agg(F.count(F.lit(1)).alias("met"))
         proven = met.join(need, "method").filter("met = n").select("method")
-        known = known.union(proven).distinct().checkpoint()
+        known = checkpointed(known.union(proven).distinct())
         now = known.count()
         if now == size:
             break
@@ -65,13 +67,14 @@ def null_proof(candidates: DataFrame, sites: DataFrame, depth: int = 6) -> DataF
     allows; what would need a deeper chain falls too.
     """
     state = candidates.select("param").distinct().join(sites.select("param").distinct().withColumn("seen", F.lit(True)), "param", "left")
-    state = state.select("param", F.coalesce("seen", F.lit(False)).alias("proven")).checkpoint()
+    state = state.select("param", F.coalesce("seen", F.lit(False)).alias("proven"))
+    state = checkpointed(state)
     for _ in range(depth):
         of = state.select(F.col("param").alias("arg"), F.col("proven").alias("arg_proven"))
         good = F.when(F.col("arg_kind") == "self", True).when(F.col("arg_kind") == "param", F.coalesce("arg_proven", F.lit(False))).otherwise(False)
         all_good = sites.join(of, "arg", "left").groupBy("param").agg(F.bool_and(good).alias("ok"))
         after = state.join(all_good, "param", "left").select("param", (F.col("proven") & F.coalesce("ok", F.lit(False))).alias("proven"), F.col("proven").alias("was"))
-        after = after.checkpoint()
+        after = checkpointed(after)
         if not after.filter("proven != was").limit(1).count():
             return after.select("param", "proven")
         state = after.select("param", "proven")

@@ -42,3 +42,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(str(target))
     sc._lintquarry_shipped = True
+
+
+def checkpointed(df):
+    """df with its lineage cut, in the folder that the cluster names; an own one only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lintquarry-checkpoint-"))
+    return df.checkpoint()

@@ -174,11 +174,15 @@ def request_id(c: Column) -> Column:
 
 
 def database_type(url: Column) -> Column:
-    """The database that a JDBC address names."""
-    kinds = ("mysql", "mariadb", "postgresql", "oracle", "sqlserver", "db2", "h2", "sqlite", "dm", "kingbase8", "oceanbase", "gaussdb", "opengauss", "clickhouse", "tidb", "oscar")
-    out = F.lit(None).cast("string")
-    for k in kinds:
-        out = F.when(F.lower(url).startswith(f"jdbc:{k}:"), F.lit(k)).otherwise(out)
+    """The database that a JDBC address names: UNKNOWN for null, CUSTOM for others."""
+    # Address beginnings and the names that they stand for.
+    kinds = {
+        "h2": "H2", "mysql": "MYSQL", "mariadb": "MARIADB", "oracle": "ORACLE", "postgresql": "POSTGRESQL", "opengauss": "OPENGAUSS", "kingbase8": "KINGBASE", "highgo": "HIGHGO",
+        "vastbase": "VASTBASE", "dm": "DM", "yasdb": "YASHANDB", "sqlserver": "SQLSERVER", "db2": "DB2", "oceanbase": "OCEANBASE", "gbasedbt-sqli": "GBASE8S", "gbasedbt": "GBASE8S", "oscar": "OSCAR",
+    }
+    out = F.when(url.isNull(), "UNKNOWN").otherwise("CUSTOM")
+    for start, name in kinds.items():
+        out = F.when(F.lower(url).startswith(f"jdbc:{start}:"), F.lit(name)).otherwise(out)
     return out
 
 

@@ -38,6 +38,11 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paged(rows: DataFrame, order: list, number: int, size: int) -> tuple[DataFrame, int]:
+    """A page and the number of rows in all."""
+    return page(rows, order, number, size), rows.count()
+
+
 def with_levels(issues: DataFrame, levels: list[str]) -> DataFrame:
     """Issues of the levels named; names that aren't levels are dropped, and none left means all."""
     known = [v.upper() for v in levels if v and v.upper() in LEVELS]

@@ -9,7 +9,7 @@ from ..functions import text as T
 
 # Names that suggest a secret, values that stand for one.
 SECRET_NAME = r"(?i)(password|passwd|pwd|secret|apikey|api_key|accesskey|access_key|token|credential|privatekey|private_key)"
-PLACEHOLDER = r"(?i)^(\$\{.*\}|<.*>|x+|\*+|changeme|todo|none|null|example.*|your.*)$"
+PLACEHOLDER = r"(?i)^\s*$|\$\{|^__\w+__$|^(null|none|empty|undefined|example|sample|placeholder|your[-_]?|changeme|todo|test|xxx+|\*+|<[^>]*>|\{\{).*"
 
 
 def first_per_file(hits: DataFrame, n: int = 10, order: str = "line_no") -> DataFrame:
@@ -28,7 +28,7 @@ def long_lines(lines: DataFrame, limit: int = 120, per_file: int = 10) -> DataFr
 
 
 def todo_comments(lines: DataFrame, per_file: int = 10) -> DataFrame:
-    found = F.col("line").rlike(r"//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\*+ (TODO|FIXME)")
+    found = F.col("line").rlike(r"//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\*+\s*(TODO|FIXME)([^A-Za-z0-9_]|$)")
     return first_per_file(lines.filter(found), per_file)
 
 
@@ -40,7 +40,7 @@ def secrets(lines: DataFrame) -> DataFrame:
     pattern = r"([A-Za-z_][A-Za-z0-9_.]*)\s*[=:]\s*[\"']([^\"']*)[\"']"
     out = lines.withColumn("name", F.regexp_extract("line", pattern, 1)).withColumn("value", F.regexp_extract("line", pattern, 2))
     out = out.filter((F.col("name") != "") & F.col("name").rlike(SECRET_NAME) & (F.length("value") >= 6) & ~F.col("value").rlike(PLACEHOLDER))
-    address = F.lower("name").rlike("url|uri|endpoint") & F.col("value").rlike(r"^https?://[^@]*$")
+    address = F.col("name").rlike("(?i)(url|uri|endpoint)") & F.col("value").rlike("(?i)^https?://") & ~F.col("value").rlike("(?i)^https?://[^/]*@")
     words = T.significant_words(F.col("value"))
     echo = (F.size(words) >= 2) & F.arrays_overlap(words, T.significant_words(F.col("name")))
     return out.filter(~address & ~F.coalesce(echo, F.lit(False)))

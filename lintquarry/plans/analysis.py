@@ -177,7 +177,7 @@ def line_length_rule(spark, d):
 TODO_SQL = "t AS (SELECT 'f' || (event_id % 50) AS file_path, event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'x = ' || event_id || ' // TODO ' || event_type WHEN 1 THEN '/* FIXME ' || event_type WHEN 2 THEN '// noTODO' WHEN 3 THEN '// TODOS' ELSE 'TODO = 1' END AS line FROM events)"
 
 
-@query("todo_rule", f"WITH {TODO_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM t WHERE regexp_matches(line, '//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\\*+ (TODO|FIXME)')) SELECT file_path, line_no, line FROM k WHERE n <= 10")
+@query("todo_rule", f"WITH {TODO_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM t WHERE regexp_matches(line, '//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\\*+\\s*(TODO|FIXME)([^A-Za-z0-9_]|$)')) SELECT file_path, line_no, line FROM k WHERE n <= 10")
 def todo_rule(spark, d):
     i = F.col("event_id")
     line = F.when(i % 6 == 0, F.concat(F.lit("x = "), i.cast("string"), F.lit(" // TODO "), F.col("event_type"))).when(i % 6 == 1, F.concat(F.lit("/* FIXME "), F.col("event_type")))
@@ -199,7 +199,7 @@ x AS (SELECT *, regexp_extract(line, '([A-Za-z_][A-Za-z0-9_.]*)\\s*[=:]\\s*["'']
 y AS (SELECT *, list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(value, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda s: lower(s)), lambda s: length(s) >= 4)) AS vw,
   list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda s: lower(s)), lambda s: length(s) >= 4)) AS nw FROM x)
 SELECT event_id, name, value FROM y WHERE name <> '' AND regexp_matches(name, '(?i)(password|passwd|pwd|secret|apikey|api_key|accesskey|access_key|token|credential|privatekey|private_key)') AND length(value) >= 6
-  AND NOT regexp_matches(value, '(?i)^(\\$\\{{.*\\}}|<.*>|x+|\\*+|changeme|todo|none|null|example.*|your.*)$') AND NOT (regexp_matches(lower(name), 'url|uri|endpoint') AND regexp_matches(value, '^https?://[^@]*$'))
+  AND NOT regexp_matches(value, {C.sql_value(line_rules.PLACEHOLDER)}) AND NOT (regexp_matches(name, '(?i)(url|uri|endpoint)') AND regexp_matches(value, '(?i)^https?://') AND NOT regexp_matches(value, '(?i)^https?://[^/]*@'))
   AND NOT (len(vw) >= 2 AND list_has_any(vw, nw))""",
 )
 def secret_rule(spark, d):
@@ -270,7 +270,7 @@ def pom_dependencies(spark, d):
 )
 def gradle_dependencies(spark, d):
     k = F.col("p_partkey")
-    content = F.concat(F.lit("plugins {}\ndependencies {\n  implementation 'org.a:x"), k.cast("string"), F.lit(":1."), (k % 5).cast("string"), F.lit("'\n  testImplementation(\"junit:junit:4.12\")\n  runtimeOnly 'org.r:rt:2'\n  // done\n}"))
+    content = F.concat(F.lit("plugins {}\ndependencies {\n  implementation 'org.a:x"), k.cast("string"), F.lit(":1."), (k % 5).cast("string"), F.lit("'\n  testImplementation \"junit:junit:4.12\"\n  runtimeOnly 'org.r:rt:2'\n  // done\n}"))
     return build_files.gradle_dependencies(tables.read(spark, d, "part").select(k.alias("task_id"), content.alias("content")))
 
 

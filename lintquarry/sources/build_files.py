@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _POM = r"<groupId>\s*([^<]+?)\s*</groupId>\s*<artifactId>\s*([^<]+?)\s*</artifactId>(?:\s*<version>\s*([^<]+?)\s*</version>)?(?:\s*<scope>\s*([^<]+?)\s*</scope>)?"
 #: Gradle configurations that name a dependency (fixed values).
-_GRADLE = r"(implementation|api|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly)\s*\(?\s*['\"]([^:'\"]+):([^:'\"]+):([^'\"]+)['\"]"
+_GRADLE = r"(implementation|api|compile|compileOnly|runtimeOnly|testImplementation)\s+[\"']([^:\"']+):([^:\"']+):?([^\"']*)[\"']"
 
 
 def _group(text, pattern: str, i: int):
@@ -29,8 +29,8 @@ def gradle_dependencies(files: DataFrame) -> DataFrame:
     """Rows of Gradle texts: one configuration and coordinate a line."""
     lines = files.select("task_id", F.explode(F.split("content", r"\r?\n")).alias("line"))
     g = lambda i: _group(F.col("line"), _GRADLE, i)
-    conf = F.lower(g(1))
-    scope = F.when(conf.contains("test"), "test").when(conf.contains("runtime"), "runtime").when(conf.contains("compileonly"), "provided").otherwise("compile")
+    line = F.col("line")  # the scope goes by what the line holds anywhere
+    scope = F.when(line.contains("test"), "test").when(line.contains("runtime"), "runtime").when(line.contains("compileOnly"), "provided").otherwise("compile")
     return lines.select("task_id", g(2).alias("group_id"), g(3).alias("artifact_id"), g(4).alias("version"), scope.alias("scope")).filter(F.col("artifact_id").isNotNull())
 
 

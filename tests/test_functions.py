@@ -75,7 +75,7 @@ def test_texts(spark):
     assert all(r[0] == r[2] and r[1] == r[3] for r in values(spark, paths, "p string, a boolean, b boolean", T.is_test_file(F.col("p")), T.is_test_path(F.col("p")), "a", "b"))
     junk = [("__MACOSX/a", True), ("a/._b", True), ("a/.DS_Store", True), ("a/b_.c", False)]
     assert all(a == b for a, b in values(spark, junk, "p string, want boolean", T.is_system_junk(F.col("p")), "want"))
-    assert values(spark, [("jdbc:mysql://h/d",), ("jdbc:h2:mem",), ("x",)], "u string", T.database_type(F.col("u"))) == [("mysql",), ("h2",), (None,)]
+    assert values(spark, [("jdbc:mysql://h/d",), ("jdbc:h2:mem",), ("x",)], "u string", T.database_type(F.col("u"))) == [("MYSQL",), ("H2",), ("CUSTOM",)]
     made = values(spark, [("${a}-${b} \\${a} ${a}",)], "t string", T.render(F.col("t"), F.create_map(F.lit("a"), F.lit("1"))))
     assert made == [("1-${b} ${a} 1",)]
     assert values(spark, [("say [1, [2]] end",), ("none",)], "t string", T.json_array(F.col("t"))) == [("[1, [2]]",), (None,)]

@@ -137,6 +137,12 @@ def test_test_output(spark):
     assert {r.id: tuple(r)[1:] for r in g} == {1: (25, 2, 23), 2: (8, 0, 8)}
 
 
+def test_gradle_lines(spark):
+    text = "implementation 'a:bc:1.0'\n  api \"g:nov\"\n compileOnly 'x:y:2'\n // implementation a:b:c\ntestImplementation 'j:j:4'"
+    got = {tuple(r)[1:] for r in build_files.gradle_dependencies(spark.createDataFrame([(1, text)], "task_id int, content string")).collect()}
+    assert got == {("a", "bc", "1.0", "compile"), ("g", "nov", None, "compile"), ("x", "y", "2", "provided"), ("j", "j", "4", "test")}
+
+
 def test_archives_and_folders(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:

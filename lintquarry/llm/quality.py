@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import CHUNK_CHARS, char_class, chunks, held_out, joined, kept, runs, ship, span_hashes
@@ -140,8 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", p: Params =
     ship(docs.sparkSession)
     named = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("_label"))
     named = named.filter(~held_out()).withColumn("_order", F.xxhash64("doc_id", F.lit(p.seed)))
-    first = Window.partitionBy("_label").orderBy("_order", "doc_id")
-    sample = named.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.max_rows // 2).select("doc_id", "_label")
+    # the first of each class by a hash: two bounded top-k selections, as one class may hold nearly all rows
+    first = lambda v: named.filter(F.col("_label") == v).orderBy("_order", "doc_id").limit(p.max_rows // 2)
+    sample = first(0).unionByName(first(1)).select("doc_id", "_label")
 
     def count(batches):
         for batch in batches:

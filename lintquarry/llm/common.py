@@ -5,31 +5,27 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Characters handled at once by the numpy passes; keeps their arrays within the processor's cache.
 CHUNK_CHARS = 1 << 16
 
-_SHIPPED = "_lintquarry_shipped"
+
+#: Rows and bytes of one batch between Spark and Python, where the session names none: whole texts make rows long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once a session, whatever their own search path is."""
-    sc = spark.sparkContext
-    if getattr(sc, _SHIPPED, False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lintquarry-")) / "lintquarry_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(str(target))
-    setattr(sc, _SHIPPED, True)
+    """Ready a session for Python operators: bounded batches, and this package on the executors, whatever their own search path is."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    session.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,8 +75,10 @@ _kept: dict[str, tuple] = {}
 
 
 def kept(kind: str, key, make):
-    """What make() gave in this worker for the key; one object of each kind is kept, from task to task."""
+    """What make() gave in this worker for the key, kept from task to task; only the kind used last is kept, so that stages that
+    follow one another don't add up."""
     if kind not in _kept or _kept[kind][0] != key:
+        _kept.clear()
         _kept[kind] = key, make()
     return _kept[kind][1]
 

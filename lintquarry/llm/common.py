@@ -46,8 +46,14 @@ class Shared:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
+    def table(self, df: DataFrame, share: int = 1, even: bool = False) -> DataFrame:
+        """Write df and read it back. share: for tables narrower than what the session's shuffle partitions are counted for, one file for
+        so many partitions, as small files cost more than their rows; even: dealt out anew after work that must keep all its
+        tasks."""
         self.n += 1
+        if share > 1:
+            n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share)
+            df = df.repartition(n) if even else df.coalesce(n)
         path = f"{self.root}/{self.n:03d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -55,7 +55,7 @@ class Shared:
             n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share)
             df = df.repartition(n) if even else df.coalesce(n)
         path = f"{self.root}/{self.n:03d}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shared_path = path
         return out

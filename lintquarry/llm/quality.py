@@ -30,7 +30,7 @@ class Params:
     dim: int = 8
     orders: tuple[int, ...] = (2, 3, 4)
     #: Labelled rows learned from at most, half of them of each class.
-    max_rows: int = 4000
+    max_rows: int = 2000
     epochs: int = 6
     rate: float = 0.5
     #: Neutral features added to each text: a short text says little either way.

@@ -125,8 +125,12 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
     """Learn from a bounded sample of each language among the documents that are not held out."""
     ship(docs.sparkSession)
     named = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id")
-    sample = named.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.rows_per_lang).select("doc_id", F.col("lang").alias("_lang")).distinct()
+    # the first rows of each language by a hash: of each of some groups first, as one language may hold nearly all rows
+    named = named.withColumn("_order", F.xxhash64("doc_id", F.lit(p.seed)))
+    for groups in (["lang", F.pmod("_order", F.lit(16))], ["lang"]):
+        first = Window.partitionBy(*groups).orderBy("_order", "doc_id")
+        named = named.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.rows_per_lang)
+    sample = named.select("doc_id", F.col("lang").alias("_lang")).distinct()
 
     def count(batches):
         for batch in batches:

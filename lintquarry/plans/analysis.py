@@ -29,7 +29,7 @@ pairs AS (SELECT a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b
 
 
 def windows(spark, d):
-    return duplicates.windows(tables.files(spark, d), N)
+    return duplicates.windows(tables.spread(tables.files(spark, d)), N)
 
 
 @query("dup_windows", WINDOWS_SQL + " SELECT file_path, idx, fingerprint FROM w")

@@ -17,6 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan dealt out to all cores where its files give fewer tasks than those, for work that costs far more than reading."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a task: the number in the source's name."""
     d = read(spark, sf_dir, "documents")

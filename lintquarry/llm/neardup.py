@@ -1,11 +1,15 @@
 """Near duplicates by Order MinHash and banded alignment.
 
-A document is its sequence of words; its k-mers are runs of five words, each labelled with its occurrence number. Under each
+A document is its sequence of words; its k-mers are runs of two words, each labelled with its occurrence number. Under each
 of ``sketches`` hash functions the ``length`` least labelled k-mers are taken and hashed *in text order*, so two documents
 agree on a sketch when they share k-mers in the same order: agreement follows edit similarity, not only shared content
 (Marcais et al. 2019). Documents that agree on a sketch are candidates; a banded bit-parallel alignment of their words
 verifies each: edit similarity 1 - distance / longer length of at least 0.8.
 
+Pairs of documents of up to ``short_words`` words have too few k-mers for that and are found exactly instead: an allowance of e
+edits leaves one of e + 1 pieces of the longer document unchanged in the shorter one, not far from its place (Li et al. 2011,
+PassJoin). Its pieces and the places of the shorter one where they may lie are keys, which are sketches to all that follows.
+
 Exact copies (equal words) are one node from the start. Then
 
 1. each node is compared with one other: the one that is first in most of the node's buckets; the links give components;
@@ -18,7 +22,7 @@ Exact copies (equal words) are one node from the start. Then
 Every intermediate table lies in the shared folder; nothing of it comes to the driver but counts.
 
 Defined results: a class is named by the least doc_id in it; a null text is a class of its own row; texts without words are
-copies only of byte-equal texts; documents of fewer than five words have one k-mer, their whole; repeated rows fall in one
+copies only of byte-equal texts; documents of fewer than five words have no allowance and are copies only; repeated rows fall in one
 class; a null doc_id is kept, its class named by the others of the class or null; an empty table gives no rows; other
 columns are ignored.
 """
@@ -39,10 +43,12 @@ from .common import Shared, mix64, ship, span_hashes, words_of
 
 @dataclass(frozen=True)
 class Params:
-    k: int = 5
+    k: int = 2
     length: int = 3
-    sketches: int = 32
+    sketches: int = 64
     similarity: float = 0.8
+    #: Pairs whose longer document has up to so many words are found exactly.
+    short_words: int = 30
     #: Numbers of nodes (eight bytes each) up to which they are sent to every worker instead of shuffling words to them.
     broadcast_rows: int = 1_000_000
     #: Words of one block of a bucket.
@@ -96,7 +102,11 @@ def sketch(words: np.ndarray, p: Params) -> np.ndarray:
     for s in range(0, p.sketches, step):
         h = (kmers ^ salt[s : s + step, None]) * factor[s : s + step, None]
         if n > p.length:
-            at = np.sort(np.argpartition(h, p.length - 1, axis=1)[:, : p.length], axis=1)
+            least = np.empty((len(h), p.length), np.int64)
+            for k in range(p.length):
+                least[:, k] = h.argmin(axis=1)
+                h[np.arange(len(h)), least[:, k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            at = np.sort(least, axis=1)
         else:
             at = np.broadcast_to(np.arange(n), (len(h), n))
         total = np.arange(s, s + len(h)).astype(np.uint64)
@@ -106,6 +116,51 @@ def sketch(words: np.ndarray, p: Params) -> np.ndarray:
     return out.view(np.int64)
 
 
+def allowance(n, p: Params):
+    """How many edits a pair may have whose longer document has n words."""
+    return np.int64((1 - p.similarity) * n + 1e-9)
+
+
+def piece_keys(words: np.ndarray, p: Params) -> np.ndarray:
+    """The keys of a short document, one of which at least it shares with every near one of up to p.short_words words.
+
+    For each length m of the longer document and each piece i of its e + 1, the places where the piece may lie here: no more than i
+    edits come before it, and no more than e - i after.
+    """
+    n = len(words)
+    starts, sizes, names = [], [], []
+    for m in range(n, p.short_words + 1):
+        e = int(allowance(m, p))
+        if not e:
+            continue
+        if m - n > e:
+            break
+        cut = [m * i // (e + 1) for i in range(e + 2)]
+        for i in range(e + 1):
+            size = cut[i + 1] - cut[i]
+            lo, hi = max(0, cut[i] - i, cut[i] + n - m - (e - i)), min(n - size, cut[i] + i, cut[i] + n - m + (e - i))
+            for at in range(lo, hi + 1):
+                starts.append(at)
+                sizes.append(size)
+                names.append(m * 1000 + i + 1)
+    if not starts:
+        return np.zeros(0, np.int64)
+    at = np.array(starts)
+    h = span_hashes(words, at, at + np.array(sizes))
+    return np.unique(mix64(h + np.array(names, np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+
+
+def candidate_keys(words: np.ndarray, p: Params) -> np.ndarray:
+    """What a document is a candidate by: sketches if it may be near to one of more than p.short_words words, and pieces if it has no
+    more itself."""
+    n = len(words)
+    if n > p.short_words:
+        return sketch(words, p)
+    longer = np.arange(p.short_words + 1, int(n / p.similarity) + 2)
+    reaches = bool((longer - n <= allowance(longer, p)).any())
+    return np.concatenate([piece_keys(words, p), sketch(words, p)]) if reaches else piece_keys(words, p)
+
+
 def text_key(text: str, words: np.ndarray) -> bytes:
     """Equal for documents of equal words."""
     return hashlib.md5(words.tobytes() if len(words) else b"text:" + text.encode("utf-8", "replace")).digest()
@@ -271,7 +326,7 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
             for t, w in zip(part, words_of(part), strict=True):
                 keys.append(None if t is None else text_key(t, w))
                 n.append(len(w))
-                sigs.append(sketch(w, p))
+                sigs.append(candidate_keys(w, p))
                 words.append((w >> np.uint64(32)).astype(np.uint32).view(np.int32))
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["key", "n", "sigs", "words"])
 

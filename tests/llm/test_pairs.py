@@ -114,6 +114,42 @@ def test_one_of_each_class_stays_with_its_columns(spark):
     assert all(len(c & set(ids)) == 1 for c in brute(rows[:-3]))
 
 
+def edited(rng, words, e):
+    words = list(words)
+    for _ in range(e):
+        at = rng.randrange(len(words))
+        words[at : at + 1] = rng.choice([[], [rng.randrange(1 << 40)], [rng.randrange(1 << 40)], [words[at], rng.randrange(1 << 40)]])
+    return np.array(words, np.uint64)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+@pytest.mark.parametrize("sizes, least", [((5, 30), 1), ((31, 60), 0.97), ((61, 200), 0.97)])
+def test_candidates_reach_down_to_the_threshold(similarity, sizes, least):
+    rng, p = random.Random(int(similarity * 100)), neardup.Params()
+    true = met = 0
+    for _ in range(400):
+        a = np.array([rng.randrange(1 << 40) for _ in range(rng.randint(*sizes))], np.uint64)
+        b = edited(rng, a, int((1 - similarity) * len(a) + 1e-9))
+        longer = max(len(a), len(b))
+        if longer > sizes[1] or distance(a.tolist(), b.tolist()) > int(0.2 * longer + 1e-9):
+            continue
+        true += 1
+        # exact copies are one node without any sketch
+        met += np.array_equal(a, b) or len(np.intersect1d(neardup.candidate_keys(a, p), neardup.candidate_keys(b, p))) > 0
+    assert true > 150 and met >= least * true
+
+
+def test_short_classes_are_those_of_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(0, "one two three four five six seven", "en"), (1, "one two three four five six eight", "en")]
+    for _ in range(60):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 34))]
+        for _ in range(rng.randint(1, 3)):
+            words = [rng.choice(["x", "y z", ""]) if rng.random() < 0.12 else w for w in base]
+            rows.append((len(rows), " ".join(words), "en"))
+    assert grouped(neardup.near_duplicates(documents(spark, rows)).collect()) == brute(rows)
+
+
 def test_sketches_tell_order_apart():
     p = neardup.Params()
     rng = random.Random(0)

@@ -14,8 +14,8 @@ Exact copies (equal words) are one node from the start. Then
 
 1. each node is compared with one other: the one that is first in most of the node's buckets; the links give components;
 2. each node is compared with every first of its buckets that is in another component: stars, not all pairs;
-3. buckets that still hold several components are settled exactly: nodes of different components that agree on two sketches or
-   more are compared, however large the bucket, block by block: a bucket is cut into blocks of bounded text, a task takes
+3. buckets that still hold several components are settled exactly: nodes of different components that agree on any sketch
+   are compared, however large the bucket, block by block: a bucket is cut into blocks of bounded text, a task takes
    two blocks, and a pair is looked at in one bucket only. No pair becomes a row but a verified one;
 4. the components of all links are the classes.
 
@@ -227,15 +227,15 @@ def settled(shared: Shared, buckets: DataFrame, label: DataFrame, tried: DataFra
     mixed = mixed.select("sig", F.when(F.col("nodes") > p.few_nodes, F.ceil(F.col("all") / p.block_words)).otherwise(0).cast("int").alias("blocks"))
     mixed = shared.table(mixed, NARROW)
     own = shared.table(own.join(_far(mixed), "sig"), NARROW)
-    # a node's sketches in mixed buckets: no more than it has sketches; one alone is no second agreement
-    of = own.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs")).filter(F.size("sigs") > 1)
+    # a node's sketches in mixed buckets: no more than it has sketches
+    of = own.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
     own = shared.table(own.join(_far(of), "node"), NARROW)
 
     few = own.filter("blocks = 0")
     x, y = few.alias("x"), _far(few).alias("y")
     common = F.array_intersect("x.sigs", "y.sigs")
     near = F.least(F.col("x.n"), F.col("y.n")) >= F.greatest(F.col("x.n"), F.col("y.n")) * p.similarity
-    ours = (F.size(common) > 1) & (F.array_min(common) == F.col("x.sig"))
+    ours = F.array_min(common) == F.col("x.sig")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & ours)
     pairs = shared.table(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(_far(tried), ["a", "b"], "left_anti"), NARROW)
 
@@ -272,7 +272,7 @@ def _bags(words: list[np.ndarray]) -> np.ndarray:
 
 def _between(sig: int, xs, ys, p: Params) -> list[tuple[int, int]]:
     """The verified links between two blocks of a bucket (ys None: within one), of pairs of different components whose least common
-    sketch is the bucket's and that have a second one. Pairs that links found here connect already are passed over."""
+    sketch is the bucket's. Pairs that links found here connect already are passed over."""
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -300,7 +300,7 @@ def _between(sig: int, xs, ys, p: Params) -> list[tuple[int, int]]:
             if find(comp_x[i]) == find(comp_y[k]):
                 continue
             common = sig_x[i] & sig_y[k]
-            if len(common) > 1 and min(common) == sig and within(word_x[i], word_y[k], int(most[k])) <= most[k]:
+            if min(common) == sig and within(word_x[i], word_y[k], int(most[k])) <= most[k]:
                 out.append((min(node_x[i], node_y[k]), max(node_x[i], node_y[k])))
                 root[find(comp_x[i])] = find(comp_y[k])
     return out
@@ -337,7 +337,7 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     first = nodes.select(F.col("node").alias("rid"))
     buckets = rows.filter("n > 0").select("rid", "n", "sigs").join(first, "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.explode("sigs").alias("sig"))
-    firsts = buckets.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    firsts = buckets.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", F.col("a.node").alias("a"), F.col("a.n").alias("na"))
     # written before the join: a hot sketch's rows can be split over tasks only if both sides come straight from a shuffle
     firsts = shared.table(firsts, MIDDLING)
     buckets = shared.table(buckets.join(_far(firsts), "sig"), MIDDLING)  # nodes that share a sketch with another, with their bucket's first
@@ -346,7 +346,12 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if sharing.count() <= p.broadcast_rows:
         sharing = F.broadcast(sharing)
     words = shared.table(words.join(sharing, "rid", "left_semi"), MIDDLING)
-    pairs = buckets.filter("node != a").groupBy("a", F.col("node").alias("b")).agg((-F.count(F.lit(1))).alias("rank"))
+    wide, rows = rows, shared.table(rows.select("doc_id", "rid", "key"), NARROW)
+    shared.drop(wide)
+    shared.drop(firsts)
+    # texts of too different lengths can't align: their words needn't meet
+    near = F.greatest("n", "na") - F.least("n", "na") <= F.greatest("n", "na") * (1 - p.similarity) + 1e-9
+    pairs = buckets.filter(near & (F.col("node") != F.col("a"))).groupBy("a", F.col("node").alias("b")).agg((-F.count(F.lit(1))).alias("rank"))
     best = pairs.groupBy("b").agg(F.min(F.struct("rank", "a")).alias("best")).select("best.a", "b")
     best = shared.table(best, NARROW)
     links = shared.table(verified(best, words, p), NARROW, even=True)

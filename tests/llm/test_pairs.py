@@ -139,6 +139,21 @@ def test_candidates_reach_down_to_the_threshold(similarity, sizes, least):
     assert true > 150 and met >= least * true
 
 
+@pytest.mark.parametrize("few_nodes", [32, 0])
+def test_copies_that_agree_once_behind_a_foreign_first_are_found(spark, few_nodes):
+    draw = lambda name, n: [f"{name}{k}" for k in range(n)]
+    passage = draw("p", 40)
+    texts = [" ".join(w) for w in (draw("f", 40) + passage, draw("a", 36) + passage + ["x"], draw("a", 36) + passage + ["y"])]
+    words = words_of(texts)
+    for seed in range(1000):
+        p = neardup.Params(sketches=1, few_nodes=few_nodes, seed=seed)
+        if len({int(neardup.sketch(w, p)[0]) for w in words}) == 1:
+            break
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    assert len({int(neardup.sketch(w, p)[0]) for w in words}) == 1
+    assert grouped(neardup.near_duplicates(documents(spark, rows), p).collect()) == brute(rows) == {frozenset({0}), frozenset({1, 2})}
+
+
 def test_short_classes_are_those_of_brute_force(spark):
     rng = random.Random(5)
     rows = [(0, "one two three four five six seven", "en"), (1, "one two three four five six eight", "en")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import unicodedata
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,22 +30,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own one only where none is named."""
+    """The cluster's shared folder (spark.checkpoint.dir); an own one only where none is named and everything runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lintquarry-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+@contextmanager
+def set_for_now(spark: SparkSession, key: str, value: str):
+    """A session setting for what runs within; the caller's own comes back after."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
 class Shared:
-    """Tables of one run, written to the shared folder so that a lost executor costs no lineage."""
+    """Tables of one run, written to the shared folder so that a lost executor costs no lineage.
+
+    A table's shuffle files go as soon as it is written, as nothing reads them again; the tables go by drop(), the rest when the
+    session's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        folder, fs = self._at(self.root)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+
+    def _at(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def table(self, df: DataFrame, share: int = 1, even: bool = False) -> DataFrame:
         """Write df and read it back. share: for tables narrower than what the session's shuffle partitions are counted for, one file for
@@ -55,16 +83,17 @@ class Shared:
             n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // share)
             df = df.repartition(n) if even else df.coalesce(n)
         path = f"{self.root}/{self.n:03d}"
-        df.write.option("compression", "zstd").parquet(path)
+        with set_for_now(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shared_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table() that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(df._shared_path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete table()s that no later plan reads."""
+        for df in tables:
+            p, fs = self._at(df._shared_path)
+            fs.delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -15,8 +15,8 @@ Exact copies (equal words) are one node from the start. Then
 1. each node is compared with one other: the one that is first in most of the node's buckets; the links give components;
 2. each node is compared with every first of its buckets that is in another component: stars, not all pairs;
 3. buckets that still hold several components are settled exactly: nodes of different components that agree on any sketch
-   are compared, however large the bucket, block by block: a bucket is cut into blocks of bounded text, a task takes
-   two blocks, and a pair is looked at in one bucket only. No pair becomes a row but a verified one;
+   are compared, however large the bucket, block by block: a bucket is cut into classes of length and those into blocks of
+   bounded text, and a pair is looked at in one bucket only. No pair becomes a row but a verified one;
 4. the components of all links are the classes.
 
 Every intermediate table lies in the shared folder; nothing of it comes to the driver but counts.
@@ -55,6 +55,8 @@ class Params:
     block_words: int = 100_000
     #: Buckets of more nodes are compared block by block.
     few_nodes: int = 32
+    #: Blocks of one class of length that a task compares with all that they must meet.
+    blocks_a_task: int = 8
     seed: int = 17
 
 
@@ -223,39 +225,61 @@ def settled(shared: Shared, buckets: DataFrame, label: DataFrame, tried: DataFra
     by block.
     """
     own = buckets.select("sig", "node", "n").join(_far(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("nodes")).filter("lo < hi")
-    mixed = mixed.select("sig", F.when(F.col("nodes") > p.few_nodes, F.ceil(F.col("all") / p.block_words)).otherwise(0).cast("int").alias("blocks"))
-    mixed = shared.table(mixed, NARROW)
-    own = shared.table(own.join(_far(mixed), "sig"), NARROW)
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("nodes")).filter("lo < hi")
+    mixed = shared.table(mixed.select("sig", "nodes"), NARROW)
+    met = shared.table(own.join(_far(mixed), "sig"), NARROW)
     # a node's sketches in mixed buckets: no more than it has sketches
-    of = own.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
-    own = shared.table(own.join(_far(of), "node"), NARROW)
+    of = met.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
+    own = shared.table(met.join(_far(of), "node"), NARROW)
+    shared.drop(met, mixed)
 
-    few = own.filter("blocks = 0")
+    few = own.filter(F.col("nodes") <= p.few_nodes)
     x, y = few.alias("x"), _far(few).alias("y")
     common = F.array_intersect("x.sigs", "y.sigs")
     near = F.least(F.col("x.n"), F.col("y.n")) >= F.greatest(F.col("x.n"), F.col("y.n")) * p.similarity
     ours = F.array_min(common) == F.col("x.sig")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & ours)
     pairs = shared.table(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(_far(tried), ["a", "b"], "left_anti"), NARROW)
+    found = verified(pairs, words, p)
 
+    many = own.filter(F.col("nodes") > p.few_nodes)
+    if many.limit(1).count():
+        found = found.unionByName(_by_blocks(shared, many, words, p))
+    found = shared.table(found, NARROW, even=True)
+    shared.drop(own, pairs)
+    return found
+
+
+def _by_blocks(shared: Shared, many: DataFrame, words: DataFrame, p: Params) -> DataFrame:
+    """The verified links within large mixed buckets.
+
+    A bucket is cut into classes of length, so that near texts lie in one class or in two neighbours, and a class into blocks of
+    bounded text. A task takes a few blocks and meets them with those that follow in their class and those of the next
+    class: the blocks that come to them are dealt over as many tasks as a class has groups of blocks.
+    """
+    step = float(np.log(1 / p.similarity * 1.0001))
+    many = many.withColumn("cls", F.floor(F.log("n") / step).cast("int"))
+    sizes = many.groupBy("sig", "cls").agg(F.ceil(F.sum("n") / p.block_words).cast("int").alias("blocks"))
+    sizes = shared.table(sizes, NARROW)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = own.filter("blocks > 0").join(_far(words.withColumnRenamed("rid", "node")), "node")
-    rows = rows.select("sig", block.alias("block"), F.struct("node", "comp", "sigs", "words").alias("m"))
-    rows = shared.table(rows.groupBy("sig", "block").agg(F.collect_list("m").alias("ms")), MIDDLING)
-    x, y = rows.select("sig", F.col("block").alias("i"), F.col("ms").alias("xs")), rows.select("sig", F.col("block").alias("j"), F.col("ms").alias("ys"))
+    rows = many.join(_far(sizes), ["sig", "cls"]).join(_far(words.withColumnRenamed("rid", "node")), "node")
+    rows = rows.select("sig", "cls", block.alias("block"), F.struct("node", "comp", "sigs", "words").alias("m"))
+    rows = shared.table(rows.groupBy("sig", "cls", "block").agg(F.collect_list("m").alias("ms")), MIDDLING)
+    groups = sizes.select("sig", F.col("cls").alias("to"), F.ceil(F.col("blocks") / p.blocks_a_task).cast("int").alias("groups"))
+    x = rows.select("sig", F.col("cls").alias("to"), F.floor(F.col("block") / p.blocks_a_task).cast("int").alias("group"), F.col("block").alias("i"), F.col("ms").alias("xs"))
+    # a block is met by its own class and by the one below
+    meets = sizes.select("sig", "cls", F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("to")).join(_far(groups), ["sig", "to"])
+    meets = meets.select("sig", "cls", "to", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    y = rows.join(_far(meets), ["sig", "cls"]).select("sig", "to", "group", (F.col("cls") == F.col("to")).alias("same"), F.col("block").alias("j"), F.col("ms").alias("ys"))
 
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                links = _between(batch.column(0)[k].as_py(), _members(batch.column(3)[k]), _members(batch.column(4)[k]) if batch.column(1)[k] != batch.column(2)[k] else None, p)
+                links = _between(batch.column(0)[k].as_py(), _members(batch.column(2)[k]), None if batch.column(1)[k].as_py() else _members(batch.column(3)[k]), p)
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
-    large = x.join(_far(y), "sig").filter("i <= j").select("sig", "i", "j", "xs", "ys").mapInArrow(compare, "a bigint, b bigint")
-    found = shared.table(verified(pairs, words, p).unionByName(large), NARROW, even=True)
-    shared.drop(own)
-    shared.drop(rows)
-    return found
+    met = x.join(_far(y), ["sig", "to", "group"]).filter("not same or i <= j")
+    return met.select("sig", (F.col("same") & (F.col("i") == F.col("j"))).alias("itself"), "xs", "ys").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _members(rows) -> tuple[list[int], list[int], list[set], list[np.ndarray]]:
@@ -365,6 +389,7 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     pairs = best.unionByName(stars)
 
     more = settled(shared, buckets, label, pairs, words, p)
+    shared.drop(buckets, words)
     if more.limit(1).count():
         label = components(shared, links.unionByName(more))
 

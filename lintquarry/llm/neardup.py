@@ -51,9 +51,9 @@ class Params:
     short_words: int = 30
     #: Numbers of nodes (eight bytes each) up to which they are sent to every worker instead of shuffling words to them.
     broadcast_rows: int = 1_000_000
-    #: Words of one block of a bucket.
-    block_words: int = 100_000
-    #: Buckets of more nodes are compared block by block.
+    #: Words of one block of a bucket; a bucket of more is compared block by block.
+    block_words: int = 400_000
+    #: Pairs of buckets of so many nodes are rows; larger ones are compared in one place.
     few_nodes: int = 32
     #: Blocks of one class of length that a task compares with all that they must meet.
     blocks_a_task: int = 8
@@ -200,33 +200,73 @@ def components(shared: Shared, edges: DataFrame) -> DataFrame:
             return label.select("node", "comp")
 
 
-def verified(pairs: DataFrame, words: DataFrame, p: Params) -> DataFrame:
-    """Those of the pairs (a, b) whose words align: edit similarity of at least p.similarity."""
+def _bounded(df: DataFrame, p: Params) -> DataFrame:
+    """Numbers of nodes, to join with: sent to every worker while few, else met by a shuffle."""
+    return F.broadcast(df) if df.count() <= p.broadcast_rows else _far(df)
+
+
+def aligned(shared: Shared, pairs: DataFrame, words: DataFrame, p: Params, column: str = "words") -> DataFrame:
+    """Those of the pairs (a, b) whose words align: edit similarity of at least p.similarity. Only words of nodes in pairs are moved.
+
+    With column "codes" the words' shorter codes are compared, half as long: equal words have equal codes, so that no pair which
+    aligns is lost, and few that don't are kept.
+    """
 
     def check(batches):
         for batch in batches:
-            a, b = batch.column(2), batch.column(3)
+            a, b = _arrays(batch.column(2), column), _arrays(batch.column(3), column)
             keep = []
-            for i in range(batch.num_rows):
-                x, y = a[i].values.to_numpy(zero_copy_only=False), b[i].values.to_numpy(zero_copy_only=False)
+            for x, y in zip(a, b, strict=True):
                 most = int((1 - p.similarity) * max(len(x), len(y)) + 1e-9)
                 keep.append(within(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    wa = words.select(F.col("rid").alias("a"), F.col("words").alias("wa"))
-    wb = words.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(_far(wa), "a").join(_far(wb), "b").select("a", "b", "wa", "wb").mapInArrow(check, "a bigint, b bigint")
+    nodes = shared.table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), NARROW)
+    own = words.select("rid", column).join(_bounded(nodes, p), "rid", "left_semi")
+    wa = own.select(F.col("rid").alias("a"), F.col(column).alias("wa"))
+    wb = own.select(F.col("rid").alias("b"), F.col(column).alias("wb"))
+    met = pairs.select("a", "b").join(_far(wa), "a").join(_far(wb), "b").select("a", "b", "wa", "wb")
+    out = shared.table(met.mapInArrow(check, "a bigint, b bigint"), NARROW, even=True)
+    shared.drop(nodes)
+    return out
+
+
+def verified(shared: Shared, pairs: DataFrame, words: DataFrame, p: Params, few: bool) -> DataFrame:
+    """Those of the pairs (a, b) that are near. few: most pairs aren't, so that their codes are compared first."""
+    if not few:
+        return aligned(shared, pairs, words, p)
+    close = aligned(shared, pairs, words, p, "codes")
+    out = aligned(shared, close, words, p)
+    shared.drop(close)
+    return out
+
+
+def word_codes(column: str):
+    """Two bytes for each word."""
+
+    @F.arrow_udf("binary")
+    def codes(words: pa.Array) -> pa.Array:
+        return pa.array([w.astype(np.uint16).tobytes() for w in _arrays(words, "words")], pa.binary())
+
+    return codes(column)
+
+
+def _arrays(column, kind: str) -> list[np.ndarray]:
+    """Words or codes of each row."""
+    if kind == "codes":
+        return [np.frombuffer(c.as_buffer(), np.uint16) for c in column]
+    return [w.values.to_numpy(zero_copy_only=False) for w in column]
 
 
 def settled(shared: Shared, buckets: DataFrame, label: DataFrame, tried: DataFrame, words: DataFrame, p: Params) -> DataFrame:
     """Links (a, b) between components that the stars left apart: step 3 above.
 
-    A pair belongs to the least of its common sketches. In a bucket of few nodes its pairs are rows; a larger one is compared block
-    by block.
+    A pair belongs to the least of its common sketches. In a bucket of few nodes its pairs are rows; a larger one is compared whole
+    in one task if its texts are bounded, else block by block.
     """
     own = buckets.select("sig", "node", "n").join(_far(label), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("nodes")).filter("lo < hi")
-    mixed = shared.table(mixed.select("sig", "nodes"), NARROW)
+    mixed = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("size")).filter("lo < hi")
+    mixed = shared.table(mixed.select("sig", "nodes", "size"), NARROW)
     met = shared.table(own.join(_far(mixed), "sig"), NARROW)
     # a node's sketches in mixed buckets: no more than it has sketches
     of = met.groupBy("node").agg(F.sort_array(F.collect_set("sig")).alias("sigs"))
@@ -240,18 +280,38 @@ def settled(shared: Shared, buckets: DataFrame, label: DataFrame, tried: DataFra
     ours = F.array_min(common) == F.col("x.sig")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near & ours)
     pairs = shared.table(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(_far(tried), ["a", "b"], "left_anti"), NARROW)
-    found = verified(pairs, words, p)
+    found = aligned(shared, pairs, words, p, "codes")
+    shared.drop(pairs)
 
     many = own.filter(F.col("nodes") > p.few_nodes)
     if many.limit(1).count():
-        found = found.unionByName(_by_blocks(shared, many, words, p))
-    found = shared.table(found, NARROW, even=True)
-    shared.drop(own, pairs)
-    return found
+        many = many.join(_far(words.select(F.col("rid").alias("node"), "codes")), "node").withColumn("m", F.struct("node", "comp", "sigs", "codes"))
+        whole = many.filter(F.col("size") <= p.block_words).groupBy("sig").agg(F.collect_list("m").alias("xs"))
+        whole = whole.select("sig", F.lit(True).alias("itself"), "xs", F.array().cast(whole.schema["xs"].dataType).alias("ys"))
+        met = _within_buckets(whole, p)
+        large = many.filter(F.col("size") > p.block_words)
+        if own.filter(F.col("nodes") > p.few_nodes).filter(F.col("size") > p.block_words).limit(1).count():
+            met = met.unionByName(_within_buckets(_blocks(shared, large, p), p))
+        found = found.unionByName(shared.table(met, NARROW, even=True))
+    out = aligned(shared, found, words, p)
+    shared.drop(own)
+    return out
 
 
-def _by_blocks(shared: Shared, many: DataFrame, words: DataFrame, p: Params) -> DataFrame:
-    """The verified links within large mixed buckets.
+def _within_buckets(met: DataFrame, p: Params) -> DataFrame:
+    """The links (a, b) that rows (sig, itself, xs, ys) of blocks hold, by their words' codes."""
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                links = _between(batch.column(0)[k].as_py(), _members(batch.column(2)[k]), None if batch.column(1)[k].as_py() else _members(batch.column(3)[k]), p)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(compare, "a bigint, b bigint")
+
+
+def _blocks(shared: Shared, many: DataFrame, p: Params) -> DataFrame:
+    """The pairs of blocks to compare within buckets too large for one task, as rows (sig, itself, xs, ys).
 
     A bucket is cut into classes of length, so that near texts lie in one class or in two neighbours, and a class into blocks of
     bounded text. A task takes a few blocks and meets them with those that follow in their class and those of the next
@@ -262,8 +322,7 @@ def _by_blocks(shared: Shared, many: DataFrame, words: DataFrame, p: Params) ->
     sizes = many.groupBy("sig", "cls").agg(F.ceil(F.sum("n") / p.block_words).cast("int").alias("blocks"))
     sizes = shared.table(sizes, NARROW)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = many.join(_far(sizes), ["sig", "cls"]).join(_far(words.withColumnRenamed("rid", "node")), "node")
-    rows = rows.select("sig", "cls", block.alias("block"), F.struct("node", "comp", "sigs", "words").alias("m"))
+    rows = many.join(_far(sizes), ["sig", "cls"]).select("sig", "cls", block.alias("block"), "m")
     rows = shared.table(rows.groupBy("sig", "cls", "block").agg(F.collect_list("m").alias("ms")), MIDDLING)
     groups = sizes.select("sig", F.col("cls").alias("to"), F.ceil(F.col("blocks") / p.blocks_a_task).cast("int").alias("groups"))
     x = rows.select("sig", F.col("cls").alias("to"), F.floor(F.col("block") / p.blocks_a_task).cast("int").alias("group"), F.col("block").alias("i"), F.col("ms").alias("xs"))
@@ -271,22 +330,14 @@ def _by_blocks(shared: Shared, many: DataFrame, words: DataFrame, p: Params) ->
     meets = sizes.select("sig", "cls", F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("to")).join(_far(groups), ["sig", "to"])
     meets = meets.select("sig", "cls", "to", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
     y = rows.join(_far(meets), ["sig", "cls"]).select("sig", "to", "group", (F.col("cls") == F.col("to")).alias("same"), F.col("block").alias("j"), F.col("ms").alias("ys"))
-
-    def compare(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                links = _between(batch.column(0)[k].as_py(), _members(batch.column(2)[k]), None if batch.column(1)[k].as_py() else _members(batch.column(3)[k]), p)
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
-
     met = x.join(_far(y), ["sig", "to", "group"]).filter("not same or i <= j")
-    return met.select("sig", (F.col("same") & (F.col("i") == F.col("j"))).alias("itself"), "xs", "ys").mapInArrow(compare, "a bigint, b bigint")
+    return met.select("sig", (F.col("same") & (F.col("i") == F.col("j"))).alias("itself"), "xs", "ys")
 
 
 def _members(rows) -> tuple[list[int], list[int], list[set], list[np.ndarray]]:
-    """Nodes, components, sketches and words of a block."""
+    """Nodes, components, sketches and codes of a block."""
     ms = rows.values
-    sigs, words = ms.field("sigs"), ms.field("words")
-    return ms.field("node").to_pylist(), ms.field("comp").to_pylist(), [set(s.as_py()) for s in sigs], [w.values.to_numpy(zero_copy_only=False) for w in words]
+    return ms.field("node").to_pylist(), ms.field("comp").to_pylist(), [set(s.as_py()) for s in ms.field("sigs")], _arrays(ms.field("codes"), "codes")
 
 
 def _bags(words: list[np.ndarray]) -> np.ndarray:
@@ -295,7 +346,7 @@ def _bags(words: list[np.ndarray]) -> np.ndarray:
 
 
 def _between(sig: int, xs, ys, p: Params) -> list[tuple[int, int]]:
-    """The verified links between two blocks of a bucket (ys None: within one), of pairs of different components whose least common
+    """The links between two blocks of a bucket (ys None: within one), of pairs of different components whose least common
     sketch is the bucket's. Pairs that links found here connect already are passed over."""
     root: dict[int, int] = {}
 
@@ -367,9 +418,7 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     buckets = shared.table(buckets.join(_far(firsts), "sig"), MIDDLING)  # nodes that share a sketch with another, with their bucket's first
     # the words of nodes that share a sketch with another: all that is ever aligned
     sharing = shared.table(buckets.select(F.col("node").alias("rid")).distinct(), NARROW)
-    if sharing.count() <= p.broadcast_rows:
-        sharing = F.broadcast(sharing)
-    words = shared.table(words.join(sharing, "rid", "left_semi"), MIDDLING)
+    words = shared.table(words.join(_bounded(sharing, p), "rid", "left_semi").withColumn("codes", word_codes("words")), MIDDLING)
     wide, rows = rows, shared.table(rows.select("doc_id", "rid", "key"), NARROW)
     shared.drop(wide)
     shared.drop(firsts)
@@ -378,13 +427,13 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     pairs = buckets.filter(near & (F.col("node") != F.col("a"))).groupBy("a", F.col("node").alias("b")).agg((-F.count(F.lit(1))).alias("rank"))
     best = pairs.groupBy("b").agg(F.min(F.struct("rank", "a")).alias("best")).select("best.a", "b")
     best = shared.table(best, NARROW)
-    links = shared.table(verified(best, words, p), NARROW, even=True)
+    links = verified(shared, best, words, p, few=False)
     label = components(shared, links)
     la, lb = (label.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
     pairs = pairs.select("a", "b").join(_far(la), "a", "left").join(_far(lb), "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
     stars = shared.table(pairs.select("a", "b").join(_far(best), ["a", "b"], "left_anti"), NARROW)
     if stars.limit(1).count():
-        links = links.unionByName(shared.table(verified(stars, words, p), NARROW, even=True))
+        links = links.unionByName(verified(shared, stars, words, p, few=True))
         label = components(shared, links)
     pairs = best.unionByName(stars)
 

@@ -393,35 +393,39 @@ def classes(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ship(spark)
     shared = Shared(spark, "neardup")
 
-    @F.arrow_udf("struct<key:binary,n:int,sigs:array<bigint>,words:array<int>>")
+    @F.arrow_udf("struct<key:binary,n:int,words:array<int>>")
     def prepare(texts: pa.Array) -> pa.Array:
-        keys, n, sigs, words = [], [], [], []
+        keys, n, words = [], [], []
         for k in range(0, len(texts), 256):
             part = texts[k : k + 256].to_pylist()
             for t, w in zip(part, words_of(part), strict=True):
                 keys.append(None if t is None else text_key(t, w))
                 n.append(len(w))
-                sigs.append(candidate_keys(w, p))
                 words.append((w >> np.uint64(32)).astype(np.uint32).view(np.int32))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["key", "n", "sigs", "words"])
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(words, pa.list_(pa.int32()))], ["key", "n", "words"])
+
+    @F.arrow_udf("array<bigint>")
+    def candidates(words: pa.Array) -> pa.Array:
+        return pa.array([candidate_keys(w.view(np.uint32).astype(np.uint64), p) for w in _arrays(words, "words")], pa.list_(pa.int64()))
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), prepare("text").alias("d")).select("doc_id", "rid", "d.*")
     rows = shared.table(rows.withColumn("key", F.coalesce("key", F.encode(F.concat(F.lit("null:"), F.col("rid").cast("string")), "utf-8"))))
     nodes = shared.table(rows.groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies")), MIDDLING)
-    words = rows.select("rid", "words")
+    sizes, words = rows.select("rid", "n"), rows.select("rid", "words")
 
     first = nodes.select(F.col("node").alias("rid"))
-    buckets = rows.filter("n > 0").select("rid", "n", "sigs").join(first, "rid", "left_semi").select(F.col("rid").alias("node"), "n", F.explode("sigs").alias("sig"))
-    firsts = buckets.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", F.col("a.node").alias("a"), F.col("a.n").alias("na"))
+    sketches = shared.table(rows.filter("n > 0").select("rid", "n", candidates("words").alias("sigs")).join(_far(first), "rid", "left_semi"), MIDDLING)
+    buckets = sketches.select(F.col("rid").alias("node"), "n", F.explode("sigs").alias("sig"))
+    firsts = buckets.groupBy("sig").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("sig", "a")
     # written before the join: a hot sketch's rows can be split over tasks only if both sides come straight from a shuffle
-    firsts = shared.table(firsts, MIDDLING)
+    firsts = shared.table(firsts.join(_far(sizes.select(F.col("rid").alias("a"), F.col("n").alias("na"))), "a"), MIDDLING)
     buckets = shared.table(buckets.join(_far(firsts), "sig"), MIDDLING)  # nodes that share a sketch with another, with their bucket's first
+    shared.drop(sketches, firsts)
     # the words of nodes that share a sketch with another: all that is ever aligned
     sharing = shared.table(buckets.select(F.col("node").alias("rid")).distinct(), NARROW)
     words = shared.table(words.join(_bounded(sharing, p), "rid", "left_semi").withColumn("codes", word_codes("words")), MIDDLING)
     wide, rows = rows, shared.table(rows.select("doc_id", "rid", "key"), NARROW)
     shared.drop(wide)
-    shared.drop(firsts)
     # texts of too different lengths can't align: their words needn't meet
     near = F.greatest("n", "na") - F.least("n", "na") <= F.greatest("n", "na") * (1 - p.similarity) + 1e-9
     pairs = buckets.filter(near & (F.col("node") != F.col("a"))).groupBy("a", F.col("node").alias("b")).agg((-F.count(F.lit(1))).alias("rank"))

@@ -60,6 +60,56 @@ def test_links_orders_validates_and_serialises(spark):
     assert link(spark, [], []).collect() == []
 
 
+def test_conversations_share_identifiers(spark):
+    calls = [(c, i, "find", '{"q": "x"}', a) for c in (1, 2, None) for i, a in (("call_1", None), ("call_2", "call_1"))]
+    results = [(1, "call_1", "one"), (2, "call_2", "two"), (None, "call_1", "none"), (3, "call_1", "stray")]
+    got = {(r.conv_id, r.call_id): r for r in link(spark, calls, results).collect()}
+    assert {k: r.status for k, r in got.items()} == {
+        (1, "call_1"): "ok", (1, "call_2"): "no_result", (2, "call_1"): "no_result", (2, "call_2"): "ok", (None, "call_1"): "ok", (None, "call_2"): "no_result", (3, "call_1"): "orphan_result",
+    }
+    assert [got[2, "call_2"].depth, json.loads(got[2, "call_2"].json)["result"], json.loads(got[None, "call_1"].json)["result"]] == [1, "two", "none"]
+
+
+def python_errors(value, path, schema):
+    """The same checks on parsed JSON."""
+    kinds = schema.get("type", list(chat._TYPES))
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    kind = {str: "string", int: "integer", float: "number", bool: "boolean", list: "array", dict: "object", type(None): "null"}[type(value)]
+    if kind not in kinds and not (kind == "integer" and "number" in kinds):
+        return [f"{path}: not {' or '.join(kinds)}"]
+    out = []
+    if "enum" in schema and value not in schema["enum"]:
+        out.append(f"{path}: not one of " + " ".join(json.dumps(v, sort_keys=True, separators=(",", ":")) for v in schema["enum"]))
+    if kind in ("integer", "number"):
+        out += [f"{path}: under {schema['minimum']}"] if value < schema.get("minimum", value) else []
+        out += [f"{path}: over {schema['maximum']}"] if value > schema.get("maximum", value) else []
+    if kind == "object" and "properties" in schema:
+        inner = lambda k: f"{path}.{k}" if path else k
+        for k, sub in sorted(schema["properties"].items()):
+            if k in value:
+                out += python_errors(value[k], inner(k), sub)
+            elif k in schema.get("required", ()):
+                out.append(f"{inner(k)}: missing")
+        if not schema.get("additionalProperties"):
+            out += [f"{inner(k)}: unknown" for k in sorted(set(value) - set(schema["properties"]))]
+    if kind == "array" and "items" in schema:
+        out += [e for i, x in enumerate(value) for e in python_errors(x, f"{path}[{i}]", schema["items"])]
+    return out
+
+
+def test_nested_schemas_as_a_plain_walk(spark):
+    point = {"type": "object", "properties": {"x": {"type": "number", "minimum": 0, "maximum": 9}, "tag": {"type": ["string", "null"], "enum": ["a", "b", None]}}, "required": ["x"]}
+    schema = {"type": "object", "properties": {"ps": {"type": "array", "items": point}, "o": {"type": "object", "properties": {"p": point}, "additionalProperties": True}, "n": {"type": "integer"}}, "required": ["ps"]}
+    values = [
+        {"ps": []}, {"ps": [{"x": 1}, {"x": -1, "tag": "c"}, {"tag": "a"}, 5, {"x": 10.5, "tag": None, "z": 1}]}, {"o": {"p": {"x": "1"}, "q": 1}}, {"ps": [{"x": 0}], "o": {"p": {}}, "n": 1.5, "m": 0}, {"ps": {}, "n": True},
+        {"ps": None, "o": []}, {"ps": [[{"x": 1}]], "n": 3},
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string")
+    got = {r.i: r.e for r in rows.select("i", chat.argument_errors(F.lit("t"), F.col("j"), {"t": schema}).alias("e")).collect()}
+    assert got == {i: python_errors(v, "", schema) for i, v in enumerate(values)}
+    assert sum(map(len, got.values())) > 12
+
+
 def test_long_chains_need_few_rounds(spark):
     calls = [(1, f"c{k}", "find", '{"q": "x"}', f"c{k - 1}" if k else None) for k in range(70)]
     got = {r.call_id: r.depth for r in link(spark, calls, []).collect()}
@@ -71,8 +121,8 @@ def test_conversations_with_nulls_and_repeats(spark):
     c = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, call_id string")
     got = chat.format_conversations(c).collect()
     assert len(got) == 7  # six calls and one orphan
-    assert {r.status for r in got if r.call_id == "c1-0"} == {"ok"}
-    assert {r.status for r in got if r.call_id == "c1-2"} == {"duplicate_id"}
+    at = lambda c, t: {r.status for r in got if (r.conv_id, r.call_id) == (c, t)}
+    assert at(1, "t0") == at(None, "t0") == {"invalid_arguments"} and at(1, "t2") == {"duplicate_id"} and at(2, "t0") == {"unknown_tool"} and at(3, "t4") == {"orphan_result"}
     assert {r.status for r in got if r.call_id is None} == {"no_id"}
     assert chat.format_conversations(c.limit(0)).collect() == []
 

@@ -1,16 +1,17 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are sequences of words (lower-cased runs of letters, digits and marks). An item of m words may lie in a document with up to e =
-m / 5 edits of words; cut into e + 1 pieces, one piece at least must then lie there unchanged. The pieces' hashes are looked up
-at every word of every document, and around each hit Myers' bit-parallel algorithm computes the item's least distance
-to any part of the document, which decides.
+m / 5 edits of words, rounded down; cut into e + 1 pieces, one piece at least must then lie there unchanged. The pieces'
+hashes are looked up at every word of every document, and around each hit Myers' bit-parallel algorithm computes the item's
+least distance to any part of the document, which decides.
 
-Items come to the driver in blocks of bounded size; each block is broadcast and searched for in all documents, so a benchmark of
-any size works, with one pass for each block.
+Items come to the driver in blocks of bounded size; one block at a time is broadcast and searched for in all documents. Where there
+are several, the result of each is written to the shared folder before the next is sent, so that a benchmark of any size
+works and what is broadcast doesn't grow with it.
 
-Defined results: null and empty documents hold nothing; an item of fewer than five words, or null, is not searched for (so
-little text occurs anywhere); items of five to seven words must occur exactly; equal items are reported each; an empty benchmark or
-document table gives no rows; other columns are ignored.
+Defined results: null and empty documents hold nothing; an item without words, or null, is not searched for; items of fewer than
+five words have no allowance and must occur exactly; equal items are reported each; an empty benchmark or document table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +22,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .align import infix, masks
-from .common import kept, ship, span_hashes, words_of
+from .common import Shared, kept, ship, span_hashes, words_of
 
 
 @dataclass(frozen=True)
 class Params:
     edits: float = 0.2
-    least_words: int = 5
-    least_piece: int = 4
+    #: Items of fewer words are not searched for.
+    least_words: int = 1
     #: Characters of item texts in one broadcast block.
     block_chars: int = 16_000_000
 
@@ -43,10 +44,10 @@ class Index:
     def __init__(self, words: list[np.ndarray], p: Params):
         self.p = p
         self.items = words
-        self.budget = [max(0, min(int(p.edits * len(w)), len(w) // p.least_piece - 1)) for w in words]
+        self.budget = [int(p.edits * len(w) + 1e-9) for w in words]
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for item, w in enumerate(words):
-            if len(w) < p.least_words:
+            if len(w) < max(1, p.least_words):
                 continue
             cut = np.linspace(0, len(w), self.budget[item] + 2).astype(int)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -131,22 +132,10 @@ def _blocks(benchmark: DataFrame, p: Params):
         yield block
 
 
-def searchers(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> list[Column]:
-    """For each block of items a column of the matches in text: an array of (item_id, distance, end_word)."""
-    spark = docs.sparkSession
-    ship(spark)
-    out = []
-    for block in _blocks(benchmark, p):
-        sent = spark.sparkContext.broadcast(([i for i, _ in block], words_of([t for _, t in block])))
-        key = hashlib.md5(repr(block).encode()).hexdigest()
-        out.append(_searcher(sent, key, p)("text"))
-    return out
-
-
 def _searcher(sent, key: str, p: Params):
     @F.arrow_udf("array<struct<item_id:bigint,distance:int,end_word:int>>")
     def search(texts: pa.Array) -> pa.Array:
-        index, ids = kept("decontam", key, lambda: Index(sent.value[1], p)), sent.value[0]
+        index, ids = kept("decontam", (key, p), lambda: Index(sent.value[1], p)), sent.value[0]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32())]))
         rows = []
         for k in range(0, len(texts), 128):
@@ -157,9 +146,28 @@ def _searcher(sent, key: str, p: Params):
     return search
 
 
+def _by_block(docs: DataFrame, benchmark: DataFrame, p: Params, step):
+    """What step(found) gives for each block, where found is the column of a block's matches in text: an array of (item_id, distance,
+    end_word). Of several blocks each step's result is written before the next block is sent."""
+    spark = docs.sparkSession
+    ship(spark)
+    blocks, shared = _blocks(benchmark, p), None
+    block = next(blocks, None)
+    while block is not None:
+        following = next(blocks, None)
+        sent = spark.sparkContext.broadcast(([i for i, _ in block], words_of([t for _, t in block])))
+        out = step(_searcher(sent, hashlib.md5(repr(block).encode()).hexdigest(), p)("text"))
+        if following is not None or shared is not None:
+            shared = shared or Shared(spark, "decontam")
+            out = shared.table(out)
+            sent.destroy()
+        yield out
+        block = following
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, item_id, distance, end_word: each item that lies in a document within its edit budget."""
-    found = [docs.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.*") for c in searchers(docs, benchmark, p)]
+    found = list(_by_block(docs, benchmark, p, lambda c: docs.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.*")))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, distance int, end_word int")
     return reduce(DataFrame.unionByName, found)
@@ -167,6 +175,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    for c in searchers(docs, benchmark, p):
-        docs = docs.withColumn("__lintquarry_leaks", F.size(c)).filter("__lintquarry_leaks = 0").drop("__lintquarry_leaks")
-    return docs
+    out = docs
+
+    def clean(c):
+        return out.withColumn("__lintquarry_leaks", F.size(c)).filter("__lintquarry_leaks = 0").drop("__lintquarry_leaks")
+
+    for out in _by_block(docs, benchmark, p, clean):  # noqa: B007  each block is searched for in what the one before left
+        pass
+    return out

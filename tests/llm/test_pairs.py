@@ -207,28 +207,51 @@ def leak_rows(seed=4):
     return docs, [(k, ", ".join(w)) for k, w in items]
 
 
+def leaks(docs, items, edits=0.2):
+    """Every item's least distance to a part of a document, by the plain recurrence, within a share of the item's words."""
+    out = set()
+    texts = list(zip(docs, words_of([t for _, t, _ in docs]), strict=True))
+    for (k, _), item in zip(items, words_of([t for _, t in items]), strict=True):
+        for (i, _, _), w in texts:
+            row = list(range(len(item) + 1))
+            best = row[-1]
+            for x in w.tolist():
+                new = [0]
+                for j, y in enumerate(item.tolist(), 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+                best = min(best, row[-1])
+            if len(item) and best <= len(item) * 2 // 10 * (edits > 0):
+                out.add((i, k, best))
+    return out
+
+
 def test_matches_are_those_of_brute_force(spark):
     docs, items = leak_rows()
-    p = decontam.Params()
-    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    index = decontam.Index(words_of([t for _, t in items]), p)
-    want = set()
-    for (i, _, _), w in zip(docs, words_of([t for _, t, _ in docs]), strict=True):
-        for k, (item, _) in enumerate(items):
-            scores = align.infix(align.masks(index.items[k].tolist()), len(index.items[k]), w.tolist())
-            if scores and min(scores) <= index.budget[k]:
-                want.add((i, item, min(scores)))
-    assert got == want and len(want) > 20
-    blocks = decontam.matches(documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), decontam.Params(block_chars=400)).collect()
-    assert {(r.doc_id, r.item_id, r.distance) for r in blocks} == want
-    clean = decontam.keep_clean(documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"))
-    assert {r.doc_id for r in clean.collect()} == {i for i, _, _ in docs} - {i for i, _, _ in want}
+    items += [(100 + n, " ".join(f"w{7 * n + j}" for j in range(n))) for n in range(1, 16)]
+    rng = random.Random(9)
+    for n in range(1, 16):  # each short item whole, and with as many words changed as it allows and one more
+        for changed in range(n // 5 + 2):
+            words = items[-16 + n][1].split()
+            for at in rng.sample(range(n), min(n, changed)):
+                words[at] = f"x{at}"
+            docs.append((1000 + 10 * n + changed, " ".join(["q"] * 9 + words + ["q"] * 9), "en"))
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    want = leaks(docs, items)
+    assert len(want) > 60
+    found = lambda p: {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(documents(spark, docs), frame, p).collect()}
+    assert found(decontam.Params()) == want
+    assert found(decontam.Params(edits=0.0)) == leaks(docs, items, 0.0) != want  # the workers' index is made anew
+    assert found(decontam.Params(block_chars=400)) == want
+    for p in (decontam.Params(), decontam.Params(block_chars=400)):
+        clean = decontam.keep_clean(documents(spark, docs), frame, p)
+        assert sorted(r.doc_id for r in clean.collect()) == sorted({i for i, _, _ in docs} - {i for i, _, _ in want})
 
 
 def test_matches_on_edge_cases(spark):
-    items = spark.createDataFrame([(1, "the lazy dog near the river bank today"), (2, None), (3, ""), (4, "dog"), (None, "words enough to count here"), (5, "the lazy dog near the river bank today")], "item_id bigint, text string")
+    items = spark.createDataFrame([(1, "the lazy dog near the river bank today"), (2, None), (3, "?!"), (4, "cat"), (None, "words enough to count here"), (5, "the lazy dog near the river bank today")], "item_id bigint, text string")
     got = decontam.matches(documents(spark, edge_rows()), items).collect()
-    assert {(r.doc_id, r.item_id, r.distance, r.end_word) for r in got} == {(1, 1, 0, 14), (1, 5, 0, 14)}
+    assert {(r.doc_id, r.item_id, r.distance, r.end_word) for r in got} == {(1, 1, 0, 14), (1, 5, 0, 14), (None, None, 1, 11)}
     assert decontam.matches(documents(spark, edge_rows()), items.limit(0)).collect() == []
     assert decontam.matches(documents(spark, []), items).collect() == []
-    assert decontam.keep_clean(documents(spark, edge_rows()), items).count() == len(edge_rows()) - 1
+    assert decontam.keep_clean(documents(spark, edge_rows()), items).count() == len(edge_rows()) - 2

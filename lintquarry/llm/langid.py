@@ -3,9 +3,9 @@
 A text's letters, lower-cased, with one space for everything else, give counts of hashed character n-grams; the
 vector (1 + ln count) x idf, of length one, is compared by cosine with several centroids of each language, found by
 spherical k-means in a sample of each language whose size is a parameter. The nearest centroid names the language; a text
-further from it than any text that it was made of (and a margin more) is rejected.
+further from it than nearly all texts that it was made of (and a margin more) is rejected.
 
-Defined results: null texts and texts without a letter are ``und``, score 0, rejected; equal texts have equal results; of
+Defined results: of several texts of an identifier and language the least is learned from; null texts and texts without a letter are ``und``, score 0, rejected; equal texts have equal results; of
 centroids equally near the first in order of language wins; languages that are null are not learned; with nothing to learn
 every text is ``und``; an empty table gives no rows; other columns are ignored.
 """
@@ -34,6 +34,10 @@ class Params:
     rows_per_lang: int = 400
     clusters: int = 4
     rounds: int = 12
+    #: Languages learned at most: the most frequent ones.
+    max_langs: int = 1000
+    #: A centroid reaches as far as this share of its own texts, and a margin further.
+    within: float = 0.98
     margin: float = 0.1
     #: No text nearer than this (in cosine) is rejected, however close a centroid's own texts lie.
     near: float = 0.25
@@ -117,7 +121,7 @@ def train(texts: list[np.ndarray], langs: list[str], p: Params) -> Model:
             if (near == j).any():
                 centroids.append(mid[j])
                 owner.append(k)
-                reach.append(max(1 - p.near, 1 - cos[near == j, j].min() + p.margin))
+                reach.append(max(1 - p.near, 1 - float(np.quantile(cos[near == j, j], 1 - p.within)) + p.margin))
     return Model(p, names, idf, np.stack(centroids), np.array(owner), np.array(reach))
 
 
@@ -125,12 +129,17 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
     """Learn from a bounded sample of each language among the documents that are not held out."""
     ship(docs.sparkSession)
     named = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # the first rows of each language by a hash: of each of some groups first, as one language may hold nearly all rows
-    named = named.withColumn("_order", F.xxhash64("doc_id", F.lit(p.seed)))
-    for groups in (["lang", F.pmod("_order", F.lit(16))], ["lang"]):
-        first = Window.partitionBy(*groups).orderBy("_order", "doc_id")
-        named = named.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.rows_per_lang)
-    sample = named.select("doc_id", F.col("lang").alias("_lang")).distinct()
+    # the first rows of each language by a hash, found among those below a bound that leaves about four times as many: one
+    # language may hold nearly all rows, and rows above the bound never leave their task
+    order = F.xxhash64("doc_id", F.lit(p.seed))
+    langs = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
+    bound = F.lit(None).cast("double")
+    if langs:
+        bound = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, 4.0 * p.rows_per_lang / r["count"] + 1e-9))])[F.col("lang")]
+    named = named.withColumn("_order", order).filter(F.pmod("_order", F.lit(1 << 30)) < bound * float(1 << 30))
+    first = Window.partitionBy("lang").orderBy("_order", "doc_id")
+    named = named.distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.rows_per_lang)
+    sample = named.select("doc_id", F.col("lang").alias("_lang"))
 
     def count(batches):
         for batch in batches:
@@ -141,7 +150,8 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "dims", "counts"])
 
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id").filter(F.col("lang") == F.col("_lang")).select("lang", "text")
+    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(sample), "doc_id").filter(F.col("lang") == F.col("_lang"))
+    rows = rows.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
     got = {(r[0], r[1], r[2]) for r in rows.mapInArrow(count, "lang string, dims binary, counts binary").collect()}
     got = sorted(got, key=lambda r: (r[0], hashlib.md5(r[1] + r[2]).digest()))
     x = []
@@ -161,7 +171,7 @@ def identifier(spark, model: Model):
     """A column function text -> struct(lang_pred, score, rejected)."""
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    key = hashlib.md5(model.centroids.tobytes() + repr(model.langs).encode()).hexdigest()
+    key = hashlib.md5(b"".join(a.tobytes() for a in (model.centroids, model.idf, model.owner, model.reach)) + repr((model.p, model.langs)).encode()).hexdigest()
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def identify(texts: pa.Array) -> pa.Array:

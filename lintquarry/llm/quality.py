@@ -7,7 +7,8 @@ holds each bucket's logit contribution, and scoring a text averages those instea
 taken in another order.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; equal texts have equal scores;
-labels that are null or not 0 or 1 are not learned from; of several labels of a document the least counts; without labels
+labels that are null or not 0 or 1 are not learned from; of several labels of a document the least counts, of several texts
+the least, a null one only if there is no other; without labels
 of both classes every score is 0.5; an empty table gives no rows; other columns are ignored.
 """
 
@@ -151,10 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", p: Params =
                 got = counted(part.column(2).to_pylist(), p)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[0].tobytes() for x in got], pa.binary()), pa.array([x[1].tobytes() for x in got], pa.binary())], ["doc_id", "label", "buckets", "counts"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("_label").cast("int"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("bigint"), F.col("_label").cast("int").alias("_label"), "text")
+    # one row of each identifier, however often it is there: no more than max_rows come to the driver
+    rows = rows.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     got = rows.mapInArrow(count, "doc_id bigint, label int, buckets binary, counts binary").collect()
-    got = {(r[0], r[2], r[3]): r for r in got}.values()  # a document that is there twice counts once
-    got = sorted(got, key=lambda r: (hashlib.md5(str(r[0]).encode()).digest(), r[2]))[: p.max_rows]
+    got = sorted(got, key=lambda r: hashlib.md5(str(r[0]).encode()).digest())
     return train([(np.frombuffer(r[2], np.uint32), np.frombuffer(r[3], np.uint32), r[1]) for r in got], p)
 
 
@@ -162,7 +164,7 @@ def scorer(spark, model: Model):
     """A column function text -> score."""
     ship(spark)
     sent = spark.sparkContext.broadcast((model.p, model.logits, model.bias_logit))
-    key = hashlib.md5(model.logits.tobytes()).hexdigest()
+    key = hashlib.md5(model.logits.tobytes() + repr((model.p, model.bias_logit)).encode()).hexdigest()
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:

@@ -89,5 +89,40 @@ def test_language_rejects_by_distance_and_learns_from_nothing(spark):
     m = langid.train(list(x), [g for _, _, g in rows], langid.Params())
     assert m.predict(["щука плавает в реке и никого не боится"])[0][2]
     assert not m.predict(["the river and the stone is in this"])[0][2]
+    unlearned = ["W Szczebrzeszynie chrząszcz brzmi w trzcinie", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina", "qxz wvk jjp zzq kkw vvx qpl mnb xcv lkj hgf"]
+    assert all(rejected for _, _, rejected in m.predict(unlearned))
     assert {r.lang_pred for r in langid.identify_documents(documents(spark, [(1, "some text", None)])).collect()} == {"und"}
     assert langid.identify_documents(documents(spark, [])).collect() == []
+
+
+def test_cosines_are_those_of_a_dense_loop():
+    rows, _ = corpus(60)
+    p = langid.Params(dims=256, clusters=2)
+    x, _ = langid.counts([t for _, t, _ in rows], p)
+    m = langid.train(list(x), [g for _, _, g in rows], p)
+    for (_, text, _), row, (lang, score, rejected) in zip(rows, x, m.predict([t for _, t, _ in rows]), strict=True):
+        v = [(1 + np.log(n)) * w if n else 0.0 for n, w in zip(row, m.idf, strict=True)]
+        size = sum(a * a for a in v) ** 0.5
+        cos = [sum(a * b for a, b in zip(v, c, strict=True)) / size for c in m.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert abs(score - cos[best]) < 1e-4 and lang == m.langs[m.owner[best]] and rejected == (1 - score > m.reach[best]), text
+
+
+def test_one_repeated_identifier_is_one_row_of_the_samples(spark):
+    rows, labels = corpus(40)
+    repeated = [(100, f"text number {k} of one identifier", "en") for k in range(300)]
+    docs = documents(spark, rows + repeated)
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    seen = []
+    train, quality.train = quality.train, lambda got, p: seen.append(len(got)) or train(got, p)
+    try:
+        quality.fit(docs, lab, p=SMALL)
+    finally:
+        quality.train = train
+    learn, langid.train = langid.train, lambda texts, langs, p: seen.append(len(langs)) or learn(texts, langs, p)
+    try:
+        langid.fit(docs)
+    finally:
+        langid.train = learn
+    learned = sum(not held(i) for i, _, _ in rows)
+    assert seen[0] == learned and learned / 2 < seen[1] <= learned + 1  # one text of it in either language

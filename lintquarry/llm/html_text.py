@@ -7,7 +7,8 @@ space, and the cells of a table are aligned in columns. All visible text is emit
 the main text is another operator's task.
 
 Defined results: null and empty pages give the empty text; malformed markup never fails, a stray "<" is text; equal pages give
-equal texts; trees deeper than MAX_DEPTH are cut flat there, their text kept; an empty table gives no rows; other
+equal texts; trees deeper than MAX_DEPTH are cut flat there, their text kept; a cell covers MAX_COLSPAN columns and MAX_ROWSPAN rows at
+most, all cells' text kept; very long pages take a time that grows with their length; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,15 +26,15 @@ from pyspark.sql import functions as F
 from .common import ship
 
 # Fixed values of the HTML standard: element kinds.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr caption ul".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl menu dir figure fieldset hr".split())
-CLOSES_P = BLOCK - frozenset("html body caption tbody tfoot thead tr option optgroup legend".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+RAW = frozenset({"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"})
+HIDDEN = frozenset({"head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "datalist", "title", "meta", "link", "noembed", "noframes"})
+BLOCK = frozenset({"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "caption", "ul"})
+SPACED = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "ul", "ol", "dl", "menu", "dir", "figure", "fieldset", "hr"})
+CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "option", "optgroup", "legend"}
 #: A start tag that ends open elements of these kinds, looked for up to an element of the second set.
 IMPLIED_END = {
-    "li": (frozenset({"li"}), frozenset("ul ol menu dir table".split())),
+    "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu", "dir", "table"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
     "dd": (frozenset({"dt", "dd"}), frozenset({"dl", "table"})),
     "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup"})),
@@ -45,11 +47,16 @@ IMPLIED_END = {
     "tfoot": (frozenset({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
-SCOPE = frozenset("table td th caption html template button object".split())
+SCOPE = frozenset({"table", "td", "th", "caption", "html", "template", "button", "object"})
 
 MAX_DEPTH = 200
+#: Columns and rows that one cell covers at most: a number in a page must not make its table large.
+MAX_COLSPAN, MAX_ROWSPAN = 100, 1000
+EMPTY: list[str] = []
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What a start tag's attributes go up to: its end, or a quoted value, which may hold one.
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -61,6 +68,61 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class Scanner:
+    """Tags and comments of a page, found in a time that grows with its length, however its marks are broken."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops = [m.start() for m in _STOP.finditer(page)]
+        self.ends: dict[int, int] = {}  # for a quote outside of values, where its tag ends
+        self.last = page.rfind(">")
+
+    def end_of_tag(self, at: int) -> int:
+        """The place of the > that ends a start tag whose attributes begin here; -1 if a quote stays open or there is none.
+
+        Attempts that meet at a quote end alike, so each quote is followed once.
+        """
+        passed, out = [], -1
+        while (k := bisect_left(self.stops, at)) < len(self.stops):
+            stop = self.stops[k]
+            if self.page[stop] == ">":
+                out = stop
+                break
+            if stop in self.ends:
+                out = self.ends[stop]
+                break
+            passed.append(stop)
+            at = self.page.find(self.page[stop], stop + 1) + 1
+            if not at:
+                break
+        self.ends.update(dict.fromkeys(passed, out))
+        return out
+
+    def next(self, at: int) -> tuple[int, int, str | None, str, bool] | None:
+        """(start, end, name, attributes, closing) of the first mark from here on: name None for comments and declarations."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                k = page.find("-->", start + 4)
+                return start, k + 3 if k >= 0 else len(page), None, "", False
+            if start > self.last:  # no tag can end: only an unclosed comment may follow
+                k = page.find("<!--", start)
+                return (k, len(page), None, "", False) if k >= 0 else None
+            after = page[start + 1 : start + 2]
+            if after in ("!", "?"):
+                return start, page.find(">", start) + 1, None, "", False
+            closing = after == "/"
+            m = _NAME.match(page, start + 1 + closing)
+            if m is None:
+                at = start + 1
+                continue
+            k = page.find(">", m.end()) if closing else self.end_of_tag(m.end())
+            if k >= 0:
+                return start, k + 1, m[0].lower(), "" if closing else page[m.end() : k], closing
+            at = m.end()  # within the name nothing else could end
+        return None
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root", {})
@@ -80,16 +142,18 @@ def parse(page: str) -> Node:
             if stack[k].tag in stop:
                 return
 
-    n = len(page)
+    scanner, n = Scanner(page), len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        mark = scanner.next(at)
+        if mark is None:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        start, end, tag, given, closing = mark
+        text(page[at:start])
+        at = end
+        if tag is None:
+            continue
+        if closing:
             if tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p", {}))
                 continue
@@ -100,10 +164,7 @@ def parse(page: str) -> Node:
                 if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break  # an end tag inside a cell doesn't end what stands outside it
             continue
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3] or "")}
+        attrs = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(given)}
         if tag in IMPLIED_END:
             kinds, stop = IMPLIED_END[tag]
             close_until(kinds, stop)
@@ -117,12 +178,13 @@ def parse(page: str) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            if end.start() > at:
-                raw = page[at : end.start()]
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            end = m.start() if m and m.start() < scanner.last else n
+            if end > at:
+                raw = page[at:end]
                 node.children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            at = end.end()
-        elif tag not in VOID and not (m[3] or "").rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
+            at = page.find(">", end) + 1 if end < n else n
+        elif tag not in VOID and not given.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             if len(stack) < MAX_DEPTH:
                 stack.append(node)
     return root
@@ -307,7 +369,7 @@ def _table(node: Node, depth: int) -> list[str]:
         def skip() -> None:
             while held.get(len(cells), 0) > 0:
                 held[len(cells)] -= 1
-                cells.append([])
+                cells.append(EMPTY)
 
         for cell in row.children:
             if isinstance(cell, str):
@@ -321,12 +383,12 @@ def _table(node: Node, depth: int) -> list[str]:
             skip()
             own = cell if cell.tag in ("td", "th") else _wrapped(cell)
             lines = _lines(own, depth + 1)
-            span = min(100, max(1, _int(cell.attrs.get("colspan", "1"), 1)))
-            down = min(1000, max(1, _int(cell.attrs.get("rowspan", "1"), 1)))
+            span = min(MAX_COLSPAN, max(1, _int(cell.attrs.get("colspan", "1"), 1)))
+            down = min(MAX_ROWSPAN, max(1, _int(cell.attrs.get("rowspan", "1"), 1)))
             for k in range(span):
                 if down > 1:
                     held[len(cells)] = down - 1
-                cells.append(lines if k == 0 else [])
+                cells.append(lines if k == 0 else EMPTY)
         skip()
         if any(cells):
             grid.append(cells)
@@ -358,8 +420,13 @@ def render(page: str | None) -> str:
 
 def title(page: str | None) -> str | None:
     """The text of the first title element."""
-    m = re.search(r"<title(?=[\s>])[^>]*>(.*?)(?:</title|\Z)", page or "", re.I | re.S)
-    return " ".join(html.unescape(m[1]).split()) if m else None
+    page = page or ""
+    m = re.search(r"<title(?=[\s>])", page, re.I)
+    start = page.find(">", m.end()) + 1 if m else 0
+    if not start:
+        return None
+    end = re.compile("</title", re.I).search(page, start)
+    return " ".join(html.unescape(page[start : end.start() if end else len(page)]).split())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", page_col: str = "html") -> DataFrame:

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +155,61 @@ def test_deep_and_long_pages_keep_their_text():
     assert html_text.render("<" * 3000) == "<" * 3000
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a<a", '<a ">" ', "<a '\"' ", "</b ", "<script ", "</script ", "<!x", "<title ", "<!-- ", "<a x='", '<a "\'', "<td rowspan=9 colspan=9>x<tr>"])
+def test_broken_pages_take_linear_time(part):
+    page = part * (2_000_000 // len(part)) if "td" not in part else part * 20_000
+    began = time.process_time()
+    html_text.render("<script>" * ("</s" in part) + page)
+    html_text.title(page)
+    assert time.process_time() - began < 8
+
+
+class Visible(HTMLParser):
+    """The visible text of well-formed pages, told by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html_text.VOID:
+            self.open.append(tag in ("script", "style", "template") or "hidden" in dict(attrs) or "none" in dict(attrs).get("style", ""))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not any(self.open):
+            self.out.append(data)
+
+
+def tree(rng, depth=0):
+    kind = rng.choice(["text"] * 4 + ["comment", "br", "script"] + ["element"] * (5 if depth < 5 else 0) + ["ul", "table"] * (depth < 3))
+    words = lambda: " ".join(rng.choice(["alpha", "b<", "&amp;", "é", "日本", "x&lt;y", "1"]) for _ in range(rng.randint(1, 4)))
+    if kind == "text":
+        return words() + rng.choice([" ", "\n"])
+    if kind in ("comment", "br", "script"):
+        return {"comment": "<!-- <p>no</p> -->", "br": "<br>", "script": "<script>if (a < b) { '<p>' }</script>"}[kind]
+    inner = lambda: "".join(tree(rng, depth + 1) for _ in range(rng.randint(0, 4)))
+    if kind == "ul":
+        return "<ul>" + "".join(f"<li>{inner()}</li>" for _ in range(rng.randint(1, 3))) + "</ul>"
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{words()}</td>" for _ in range(rng.randint(1, 3))) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+    tag = rng.choice(["div", "span", "b", "section", "h2", "a"])
+    return f"<{tag}{rng.choice(['', ' class=q', ' hidden', ' style=display:none', ' title=\"a > b\"'])}>{inner()}</{tag}>"
+
+
+def test_all_visible_text_in_order():
+    rng = random.Random(11)
+    for _ in range(400):
+        page = "".join(tree(rng) for _ in range(6))
+        want = Visible()
+        want.feed(page)
+        want.close()
+        bare = lambda t: "".join(t.replace("-", "").split())  # noqa: E731  without the lists' marks
+        assert bare(html_text.render(page)) == bare("".join(want.out)), page
+
+
 def test_pages_on_edge_cases(spark):
     rows = [(1, "u", "<title>A &amp; B</title><p>x", "t"), (2, None, None, "t"), (None, "u", "", "t"), (1, "u", "<title>A &amp; B</title><p>x", "t")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")

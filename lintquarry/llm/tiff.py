@@ -4,8 +4,12 @@
 plain or as PackBits, LZW or deflate, with the horizontal predictor undone. ``decode_pages`` emits one row a page.
 ``encode`` writes such files, for storing bytes and for round trips.
 
-Defined results: a null, empty or damaged file gives one row with page null and the reason in ``error``; a null
-text is stored as the empty text; equal files give equal rows; an empty table gives no rows.
+Defined results: a null or empty file, or one whose directories can't be walked, gives a row with page null and the reason in
+``error``, after the pages before it; a damaged or unsupported page gives a row of its number with the reason, and the pages after it
+are read; a page that declares more samples than its stored bytes can hold, or more than ``max_bytes``, counts as damaged before
+any memory is taken; samples of 1 and 4 bits come as bytes. A null text is stored as the empty text; a very long one as many
+pages; equal files and equal texts give equal rows; a null identifier is kept; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,11 @@ TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4,
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END = 256, 257
 
+#: Bytes that one stored byte can stand for at most, by compression.
+GROWTH = {PLAIN: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 4096}
+#: Decoded bytes of one page at most.
+MAX_BYTES = 1 << 28
+
 
 class TiffError(ValueError):
     """The file isn't a TIFF that this module can decode."""
@@ -102,6 +111,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if not table:
             raise TiffError("LZW data without a clear code")
         if not last:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             entry = table[code]
         else:
             if code > len(table):
@@ -125,25 +136,28 @@ def lzw_encode(data: bytes) -> bytes:
             out.append(held >> bits & 255)
         held &= (1 << bits) - 1
 
-    table = {bytes((k,)): k for k in range(256)}
-    size, width, run = 258, 9, b""
+    table: dict[int, int] = {}  # the code of a longer run, by its beginning's code and its last byte
+    size, width, run = 258, 9, -1
     put(LZW_CLEAR, 9)
     for k in data:
-        longer = run + bytes((k,))
-        if longer in table:
+        if run < 0:
+            run = k
+            continue
+        longer = table.get(run << 8 | k)
+        if longer is not None:
             run = longer
             continue
-        put(table[run], width)
-        table[longer] = size
+        put(run, width)
+        table[run << 8 | k] = size
         size += 1
-        run = bytes((k,))
+        run = k
         if size == 4094:  # before the code width would pass 12 bits
             put(LZW_CLEAR, 12)
-            table, size, width = {bytes((b,)): b for b in range(256)}, 258, 9
+            table, size, width = {}, 258, 9
         else:
             width = max(9, size.bit_length())
-    if run:
-        put(table[run], width)
+    if run >= 0:
+        put(run, width)
         size += 1
         width = min(12, max(9, size.bit_length()))
     put(LZW_END, width)
@@ -204,34 +218,54 @@ def _unpredicted(block: np.ndarray, predictor: int) -> np.ndarray:
     return np.cumsum(block, axis=1, dtype=block.dtype) if predictor == 2 else block
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a TIFF file in the order of its directories."""
+def walk(data: bytes, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int | None, Page | TiffError]]:
+    """The pages of a TIFF file in the order of its directories, each with its number, or what is wrong with one; what is wrong with
+    the file itself has no number and ends it."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
-        raise TiffError("no TIFF header")
+        yield None, TiffError("no TIFF header")
+        return
     (at,) = struct.unpack_from(f"{order}I", data, 4)
     seen: set[int] = set()
     while at:
         if at in seen:
-            raise TiffError("directories form a circle")
+            yield None, TiffError("directories form a circle")
+            return
         seen.add(at)
-        tags, after = _directory(data, order, at)
-        yield _page(data, order, tags, len(seen) - 1)
-        at = after
+        try:
+            tags, at = _directory(data, order, at)
+        except (TiffError, struct.error) as e:
+            yield None, TiffError(str(e))
+            return
+        number = len(seen) - 1
+        try:
+            yield number, _page(data, order, tags, number, max_bytes)
+        except (TiffError, IndexError, ValueError, OverflowError, struct.error, zlib.error, MemoryError) as e:
+            yield number, e if isinstance(e, TiffError) else TiffError(f"{type(e).__name__}: {e}")
+    if not seen:
+        yield None, TiffError("no page")
 
 
-def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
+def pages(data: bytes, max_bytes: int = MAX_BYTES) -> Iterator[Page]:
+    """The pages of a TIFF file; raises what is wrong with it."""
+    for _, page in walk(data, max_bytes):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
+
+
+def _page(data: bytes, order: str, tags: dict[int, tuple], number: int, max_bytes: int) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, bits, samples = one(WIDTH), one(HEIGHT), one(BITS, 1), one(SAMPLES, 1)
-    if not width or not height or bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
-        raise TiffError("no size, or not samples of 8 or 16 bits")
+    if not width or not height or not samples or bits not in (1, 4, 8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise TiffError("no size, or not samples of 1, 4, 8 or 16 bits")
     compression, predictor, tiled = one(COMPRESSION, PLAIN), one(PREDICTOR, 1), TILE_OFFSETS in tags
-    if predictor not in (1, 2):
-        raise TiffError(f"predictor {predictor}")
+    if compression not in GROWTH:
+        raise TiffError(f"compression {compression}")
+    if predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise TiffError(f"predictor {predictor} of samples of {bits} bits")
     planes = samples if one(PLANAR, 1) == 2 else 1
     depth = 1 if planes > 1 else samples
-    kind = np.dtype(f"{order}u{bits // 8}")
-    out = np.empty((height, width, planes, depth), np.uint8 if bits == 8 else np.uint16)
     if tiled:
         across, down = one(TILE_WIDTH), one(TILE_HEIGHT)
         offsets, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ())
@@ -243,16 +277,29 @@ def _page(data: bytes, order: str, tags: dict[int, tuple], number: int) -> Page:
     cols, rows = -(-width // across), -(-height // down)
     if len(offsets) < cols * rows * planes or len(counts) < len(offsets):
         raise TiffError("missing strips or tiles")
-    k = 0
-    for plane in range(planes):
-        for r in range(rows):
-            for c in range(cols):
-                high = down if tiled else min(down, height - r * down)
-                raw = unpacked(data[offsets[k] : offsets[k] + counts[k]], compression, high * across * depth * kind.itemsize)
-                block = _unpredicted(np.frombuffer(raw, kind).reshape(high, across, depth).astype(out.dtype), predictor)
-                y, x = r * down, c * across
-                out[y : y + high, x : x + across, plane] = block[: height - y, : width - x]
-                k += 1
+    # what is declared against what is there, before any memory is taken
+    row_bytes = -(-across * depth * bits // 8)
+    size = width * height * samples * max(1, bits // 8)
+    whole = row_bytes * down
+    if max(size, whole) > max_bytes:
+        raise TiffError(f"{max(size, whole)} bytes are more than {max_bytes}")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    blocks = []
+    for k in range(cols * rows * planes):
+        high = down if tiled else min(down, height - (k // cols % rows) * down)
+        stored = data[offsets[k] : offsets[k] + counts[k]]
+        if row_bytes * high > len(stored) * GROWTH[compression]:
+            raise TiffError(f"{len(stored)} bytes can't hold a strip or tile of {row_bytes * high}")
+        blocks.append((stored, high))
+    out = np.empty((height, width, planes, depth), np.uint16 if bits == 16 else np.uint8)
+    for k, (stored, high) in enumerate(blocks):
+        raw = np.frombuffer(unpacked(stored, compression, row_bytes * high), np.uint8).reshape(high, row_bytes)
+        if bits < 8:
+            raw = np.unpackbits(raw, axis=1) if bits == 1 else np.stack([raw >> 4, raw & 15], axis=2).reshape(high, -1)
+            raw = np.ascontiguousarray(raw[:, : across * depth])
+        block = _unpredicted(raw.view(kind).reshape(high, across, depth).astype(out.dtype), predictor)
+        plane, y, x = k // (cols * rows), k // cols % rows * down, k % cols * across
+        out[y : y + high, x : x + across, plane] = block[: height - y, : width - x]
     return Page(number, width, height, samples, bits, compression, predictor, tiled, out.reshape(height, width, samples).tobytes())
 
 
@@ -305,21 +352,19 @@ def encode(images: list[np.ndarray], compression: int = DEFLATE, predictor: int
 PAGE_SCHEMA = "id bigint, page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, data binary, error string"
 
 
-def decode_pages(df: DataFrame, id_col: str, file_col: str) -> DataFrame:
-    """One row for each page of the TIFF files of a binary column."""
+def decode_pages(df: DataFrame, id_col: str, file_col: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """One row for each page of the TIFF files of a binary column; pages leave one at a time, however many a file has."""
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
 
     def rows(batches):
         for batch in batches:
             for i, data in zip(batch.column(0), batch.column(1), strict=True):
-                got, i = [], i.as_py()
-                try:
-                    got += [(i, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None) for p in pages(data.as_py() or b"")]
-                    if not got:
-                        raise TiffError("no page")
-                except TiffError as e:
-                    got.append((i, *[None] * 9, str(e)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*got, strict=True), TYPES, strict=True)], names)
+                for number, p in walk(data.as_py() or b"", max_bytes):
+                    if isinstance(p, TiffError):
+                        row = (i.as_py(), number, *[None] * 8, str(p))
+                    else:
+                        row = (i.as_py(), p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.data, None)
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, TYPES, strict=True)], names)
 
     TYPES = [pa.int64(), *[pa.int32()] * 7, pa.bool_(), pa.binary(), pa.string()]
     ship(df.sparkSession)
@@ -336,16 +381,25 @@ def payload(text: str | None) -> tuple[bytes, int]:
     return data + b"\0" * ((-len(data)) % WIDTH_SAMPLES or (0 if data else WIDTH_SAMPLES)), len(data)
 
 
+#: Rows of samples of one page; a longer text has more pages.
+PAGE_ROWS = 1024
+#: How texts are stored, by turns: compression, predictor, side of tiles or 0 for strips.
+FORMS = [(DEFLATE, 2, 0), (LZW, 1, 0), (PACKBITS, 1, 64), (OLD_DEFLATE, 1, 32)]
+
+
 def stored(text: str | None) -> tuple:
-    """A text kept as a one-page TIFF of 64 grey samples a row, read back through pages()."""
+    """A text kept as a TIFF of 64 grey samples a row, read back through pages(). A checksum chooses the form, so that equal texts are
+    stored alike."""
     data, n = payload(text)
-    media = encode([np.frombuffer(data, np.uint8).reshape(-1, WIDTH_SAMPLES)])
-    (page,) = pages(media)
-    back = page.data
+    rows = np.frombuffer(data, np.uint8).reshape(-1, WIDTH_SAMPLES)
+    compression, predictor, tile = FORMS[zlib.crc32(data) % len(FORMS)]
+    media = encode([rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)], compression, predictor, rows_per_strip=256, tile=tile)
+    got = list(pages(media))
+    back = b"".join(p.data for p in got)
     grey = np.frombuffer(back, np.uint8)
     levels = np.bincount(grey, minlength=256)
     share = levels[levels > 0] / len(grey)
-    feature = f"{page.width}x{page.height};mean={grey.mean():.4f};levels={len(share)};entropy={-(share * np.log2(share)).sum():.4f}"
+    feature = f"{len(got)}x{got[0].width}x{sum(p.height for p in got)};{compression};mean={grey.mean():.4f};levels={len(share)};entropy={-(share * np.log2(share)).sum():.4f}"
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH_SAMPLES:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 

@@ -88,12 +88,66 @@ def test_big_endian_and_16_bit():
     assert np.frombuffer(page.data, np.uint16).tolist() == [1, 2, 258, 65535]
 
 
+def crafted(tags, body=b""):
+    """A little-endian file of one page: body at 8, then its directory."""
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in sorted(tags)) + b"\0\0\0\0"
+    return b"II" + struct.pack("<HI", 42, 8 + len(body)) + body + ifd
+
+
+def hostile():
+    page = lambda w, h, comp=1, body=b"x" * 40, **more: crafted([(256, 4, w), (257, 4, h), (258, 3, 8), (259, 3, comp), (273, 4, 8), (277, 3, 1), (278, 4, more.get("rows", h)), (279, 4, len(body))], body)
+    tile = lambda side: crafted([(256, 4, 4), (257, 4, 4), (258, 3, 8), (259, 3, 8), (322, 4, side), (323, 4, side), (324, 4, 8), (325, 4, 40), (277, 3, 1)], b"x" * 40)
+    lzw = bytes([0b10000000, 0b01000000, 0b11111111, 0xFF])  # a clear code, then one that no table has yet
+    most = 2**32 - 1
+    return [page(most, most), page(2**18, 2**18), page(2**18, 2**18, 8), page(8, 8, 5, lzw), tile(most), tile(0), page(4, 4, 8), page(4, 4, 99), page(8, 8, 32773, b"\x81"), page(2**13, 2**13, 5), page(4, 4, 1, rows=0)]
+
+
+def test_hostile_files_fail_no_task(spark):
+    good = tiff.encode([np.ones((4, 4), np.uint8)])
+    files = [*hostile(), good]
+    df = spark.createDataFrame(list(enumerate(files)), "file_id bigint, body binary")
+    got = {r.id: r for r in tiff.decode_pages(df, "file_id", "body").collect()}
+    assert len(got) == len(files) and all((r.error is None) == (i == len(files) - 1) for i, r in got.items())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 3), st.lists(st.tuples(st.integers(0, 400), st.integers(0, 255)), max_size=6))
+def test_changed_bytes_raise_nothing_else(form, changes):
+    compression, predictor, tile = tiff.FORMS[form]
+    data = bytearray(tiff.encode([np.arange(300, dtype=np.uint8).reshape(10, 30)] * 2, compression, predictor, rows_per_strip=4, tile=tile))
+    for at, value in changes:
+        data[at % len(data)] = value
+    assert all(isinstance(p, (tiff.Page, tiff.TiffError)) for _, p in tiff.walk(bytes(data), 1 << 20))
+
+
+def test_one_bad_page_leaves_the_others():
+    images = [np.full((6, 6), k, np.uint8) for k in range(3)]
+    data = bytearray(tiff.encode(images, tiff.PLAIN, 1))
+    at = data.rindex(bytes([1] * 36))  # of the second page: its strip's count, after the samples, becomes too large for the file
+    second = data.index(struct.pack("<HHII", 279, 4, 1, 36), at)
+    struct.pack_into("<HHII", data, second, 256, 4, 1, 4000)
+    got = list(tiff.walk(bytes(data)))
+    assert [n for n, _ in got] == [0, 1, 2] and [isinstance(p, tiff.TiffError) for _, p in got] == [False, True, False]
+
+
+@pytest.mark.parametrize("bits", [1, 4])
+def test_samples_of_few_bits(bits):
+    samples = np.random.default_rng(1).integers(0, 1 << bits, (5, 11), np.uint8)
+    if bits == 1:
+        body = np.packbits(samples, axis=1).tobytes()
+    else:
+        body = (np.pad(samples, ((0, 0), (0, 1)))[:, ::2] << 4 | np.pad(samples, ((0, 0), (0, 1)))[:, 1::2]).astype(np.uint8).tobytes()
+    packed = tiff.pack_bits(body)
+    (page,) = tiff.pages(crafted([(256, 4, 11), (257, 4, 5), (258, 3, bits), (259, 3, 32773), (273, 4, 8), (277, 3, 1), (278, 4, 5), (279, 4, len(packed))], packed))
+    assert page.data == samples.tobytes() and page.bits == bits
+
+
 def test_damaged_files_give_a_reason(spark):
     good = tiff.encode([np.ones((4, 4), np.uint8)] * 2)
     rows = [(1, good), (2, None), (3, b""), (4, b"II*\0junk"), (5, good[:40]), (6, b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", 0) + struct.pack("<I", 8))]
     df = spark.createDataFrame(rows, "file_id bigint, body binary")
     got = tiff.decode_pages(df, "file_id", "body").collect()
-    assert Counter(r.id for r in got) == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1}
+    assert Counter(r.id for r in got) == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 6: 2}  # 6: an empty page, then a circle
     assert all((r.error is None) == (r.id == 1) for r in got)
     assert tiff.decode_pages(df.limit(0), "file_id", "body").collect() == []
 
@@ -109,6 +163,8 @@ def test_stored_texts_on_edge_cases(spark):
         want = (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert want in {x[:4] for x in got[i]}
     assert got[6] == got[7]
+    assert {x[-1].split(";")[1] for i in got for x in got[i]} == {str(c) for c, _, _ in tiff.FORMS}
+    assert max(int(x[-1].split("x")[0]) for i in got for x in got[i]) > 5
     assert tiff.store_texts(documents(spark, [])).collect() == []
 
 

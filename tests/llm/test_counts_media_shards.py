@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter
@@ -193,3 +194,40 @@ def test_shards_are_even_and_gapless(spark, n):
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in rows)
     curve = [c for _, _, c in sorted((r.shard, r.slot, r.curve) for r in got)]
     assert curve == sorted(curve)
+
+
+def spread_rows(n=900):
+    rng = random.Random(3)
+    rows = [(i, "x" * int(10 ** rng.uniform(1, 4)) + str(i), rng.choice("abcd"), f"s{rng.randrange(20):02}") for i in range(n)]
+    rows += [(n + 10 * k + j, f"copy {k} " * 30, rows[k][2], rows[k][3] if k % 2 else f"s{j:02}") for k in range(12) for j in range(5)]
+    return rows + [(None, None, None, None), (n + 900, "", None, "s01")]
+
+
+def test_shards_are_the_cuts_of_one_sort_and_narrow_in_each_dimension(spark):
+    rows = spread_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = hilbert.shard_documents(docs).collect()
+    curve = hilbert.hilbert_index(np.array([[r.lang_cell, r.source_cell, r.length_cell] for r in got]), 5)
+    assert all(r.curve in (-1, c) for r, c in zip(got, curve, strict=True))
+    # shard and slot again, from one sorted list
+    want, at = {}, 0
+    order = sorted(got, key=lambda r: (r.curve, r.text_crc32, r.size, -1 if r.doc_id is None else r.doc_id))
+    for k in range(16):
+        size = len(rows) // 16 + (k < len(rows) % 16)
+        want |= {r.doc_id: (k, s) for s, r in enumerate(order[at : at + size])}
+        at += size
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+    # equal texts: split by a cut only
+    groups, meta = {}, {i: (g, s) for i, _, g, s in rows}
+    for r in got:
+        groups.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    assert sum(len(v) > 1 for v in groups.values()) <= 15 and all(max(v) - min(v) == len(v) - 1 for v in groups.values())
+    # cells are in the order of their values, and files can be skipped by least and greatest value
+    assert all((a.lang_cell <= b.lang_cell) == (meta[a.doc_id][0] <= meta[b.doc_id][0]) for a in got[:60] for b in got[:60] if None not in (a.doc_id, b.doc_id))
+    ranges = {}
+    for r in got:
+        if r.doc_id is not None and meta[r.doc_id][0] is not None:
+            for d, v in enumerate((*meta[r.doc_id], r.size)):
+                ranges.setdefault((d, r.shard), []).append(v)
+    read = lambda d, values: sum(min(v) <= x <= max(v) for x in values for (e, _), v in ranges.items() if e == d) / len(values)
+    assert read(0, "abcd") < 9 and read(1, [f"s{k:02}" for k in range(20)]) < 10 and read(2, [30, 100, 300, 1000, 3000]) < 9

@@ -11,7 +11,8 @@ Decoding streams: a UTF-8 state machine carries unfinished characters from token
 is made once and kept.
 
 Defined results: null and empty texts have no tokens; equal texts have equal ids; a pre-token of any length is read
-byte by byte; malformed bytes decode as U+FFFD; an empty table gives no rows; other columns are ignored.
+byte by byte; malformed bytes decode as U+FFFD; an empty table gives no rows; other columns are ignored, and one that bears the name
+asked for the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, ship
+from .common import Strangers, every_character, kept, ship
 
 #: Determinised steps that a worker keeps at most; at the bound all states are dropped and made again as needed.
 MAX_STEPS = 1 << 20
@@ -287,24 +289,44 @@ class StreamingDecoder:
 # ---------------------------------------------------------------- whole texts
 
 
+@cache
+def strange_letters() -> str:
+    """Characters that are letters or numbers by the regex module's tables and not by the encoding library's, or the other way."""
+    import regex
+    import tiktoken
+
+    every, out = every_character(), set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        library = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks={bytes((i,)): i for i in range(256)}, special_tokens={})
+        out |= set(library.decode(library.encode_ordinary(every))) ^ set(regex.findall(kind, every))
+    return "".join(sorted(out))
+
+
 class Codec:
     """Encodes texts, each match of the pattern separately, and decodes ids."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, strange: str | None = None):
         import regex
 
         self.transducer = Transducer(ranks_of(data))
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.split = self.pattern.findall
+        self.strangers = Strangers(strange_letters() if strange is None else strange)
         # two generations: when the younger is full the elder goes, but words still in use have moved to the younger
         self.words: dict[str, tuple[int, ...]] = {}
         self.elder: dict[str, tuple[int, ...]] = {}
         self.decoder = StreamingDecoder(self.transducer.bytes_of)
         self.decimal = {i: str(i) for i in self.transducer.bytes_of}
 
+    def matches(self, text: str) -> list[str]:
+        if self.strangers.within(text):
+            return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.strangers.table))]
+        return self.split(text)
+
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         get, extend = self.words.get, out.extend
-        for word in self.split(text or ""):
+        for word in self.matches(text or ""):
             ids = get(word)
             if ids is None:
                 ids = self.elder.get(word)
@@ -331,7 +353,7 @@ class Codec:
 def _sent(spark, ranks_path: str, pattern: str):
     with open(ranks_path, "rb") as f:
         data = f.read()
-    sent = spark.sparkContext.broadcast((data, pattern))
+    sent = spark.sparkContext.broadcast((data, pattern, strange_letters()))
     ship(spark)
     key = hashlib.md5(data + pattern.encode()).hexdigest()
     return lambda: kept("bpe", key, lambda: Codec(*sent.value))

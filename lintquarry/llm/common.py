@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -222,3 +223,28 @@ def words_of(texts: list[str | None]) -> list[np.ndarray]:
         cut = np.searchsorted(s, starts), np.searchsorted(s, ends)
         out += [h[a:b] for a, b in zip(*cut, strict=True)]
     return out
+
+
+# ---------------------------------------------------------------- character classes of other libraries
+
+
+def every_character() -> str:
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+class Strangers:
+    """Characters that a library's Unicode tables know otherwise than the tables here, being older or newer."""
+
+    #: Neither letter nor number nor space, in any version.
+    STAND_IN = "\ue000"
+
+    def __init__(self, characters: str):
+        known = np.zeros(0x110000, bool)
+        known[list(map(ord, characters))] = True
+        spans = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(*runs(known), strict=True))
+        self.table = dict.fromkeys(map(ord, characters), self.STAND_IN)
+        self.far = re.compile(f"[{min(characters)}-\U0010ffff]").search if characters else None
+        self.any = re.compile(f"[{spans}]").search if characters else None
+
+    def within(self, text: str) -> bool:
+        return self.far is not None and not text.isascii() and self.far(text) is not None and self.any(text) is not None

@@ -34,6 +34,14 @@ def test_odd_texts(text):
     assert CODEC.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+def test_letters_of_other_unicode_versions():
+    strange = bpe.strange_letters()
+    rng = random.Random(4)
+    for k in range(0, len(strange), 97):
+        text = "".join(rng.choice([strange[k], "a", "¨", " ", "1", "'s", "é"]) for _ in range(20))
+        assert CODEC.encode(text) == LIBRARY.encode_ordinary(text)
+
+
 def test_neighbours_by_spines_agree_with_merging():
     rng, t = random.Random(1), CODEC.transducer
     ids = list(t.bytes_of)

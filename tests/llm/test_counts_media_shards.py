@@ -36,12 +36,32 @@ def test_special_strings_and_odd_letters():
     assert COUNTER.count(texts) == library(texts)
 
 
+def test_characters_of_other_unicode_versions():
+    strange, rng = token_counts.strange_characters(), random.Random(4)
+    texts = ["".join(rng.choice([c, "a", "¨", " ", "1", "'s", "é"]) for _ in range(20)) for c in strange[::97]]
+    assert COUNTER.count(texts) == library(texts)
+
+
 def test_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_WORDS", 2)
     texts = ["zzyzx qwrtp plmok nbvcx", "qwrtp zzyzx zzyzx"] * 3
     assert COUNTER.count(texts) == library(texts)
 
 
+def test_the_table_holds_the_frequent_pretokens_of_every_partition(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["the", "Unbelievably", "naïveté", "x1", "qzxv"], [9, 7, 5, 3, 1], k=50)) for _ in range(200)] + [None, ""]
+    docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)]).repartition(5)
+    model = open(MODEL, encoding="utf-8").read()
+    total = Counter(w for t in texts for w in COUNTER.pretokens(t or ""))
+    want = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
+    for n in (3, 100):
+        assert token_counts.frequent_words(docs, model, token_counts.Params(frequent=n)) == want[:n]
+    assert max(COUNTER.lengths(want)) > 1
+    few = token_counts.Params(frequent=3, sample_docs=40)
+    assert [r.n_tokens for r in token_counts.count_tokens(docs, MODEL, p=few).orderBy("doc_id").collect()] == library(texts)
+
+
 def test_count_operator_on_edge_cases(spark):
     rows = edge_rows()
     got = token_counts.count_tokens(documents(spark, rows), MODEL).collect()

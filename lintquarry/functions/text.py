@@ -69,9 +69,9 @@ def is_code_line(line: Column) -> Column:
 
 
 def longest_literal(line: Column) -> Column:
-    """Length of the longest quoted literal, quotes included; one that isn't closed runs to the end."""
+    """Length, in UTF-16 units, of the longest quoted literal, quotes included; one that isn't closed runs to the end."""
     found = F.regexp_extract_all(line, F.lit(r"(\"(?:\\.|[^\"\\])*\"?|'(?:\\.|[^'\\])*'?)"), 1)
-    return F.coalesce(F.array_max(F.transform(found, lambda x: F.length(x))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(found, lambda x: utf16_length(x))), F.lit(0))
 
 
 def significant_words(c: Column) -> Column:
@@ -190,10 +190,11 @@ def database_type(url: Column) -> Column:
 
 
 def render(template: Column, values: Column) -> Column:
-    """${name} replaced by the map's value; unknown names stay; \\${ is a plain ${."""
-    held = F.replace(template, F.lit("\\${"), F.lit("\x01"))
-    filled = F.aggregate(F.map_entries(values), held, lambda t, e: F.replace(t, F.concat(F.lit("${"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
-    return F.replace(filled, F.lit("\x01"), F.lit("${"))
+    """${name} replaced by the map's value, once: what a value brings in is not read again. Unknown names stay; \\${ is a plain ${."""
+    parts = F.split(template, r"(?=(?<!\\)\$\{[^}]+\})|(?<=\})")
+    name = lambda p: trimmed(F.substring(p, F.lit(3), F.length(p) - 3))
+    filled = F.transform(parts, lambda p: F.when(p.rlike(r"^\$\{[^}]+\}$"), F.coalesce(F.try_element_at(values, name(p)), p)).otherwise(p))
+    return F.replace(F.array_join(filled, ""), F.lit("\\${"), F.lit("${"))
 
 
 def json_array(text: Column) -> Column:
@@ -204,3 +205,15 @@ def json_array(text: Column) -> Column:
 
 def json_int(text: Column, key: str, default: int) -> Column:
     return F.coalesce(F.get_json_object(text, f"$.{key}").try_cast("int"), F.lit(default))
+
+
+def json_path(text: Column, path: str | None) -> Column:
+    """What stands in a JSON text at a path like a[0].b.c, as text; null for no path and for what isn't there."""
+    return F.get_json_object(text, f"$.{path}" if not path.startswith("[") else f"${path}") if path else F.lit(None).cast("string")
+
+
+def partner_location(description: Column) -> Column:
+    """The second place, file:from-to, that a duplicate's description in the older wording names."""
+    # Fixed value: how that wording introduces the second place.
+    found = F.regexp_extract(description, r"位置二：(.+:\d+-\d+)", 1)
+    return F.when(found != "", found)

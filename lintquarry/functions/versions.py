@@ -40,17 +40,16 @@ def compare_maven(a: Column, b: Column, strict_padding: bool = False) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(F.filter(parts, lambda s: s != 0), F.lit(0)), F.lit(0)))
 
 
-def release_key(v: Column, width: int = 6) -> Column:
-    """A sortable array of numbers: the leading digits of each segment, 0 for none, padded."""
-    parts = F.filter(F.split(strip_v(v), r"[^0-9A-Za-z]+"), lambda s: s != "")
-    numbers = F.transform(parts, lambda s: F.coalesce(F.regexp_extract(s, r"^(\d{1,9})", 1).try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0), width)), 1, width)
+def release_key(v: Column) -> Column:
+    """The numbers of a version's segments, all of them: leading digits, 0 for none; sortable where the numbers of segments agree."""
+    return F.transform(F.split(strip_v(v), r"[^0-9A-Za-z]+"), lambda s: F.coalesce(F.regexp_extract(s, r"^(\d{1,38})", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
 
 
 def compare_release(a: Column, b: Column) -> Column:
     """-1, 0 or 1; missing segments and such without a number count as 0."""
-    x, y = release_key(a), release_key(b)
-    return F.when(x < y, -1).when(x > y, 1).otherwise(F.when(a.isNotNull() & b.isNotNull(), 0))
+    zero = F.lit(0).cast("decimal(38,0)")
+    order = F.zip_with(release_key(a), release_key(b), lambda x, y: F.when(F.coalesce(x, zero) < F.coalesce(y, zero), -1).when(F.coalesce(x, zero) > F.coalesce(y, zero), 1).otherwise(0))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.get(F.filter(order, lambda c: c != 0), F.lit(0)), F.lit(0)))
 
 
 def strip_v(v: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Call graph operators."""
+"""Call graph operators. Every key holds the task: scans see their own files only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -18,40 +18,49 @@ def unused_methods(methods: DataFrame, edges: DataFrame) -> DataFrame:
     """
     entry = F.col("is_public") | F.col("is_override") | F.col("is_ctor") | F.col("is_abstract") | F.col("is_native")
     own = methods.filter(~F.coalesce(entry, F.lit(False))).filter(~F.col("class_name").rlike(EXTERNAL))
-    called = edges.select(F.col("callee").alias("method")).distinct()
-    return own.join(called, "method", "left_anti")
+    called = edges.select("task_id", F.col("callee").alias("method")).distinct()
+    return own.join(called, ["task_id", "method"], "left_anti")
+
+
+def deduplicated(methods: DataFrame, order: str) -> DataFrame:
+    """One row of each method of a task by class, name and descriptor: the last in the order."""
+    key = ["task_id", "class_name", "method", "descriptor"]
+    rest = [c for c in methods.columns if c not in key]
+    return methods.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*key, "_last.*").select(*methods.columns)
 
 
 def callers_of(edges: DataFrame) -> DataFrame:
     """Each callee with its number of callers and calls and its first caller."""
-    return edges.groupBy("callee_class", "callee").agg(F.count_distinct("caller").alias("callers"), F.count(F.lit(1)).alias("calls"), F.min("caller").alias("first_caller"))
+    return edges.groupBy("task_id", "callee_class", "callee").agg(F.count_distinct("caller").alias("callers"), F.count(F.lit(1)).alias("calls"), F.min("caller").alias("first_caller"))
 
 
 def graph_stats(methods: DataFrame, edges: DataFrame) -> DataFrame:
-    m = methods.agg(F.count(F.lit(1)).alias("n_methods"), F.count_distinct("class_name").alias("n_classes"))
-    e = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("callee").alias("n_called"))
-    return m.join(e)  # one row beside one row
+    """Of each task with methods: its methods, classes, calls and names called."""
+    m = methods.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_methods"), F.count_distinct("class_name").alias("n_classes"))
+    e = edges.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("callee").alias("n_called"))
+    return m.join(e, "task_id", "left").fillna(0, ["n_edges", "n_called"])
 
 
 def deprecated_calls(methods: DataFrame, edges: DataFrame) -> DataFrame:
     """Calls to a deprecated method of the same file, by name: one row for each matching method."""
-    old = methods.filter("is_deprecated").select("file_path", F.col("method").alias("callee"), "arity")
-    return edges.join(old, ["file_path", "callee"])
+    old = methods.filter("is_deprecated").select("task_id", "file_path", F.col("method").alias("callee"), "arity")
+    return edges.join(old, ["task_id", "file_path", "callee"])
 
 
 def nonnull_returns(seeds: DataFrame, depends: DataFrame, rounds: int = 5) -> DataFrame:
-    """Methods proven never to return null: the seeds, and those all of whose returned calls are proven, grown for some rounds.
+    """Methods (task_id, method) proven never to return null: the seeds, and those all of whose returned calls are proven, grown for some
+    rounds.
 
-    depends: method, on (a method whose result it returns). seeds: method. The number proven decides when to stop; each round's
-    table is cut from its lineage by a checkpoint.
+    depends: task_id, method, on (a method whose result it returns). seeds: task_id, method. What never changes is written once; the number
+    proven decides when to stop; each round's table is cut from its lineage by a checkpoint.
     """
-    known = seeds.select("method").distinct()
-    need = depends.groupBy("method").agg(F.count_distinct("on").alias("n"))
+    key = ["task_id", "method"]
+    known = seeds.select(*key).distinct()
+    depends = checkpointed(depends.select(*key, "on").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key))))
     size = -1
     for _ in range(rounds):
-        met = depends.distinct().join(known.withColumnRenamed("method", "on"), "on").groupBy("method").agg(F.count(F.lit(1)).alias("met"))
-        proven = met.join(need, "method").filter("met = n").select("method")
-        known = checkpointed(known.union(proven).distinct())
+        met = depends.join(known.withColumnRenamed("method", "on"), ["task_id", "on"]).groupBy(*key, "n").agg(F.count(F.lit(1)).alias("met"))
+        known = checkpointed(known.union(met.filter("met = n").select(*key)).distinct())
         now = known.count()
         if now == size:
             break
@@ -60,24 +69,28 @@ def nonnull_returns(seeds: DataFrame, depends: DataFrame, rounds: int = 5) -> Da
 
 
 def null_proof(candidates: DataFrame, sites: DataFrame, depth: int = 6) -> DataFrame:
-    """Candidate parameters with whether they are proven non-null: proven if they have call sites and every site's argument is.
+    """Candidate parameters (task_id, param) with whether they are proven non-null: proven if they have call sites and every site's argument
+    is.
 
-    candidates: param. sites: param, arg_kind (self: evident, param: hangs on another parameter, none: not provable), arg (that
-    parameter). Parameters start as proven (cycles are taken in good faith) and fall round by round, as far as the depth
-    allows; what would need a deeper chain falls too.
+    candidates: task_id, param. sites: task_id, param, arg_kind (self: evident, param: hangs on another parameter, none: not provable), arg
+    (that parameter). Parameters start as proven (cycles are taken in good faith) and fall round by round, as far as the depth
+    allows; what would need a deeper chain falls too. What is evident of a parameter's sites is written once, beside the
+    parameters that the rest hang on.
     """
-    state = candidates.select("param").distinct().join(sites.select("param").distinct().withColumn("seen", F.lit(True)), "param", "left")
-    state = state.select("param", F.coalesce("seen", F.lit(False)).alias("proven"))
+    key = ["task_id", "param"]
+    kind = F.col("arg_kind")
+    evident = sites.groupBy(*key).agg(F.bool_and(kind.isin("self", "param")).alias("ok"))
+    hangs = checkpointed(sites.filter(kind == "param").select(*key, "arg").distinct())
+    state = candidates.select(*key).distinct().join(evident, key, "left").select(*key, F.coalesce("ok", F.lit(False)).alias("proven"))
     state = checkpointed(state)
     for _ in range(depth):
-        of = state.select(F.col("param").alias("arg"), F.col("proven").alias("arg_proven"))
-        good = F.when(F.col("arg_kind") == "self", True).when(F.col("arg_kind") == "param", F.coalesce("arg_proven", F.lit(False))).otherwise(False)
-        all_good = sites.join(of, "arg", "left").groupBy("param").agg(F.bool_and(good).alias("ok"))
-        after = state.join(all_good, "param", "left").select("param", (F.col("proven") & F.coalesce("ok", F.lit(False))).alias("proven"), F.col("proven").alias("was"))
+        of = state.select("task_id", F.col("param").alias("arg"), F.col("proven").alias("arg_proven"))
+        met = hangs.join(of, ["task_id", "arg"], "left").groupBy(*key).agg(F.bool_and(F.coalesce("arg_proven", F.lit(False))).alias("ok"))
+        after = state.join(met, key, "left").select(*key, (F.col("proven") & F.coalesce("ok", F.lit(True))).alias("proven"), F.col("proven").alias("was"))
         after = checkpointed(after)
+        state = after.select(*key, "proven")
         if not after.filter("proven != was").limit(1).count():
-            return after.select("param", "proven")
-        state = after.select("param", "proven")
+            break
     return state
 
 

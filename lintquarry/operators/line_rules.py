@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,8 +13,8 @@ PLACEHOLDER = r"(?i)^\s*$|\$\{|^__\w+__$|^(null|none|empty|undefined|example|sam
 
 
 def first_per_file(hits: DataFrame, n: int = 10, order: str = "line_no") -> DataFrame:
-    """The first n hits of each file, in document order."""
-    rank = F.row_number().over(Window.partitionBy("file_path").orderBy(order))
+    """The first n hits of each file of a task, in document order."""
+    rank = F.row_number().over(Window.partitionBy("task_id", "file_path").orderBy(order))
     return hits.withColumn("_n", rank).filter(F.col("_n") <= n).drop("_n")
 
 
@@ -39,11 +39,16 @@ def secrets(lines: DataFrame) -> DataFrame:
     """
     pattern = r"([A-Za-z_][A-Za-z0-9_.]*)\s*[=:]\s*[\"']([^\"']*)[\"']"
     out = lines.withColumn("name", F.regexp_extract("line", pattern, 1)).withColumn("value", F.regexp_extract("line", pattern, 2))
-    out = out.filter((F.col("name") != "") & F.col("name").rlike(SECRET_NAME) & (F.length("value") >= 6) & ~F.col("value").rlike(PLACEHOLDER))
-    address = F.col("name").rlike("(?i)(url|uri|endpoint)") & F.col("value").rlike("(?i)^https?://") & ~F.col("value").rlike("(?i)^https?://[^/]*@")
-    words = T.significant_words(F.col("value"))
-    echo = (F.size(words) >= 2) & F.arrays_overlap(words, T.significant_words(F.col("name")))
-    return out.filter(~address & ~F.coalesce(echo, F.lit(False)))
+    return out.filter(is_secret(F.col("name"), F.col("value")))
+
+
+def is_secret(name: Column, value: Column) -> Column:
+    """Whether a literal under a name is a secret: of lines and of trees alike."""
+    address = name.rlike("(?i)(url|uri|endpoint)") & value.rlike("(?i)^https?://") & ~value.rlike("(?i)^https?://[^/]*@")
+    words = T.significant_words(value)
+    echo = (F.size(words) >= 2) & F.arrays_overlap(words, T.significant_words(name))
+    found = (name != "") & name.rlike(SECRET_NAME) & (T.utf16_length(value) >= 6) & ~value.rlike(PLACEHOLDER)
+    return F.coalesce(found & ~address & ~F.coalesce(echo, F.lit(False)), F.lit(False))
 
 
 # Naming patterns of each kind of name.

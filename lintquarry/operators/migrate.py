@@ -48,13 +48,14 @@ def import_only(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     """Duplicate issues (id) of two places or more all of whose lines are package, import, comment or blank lines, one an import at
     least.
 
-    ranges: id, file_path, s, e. lines: file_path, line_no, line.
+    ranges: id, task_id, file_path, s, e. lines: task_id, file_path, line_no, line.
     """
-    numbers = ranges.select("id", "file_path", "s", F.explode(F.sequence("s", "e")).alias("line_no"))
+    place = ["task_id", "file_path", "line_no"]
+    numbers = ranges.select("id", "task_id", "file_path", F.explode(F.sequence("s", "e")).alias("line_no"))
     t = F.trim("line")
     is_import = t.startswith("import ")
     plain = is_import | t.startswith("package ") | t.startswith("//") | t.startswith("*") | t.startswith("/*") | (t == "")
-    at = numbers.join(lines.select("file_path", "line_no", "line"), ["file_path", "line_no"])
+    at = numbers.join(lines.select(*place, "line"), place)
     judged = at.groupBy("id").agg(F.bool_and(plain).alias("all_plain"), F.bool_or(is_import).alias("any_import"))
     places = ranges.groupBy("id").agg(F.count(F.lit(1)).alias("places")).filter("places >= 2")
     return judged.filter("all_plain and any_import").join(places, "id").select("id")

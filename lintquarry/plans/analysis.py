@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import versions as V
 from ..operators import advisories, duplicates, environment, graph, line_rules, migrate, webhooks
 from ..sources import build_files, tables
+from ..session import stored
 from .registry import query
 
 N = 100  # tokens of a window
@@ -16,47 +17,54 @@ N = 100  # tokens of a window
 WINDOWS_SQL = (
     "WITH "
     + tables.FILES_SQL
-    + f""", tok AS (SELECT file_path, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS t FROM files WHERE octet_length(encode(content)) <= 204800),
-st AS (SELECT file_path, t, unnest(range(0, len(t) - {N} + 1)) AS idx FROM tok WHERE len(t) >= {N}),
-w AS (SELECT file_path, idx::INT AS idx, md5(array_to_string(t[idx + 1:idx + {N}], ' ') || ' ') AS fingerprint FROM st)"""
+    + f""", tok AS (SELECT task_id, file_path, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS t FROM files),
+st AS (SELECT task_id, file_path, t, unnest(range(0, len(t) - {N} + 1)) AS idx FROM tok WHERE len(t) >= {N}),
+w AS (SELECT task_id, file_path, idx::INT AS idx, md5(array_to_string(t[idx + 1:idx + {N}], ' ') || ' ') AS fingerprint FROM st)"""
 )
-PAIRS_SQL = (
+#: Pairs of places with one fingerprint that begin (side lag) or end (side lead) a run.
+MEET_SQL = f"""{{name}} AS (SELECT a.task_id, a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b.idx AS idx_b FROM e a JOIN e b USING (task_id, fingerprint)
+  WHERE (a.file_path < b.file_path OR (a.file_path = b.file_path AND b.idx - a.idx >= {N})) AND (a.{{side}} = b.{{side}}) IS NOT TRUE)"""
+RUNS_SQL = (
     WINDOWS_SQL
-    + f""", rep AS (SELECT * FROM w WHERE fingerprint IN (SELECT fingerprint FROM w GROUP BY 1 HAVING count(*) > 1)),
-pairs AS (SELECT a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b.idx AS idx_b, a.fingerprint FROM rep a JOIN rep b USING (fingerprint)
-  WHERE a.file_path < b.file_path OR (a.file_path = b.file_path AND b.idx - a.idx >= {N}))"""
+    + """, e AS (SELECT *, lag(fingerprint) OVER f AS before, lead(fingerprint) OVER f AS after FROM w WINDOW f AS (PARTITION BY task_id, file_path ORDER BY idx)),
+"""
+    + MEET_SQL.format(name="heads", side="before")
+    + ", "
+    + MEET_SQL.format(name="tails", side="after")
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY task_id, file_a, file_b, idx_b - idx_a ORDER BY idx_a) AS k FROM heads),
+l AS (SELECT *, row_number() OVER (PARTITION BY task_id, file_a, file_b, idx_b - idx_a ORDER BY idx_a) AS k FROM tails)"""
 )
 
 
-def windows(spark, d):
-    return duplicates.windows(tables.spread(tables.files(spark, d)), N)
+def chained_windows(spark, d):
+    return stored(duplicates.chained(duplicates.words(tables.spread(tables.files(spark, d))), N))
 
 
-@query("dup_windows", WINDOWS_SQL + " SELECT file_path, idx, fingerprint FROM w")
+@query("dup_windows", WINDOWS_SQL + " SELECT task_id, file_path, idx, fingerprint FROM w")
 def dup_windows(spark, d):
-    return windows(spark, d)
+    return duplicates.windows(tables.spread(tables.files(spark, d)), N)
 
 
-@query("dup_pairs", PAIRS_SQL + " SELECT * FROM pairs")
-def dup_pairs(spark, d):
-    return duplicates.pairs(windows(spark, d), N)
+@query("dup_runs", RUNS_SQL + " SELECT k.task_id, k.file_a, k.idx_a, k.file_b, k.idx_b, l.idx_a - k.idx_a + 1 AS length FROM k JOIN l ON (k.task_id, k.file_a, k.file_b, k.idx_b - k.idx_a, k.k) = (l.task_id, l.file_a, l.file_b, l.idx_b - l.idx_a, l.k)")
+def dup_runs(spark, d):
+    return duplicates.runs(chained_windows(spark, d), N)
 
 
-@query("dup_chain_heads", PAIRS_SQL + " SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q.file_a = p.file_a AND q.file_b = p.file_b AND q.idx_a = p.idx_a - 1 AND q.idx_b = p.idx_b - 1)")
+@query("dup_chain_heads", RUNS_SQL + " SELECT * FROM heads")
 def dup_chain_heads(spark, d):
-    return duplicates.chain_heads(duplicates.pairs(windows(spark, d), N))
+    return duplicates.chain_heads(chained_windows(spark, d), N)
 
 
 @query(
     "dup_classes",
     WINDOWS_SQL
-    + """, f AS (SELECT fingerprint, min((file_path, idx)) AS first, count(*) AS places FROM w GROUP BY 1 HAVING count(*) > 1),
-l AS (SELECT w.file_path, w.idx, first[1] AS file_of, first[2] AS idx_of, places FROM w JOIN f USING (fingerprint) WHERE (w.file_path, w.idx) <> first),
-i AS (SELECT *, idx - row_number() OVER (PARTITION BY file_path, file_of, idx - idx_of ORDER BY idx) AS island FROM l)
-SELECT file_path, file_of, min(idx)::INT AS idx, count(*) AS length, min(idx_of)::INT AS idx_of, max(places) AS places FROM i GROUP BY file_path, file_of, idx - idx_of, island""",
+    + """, f AS (SELECT task_id, fingerprint, min((file_path, idx)) AS first, count(*) AS places FROM w GROUP BY ALL HAVING count(*) > 1),
+l AS (SELECT w.task_id, w.file_path, w.idx, first[1] AS file_of, first[2] AS idx_of, places FROM w JOIN f USING (task_id, fingerprint) WHERE (w.file_path, w.idx) <> first),
+i AS (SELECT *, idx - row_number() OVER (PARTITION BY task_id, file_path, file_of, idx - idx_of ORDER BY idx) AS island FROM l)
+SELECT task_id, file_path, file_of, min(idx)::INT AS idx, count(*) AS length, min(idx_of)::INT AS idx_of, max(places) AS places FROM i GROUP BY task_id, file_path, file_of, idx - idx_of, island""",
 )
 def dup_classes(spark, d):
-    return duplicates.classes(windows(spark, d))
+    return duplicates.classes(chained_windows(spark, d))
 
 
 # ---------------------------------------------------------------- versions and advisories
@@ -92,12 +100,19 @@ def version_compare(spark, d):
     return version_pairs(spark, d).withColumn("c", V.compare_maven(F.col("a"), F.col("b")))
 
 
-KEY_SQL = "list_resize(list_transform(list_filter(regexp_split_to_array(regexp_replace({v}, '^[vV]', ''), '[^0-9A-Za-z]+'), lambda s: s <> ''), lambda s: coalesce(TRY_CAST(regexp_extract(s, '^([0-9]+)', 1) AS INT), 0)), 6, 0)"
+KEY_SQL = "list_transform(string_split_regex(regexp_replace({v}, '^[vV]', ''), '[^0-9A-Za-z]+'), lambda s: coalesce(TRY_CAST(regexp_extract(s, '^([0-9]+)', 1) AS HUGEINT), 0))"
+#: Versions of many segments, and of many digits.
+LONG_SQL = PAIR_SQL + ", q AS (SELECT dep_id, CASE WHEN dep_id % 2 = 0 THEN a || '.1.2.3.4.5.6.' || (dep_id % 3) ELSE a END AS a, CASE dep_id % 4 WHEN 0 THEN a || '.1.2.3.4.5.6.1' WHEN 2 THEN a || '.1.2.3.4.5.6.12345678901' ELSE b END AS b FROM p WHERE a IS NOT NULL AND b IS NOT NULL)"
 
 
-@query("release_compare", PAIR_SQL + f" SELECT dep_id, a, b, CASE WHEN {KEY_SQL.format(v='a')} < {KEY_SQL.format(v='b')} THEN -1 WHEN {KEY_SQL.format(v='a')} > {KEY_SQL.format(v='b')} THEN 1 ELSE 0 END AS c FROM p WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("release_compare", LONG_SQL + f", x AS (SELECT *, {KEY_SQL.format(v='a')} AS ka, {KEY_SQL.format(v='b')} AS kb FROM q) SELECT dep_id, a, b, coalesce(list_filter(list_transform(range(1, greatest(len(ka), len(kb)) + 1), lambda i: sign(coalesce(ka[i], 0) - coalesce(kb[i], 0))), lambda s: s <> 0)[1], 0)::INT AS c FROM x")
 def release_compare(spark, d):
-    return version_pairs(spark, d).filter("a is not null and b is not null").withColumn("c", V.compare_release(F.col("a"), F.col("b")))
+    k = F.col("dep_id")
+    pairs = version_pairs(spark, d).filter("a is not null and b is not null")
+    longer = F.concat("a", F.lit(".1.2.3.4.5.6."))
+    a, b = F.when(k % 2 == 0, F.concat(longer, (k % 3).cast("string"))).otherwise(F.col("a")), F.when(k % 4 == 0, F.concat(longer, F.lit("1"))).when(k % 4 == 2, F.concat(longer, F.lit("12345678901"))).otherwise(F.col("b"))
+    pairs = pairs.select("dep_id", a.alias("a"), b.alias("b"))
+    return pairs.withColumn("c", V.compare_release(F.col("a"), F.col("b")))
 
 
 ADV = "adv AS (SELECT * FROM " + C.sql_rows(C.ADVISORIES, "id, cve, g, a, introduced, fixed, severity") + ")"
@@ -118,45 +133,59 @@ def advisory_match(spark, d):
 # ---------------------------------------------------------------- call graph
 
 
-@query("unused_methods", "WITH " + tables.GRAPH_SQL + " SELECT class_name, method, arity FROM methods WHERE NOT (is_public OR is_override OR is_ctor OR is_abstract) AND method NOT IN (SELECT callee FROM edges)")
+@query("unused_methods", "WITH " + tables.GRAPH_SQL + " SELECT task_id, class_name, method, arity FROM methods m WHERE NOT (is_public OR is_override OR is_ctor OR is_abstract) AND NOT starts_with(class_name, 'java.') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.task_id = m.task_id AND e.callee = m.method)")
 def unused_methods(spark, d):
-    return graph.unused_methods(*tables.call_graph(spark, d)).select("class_name", "method", "arity")
+    return graph.unused_methods(*tables.call_graph(spark, d)).select("task_id", "class_name", "method", "arity")
 
 
-@query("callers_of", "WITH " + tables.GRAPH_SQL + " SELECT callee_class, callee, count(DISTINCT caller) AS callers, count(*) AS calls, min(caller) AS first_caller FROM edges GROUP BY ALL")
+@query("callers_of", "WITH " + tables.GRAPH_SQL + " SELECT task_id, callee_class, callee, count(DISTINCT caller) AS callers, count(*) AS calls, min(caller) AS first_caller FROM edges GROUP BY ALL")
 def callers_of(spark, d):
     return graph.callers_of(tables.call_graph(spark, d)[1])
 
 
-@query("graph_stats", "WITH " + tables.GRAPH_SQL + " SELECT (SELECT count(*) FROM methods) AS n_methods, (SELECT count(DISTINCT class_name) FROM methods) AS n_classes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(DISTINCT callee) FROM edges) AS n_called")
+@query("graph_stats", "WITH " + tables.GRAPH_SQL + ", e AS (SELECT task_id, count(*) AS n_edges, count(DISTINCT callee) AS n_called FROM edges GROUP BY 1) SELECT m.task_id, count(*) AS n_methods, count(DISTINCT class_name) AS n_classes, coalesce(any_value(n_edges), 0) AS n_edges, coalesce(any_value(n_called), 0) AS n_called FROM methods m LEFT JOIN e USING (task_id) GROUP BY 1")
 def graph_stats(spark, d):
     return graph.graph_stats(*tables.call_graph(spark, d))
 
 
-@query("deprecated_calls", "WITH " + tables.GRAPH_SQL + " SELECT e.file_path, e.callee, e.line, e.caller, m.arity FROM edges e JOIN methods m ON m.file_path = e.file_path AND m.method = e.callee WHERE m.is_deprecated")
+@query("deprecated_calls", "WITH " + tables.GRAPH_SQL + " SELECT e.task_id, e.file_path, e.callee, e.line, e.caller, m.arity FROM edges e JOIN methods m ON m.task_id = e.task_id AND m.file_path = e.file_path AND m.method = e.callee WHERE m.is_deprecated")
 def deprecated_calls(spark, d):
-    return graph.deprecated_calls(*tables.call_graph(spark, d)).select("file_path", "callee", "line", "caller", "arity")
+    return graph.deprecated_calls(*tables.call_graph(spark, d)).select("task_id", "file_path", "callee", "line", "caller", "arity")
 
 
 @query(
     "fixpoint_nonnull",
-    """WITH RECURSIVE seeds AS (SELECT 'm' || p_partkey AS method FROM part WHERE p_partkey % 7 = 0), dep AS (SELECT 'm' || p_partkey AS method, 'm' || (p_partkey + 1) AS "on" FROM part WHERE p_partkey % 7 <> 0),
-r AS (SELECT method, 0 AS n FROM seeds UNION ALL SELECT dep.method, n + 1 FROM r JOIN dep ON dep."on" = r.method WHERE n < 4) SELECT DISTINCT method FROM r""",
+    """WITH RECURSIVE m AS (SELECT p_partkey AS k, t AS task_id FROM part, (SELECT unnest([1, 2]) AS t)), seeds AS (SELECT task_id, 'm' || k AS method FROM m WHERE k % (6 + task_id) = 0),
+dep AS (SELECT task_id, 'm' || k AS method, 'm' || (k + 1) AS "on" FROM m WHERE k % (6 + task_id) <> 0),
+r AS (SELECT task_id, method, 0 AS n FROM seeds UNION ALL SELECT dep.task_id, dep.method, n + 1 FROM r JOIN dep ON dep.task_id = r.task_id AND dep."on" = r.method WHERE n < 4) SELECT DISTINCT task_id, method FROM r""",
 )
 def fixpoint_nonnull(spark, d):
-    p = tables.read(spark, d, "part").select("p_partkey")
+    """Two tasks with the same method names, and other seeds."""
+    p = tables.read(spark, d, "part").select("p_partkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("task_id"))
     name = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    k = F.col("p_partkey")
-    depends = p.filter(k % 7 != 0).select(name(k).alias("method"), name(k + 1).alias("on"))
-    return graph.nonnull_returns(p.filter(k % 7 == 0).select(name(k).alias("method")), depends, rounds=4)
+    k, t = F.col("p_partkey"), F.col("task_id")
+    depends = p.filter(k % (6 + t) != 0).select("task_id", name(k).alias("method"), name(k + 1).alias("on"))
+    return graph.nonnull_returns(p.filter(k % (6 + t) == 0).select("task_id", name(k).alias("method")), depends, rounds=4)
+
+
+PROOF_SQL = """WITH p AS (SELECT p_partkey AS param, t AS task_id FROM part, (SELECT unnest([0, 1]) AS t)),
+sites AS (SELECT task_id, param, CASE WHEN param % 5 = 1 THEN 'self' WHEN param % 35 = 2 + task_id THEN 'none' ELSE 'param' END AS arg_kind, param - 1 AS arg FROM p WHERE param % 5 <> 0),
+ev AS (SELECT task_id, param, bool_and(arg_kind IN ('self', 'param')) AS ok FROM sites GROUP BY ALL), h AS (SELECT DISTINCT task_id, param, arg FROM sites WHERE arg_kind = 'param'),
+s0 AS (SELECT task_id, param, coalesce(ok, false) AS proven FROM p LEFT JOIN ev USING (task_id, param))""" + "".join(
+    f""",
+m{i} AS (SELECT h.task_id, h.param, bool_and(coalesce(s.proven, false)) AS ok FROM h LEFT JOIN s{i} s ON s.task_id = h.task_id AND s.param = h.arg GROUP BY ALL),
+s{i + 1} AS (SELECT s.task_id, s.param, s.proven AND coalesce(m.ok, true) AS proven FROM s{i} s LEFT JOIN m{i} m USING (task_id, param))"""
+    for i in range(6)
+)
 
 
-@query("null_proof")
+@query("null_proof", PROOF_SQL + " SELECT task_id, param, proven FROM s6")
 def null_proof(spark, d):
-    p = tables.read(spark, d, "part").select("p_partkey")
-    k = F.col("p_partkey")
-    sites = p.filter(k % 5 != 0).select(k.alias("param"), F.when(k % 5 == 1, "self").when(k % 35 == 2, "none").otherwise("param").alias("arg_kind"), (k - 1).alias("arg"))
-    return graph.null_proof(p.select(k.alias("param")), sites)
+    """Two tasks with the same parameters, and other sites."""
+    p = tables.read(spark, d, "part").select(F.col("p_partkey").alias("param"), F.explode(F.array(F.lit(0), F.lit(1))).alias("task_id"))
+    k = F.col("param")
+    sites = p.filter(k % 5 != 0).select("task_id", "param", F.when(k % 5 == 1, "self").when(k % 35 == 2 + F.col("task_id"), "none").otherwise("param").alias("arg_kind"), (k - 1).alias("arg"))
+    return graph.null_proof(p, sites)
 
 
 # ---------------------------------------------------------------- rules on lines and names
@@ -168,22 +197,22 @@ LONGEST = "coalesce(list_max(list_transform(regexp_extract_all(line, '(\"(\\\\.|
     "line_length_rule",
     "WITH "
     + tables.LINES_SQL
-    + f", o AS (SELECT file_path, line_no, length(line) AS size, {LONGEST} AS lit FROM lines WHERE length(line) > 120), k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM o WHERE size - greatest(lit - 2, 0) > 120) SELECT file_path, line_no, size FROM k WHERE n <= 10",
+    + f", o AS (SELECT task_id, file_path, line_no, length(line) AS size, {LONGEST} AS lit FROM lines WHERE length(line) > 120), k AS (SELECT *, row_number() OVER (PARTITION BY task_id, file_path ORDER BY line_no) AS n FROM o WHERE size - greatest(lit - 2, 0) > 120) SELECT task_id, file_path, line_no, size FROM k WHERE n <= 10",
 )
 def line_length_rule(spark, d):
-    return line_rules.long_lines(tables.lines(tables.files(spark, d))).select("file_path", "line_no", "size")
+    return line_rules.long_lines(tables.lines(tables.files(spark, d))).select("task_id", "file_path", "line_no", "size")
 
 
-TODO_SQL = "t AS (SELECT 'f' || (event_id % 50) AS file_path, event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'x = ' || event_id || ' // TODO ' || event_type WHEN 1 THEN '/* FIXME ' || event_type WHEN 2 THEN '// noTODO' WHEN 3 THEN '// TODOS' ELSE 'TODO = 1' END AS line FROM events)"
+TODO_SQL = "t AS (SELECT event_id % 3 AS task_id, 'f' || (event_id % 50) AS file_path, event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'x = ' || event_id || ' // TODO ' || event_type WHEN 1 THEN '/* FIXME ' || event_type WHEN 2 THEN '// noTODO' WHEN 3 THEN '// TODOS' ELSE 'TODO = 1' END AS line FROM events)"
 
 
-@query("todo_rule", f"WITH {TODO_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS n FROM t WHERE regexp_matches(line, '//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\\*+\\s*(TODO|FIXME)([^A-Za-z0-9_]|$)')) SELECT file_path, line_no, line FROM k WHERE n <= 10")
+@query("todo_rule", f"WITH {TODO_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY task_id, file_path ORDER BY line_no) AS n FROM t WHERE regexp_matches(line, '//(.*[^A-Za-z0-9_])?(TODO|FIXME)([^A-Za-z0-9_]|$)|/\\*+\\s*(TODO|FIXME)([^A-Za-z0-9_]|$)')) SELECT task_id, file_path, line_no, line FROM k WHERE n <= 10")
 def todo_rule(spark, d):
     i = F.col("event_id")
     line = F.when(i % 6 == 0, F.concat(F.lit("x = "), i.cast("string"), F.lit(" // TODO "), F.col("event_type"))).when(i % 6 == 1, F.concat(F.lit("/* FIXME "), F.col("event_type")))
     line = line.when(i % 6 == 2, "// noTODO").when(i % 6 == 3, "// TODOS").otherwise("TODO = 1")
-    rows = tables.read(spark, d, "events").select(F.concat(F.lit("f"), (i % 50).cast("string")).alias("file_path"), i.alias("line_no"), line.alias("line"))
-    return line_rules.todo_comments(rows).select("file_path", "line_no", "line")
+    rows = tables.read(spark, d, "events").select((i % 3).alias("task_id"), F.concat(F.lit("f"), (i % 50).cast("string")).alias("file_path"), i.alias("line_no"), line.alias("line"))
+    return line_rules.todo_comments(rows).select("task_id", "file_path", "line_no", "line")
 
 
 SECRET_LINES = [
@@ -351,11 +380,11 @@ def owner_repo(spark, d):
     return parsed.select("event_id", T.owner_repo(url).alias("repo"))
 
 
-@query("template_render", "SELECT conv_id, turn, 'Hi ' || role || ', turn ' || turn || ' of ${unknown} at ${x}' AS rendered FROM conversations")
+@query("template_render", "SELECT conv_id, turn, 'Hi ' || role || ', turn ' || turn || ' of ${unknown} at ${x}, then ${turn} ' || role AS rendered FROM conversations")
 def template_render(spark, d):
     c = tables.read(spark, d, "conversations")
-    values = F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string"))
-    return c.select("conv_id", "turn", T.render(F.lit("Hi ${role}, turn ${turn} of ${unknown} at \\${x}"), values).alias("rendered"))
+    values = F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string"), F.lit("again"), F.lit("${turn}"))
+    return c.select("conv_id", "turn", T.render(F.lit("Hi ${role}, turn ${turn} of ${unknown} at \\${x}, then ${again} ${ role }"), values).alias("rendered"))
 
 
 @query("json_extract", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'BUG' WHEN 1 THEN 'minor' ELSE 'x' END AS level_code, CASE event_id % 3 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MINOR' ELSE 'INFO' END AS level, (event_id % 100)::INT AS line, coalesce(CAST(json_extract_string(props, '$.k') AS INT), -1) AS k FROM events")
@@ -379,9 +408,9 @@ IMPORT_LINE = "CASE event_id % 4 WHEN 0 THEN 'import a.b' || event_id WHEN 1 THE
 
 @query(
     "import_only_purge",
-    f"""WITH l AS (SELECT 'f' || (event_id // 100) AS file_path, (event_id % 100 + 1)::INT AS line_no, {IMPORT_LINE} AS line FROM events),
-r AS (SELECT event_id // 2 AS id, 'f' || (event_id // 100) AS file_path, (event_id % 90 + 1)::INT AS s, (event_id % 90 + 3)::INT AS e FROM events),
-j AS (SELECT id, line FROM r JOIN l ON l.file_path = r.file_path AND line_no BETWEEN s AND e),
+    f"""WITH l AS (SELECT event_id // 100 % 2 AS task_id, 'f' || (event_id // 200) AS file_path, (event_id % 100 + 1)::INT AS line_no, {IMPORT_LINE} AS line FROM events),
+r AS (SELECT event_id // 2 AS id, event_id // 100 % 2 AS task_id, 'f' || (event_id // 200) AS file_path, (event_id % 90 + 1)::INT AS s, (event_id % 90 + 3)::INT AS e FROM events),
+j AS (SELECT id, line FROM r JOIN l ON l.task_id = r.task_id AND l.file_path = r.file_path AND line_no BETWEEN s AND e),
 g AS (SELECT id, bool_and(line = '' OR starts_with(line, 'import ') OR starts_with(line, 'package ') OR starts_with(line, '//')) AS p, bool_or(starts_with(line, 'import ')) AS i FROM j GROUP BY 1)
 SELECT id FROM g WHERE p AND i AND id IN (SELECT id FROM r GROUP BY 1 HAVING count(*) >= 2)""",
 )
@@ -389,9 +418,9 @@ def import_only_purge(spark, d):
     i = F.col("event_id")
     e = tables.read(spark, d, "events")
     line = F.when(i % 4 == 0, F.concat(F.lit("import a.b"), i.cast("string"))).when(i % 4 == 1, "// note").when(i % 4 == 2, "").when(i % 3 == 0, "int x;").otherwise("package p;")
-    path = F.concat(F.lit("f"), F.floor(i / 100).cast("string"))
-    lines = e.select(path.alias("file_path"), (i % 100 + 1).cast("int").alias("line_no"), line.alias("line"))
-    ranges = e.select(F.floor(i / 2).alias("id"), path.alias("file_path"), (i % 90 + 1).cast("int").alias("s"), (i % 90 + 3).cast("int").alias("e"))
+    task, path = (F.floor(i / 100) % 2).alias("task_id"), F.concat(F.lit("f"), F.floor(i / 200).cast("string"))
+    lines = e.select(task, path.alias("file_path"), (i % 100 + 1).cast("int").alias("line_no"), line.alias("line"))
+    ranges = e.select(F.floor(i / 2).alias("id"), task, path.alias("file_path"), (i % 90 + 1).cast("int").alias("s"), (i % 90 + 3).cast("int").alias("e"))
     return migrate.import_only(ranges, lines)
 
 

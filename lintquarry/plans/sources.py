@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from ..operators import govern, java_rules
 from ..sources import tables
 from ..streaming import events as streams
 from .analysis import PARSED_SQL, TRIGGERS
+from ..session import shared_dir, stored
 from .registry import query
 
 TEMPLATE = """package com.acme.{layer};
@@ -56,7 +56,7 @@ UNION ALL SELECT task_id, file_path, 'ARCH_LAYER_SKIP', 3 FROM p WHERE k % 2 = 0
 
 
 def read_files(spark, d):
-    return java_rules.read(java_files(spark, d)).cache()
+    return stored(java_rules.read(java_files(spark, d)), "kind")
 
 
 @query("java_ast_rules", JAVA_SQL + " SELECT task_id, file_path, rule_code, line_start::INT AS line_start FROM h")
@@ -81,24 +81,23 @@ def complexity_methods(spark, d):
     return m.select("file_path", name.alias("method"), "complexity")
 
 
-@query("java_unused_methods", "SELECT 'com.acme.' || CASE WHEN p_partkey % 2 = 0 THEN 'web' ELSE 'service' END || '.C' || p_partkey AS class_name, 'unused' || p_partkey AS method FROM part")
+@query("java_unused_methods", "SELECT p_partkey % 10 AS task_id, 'com.acme.' || CASE WHEN p_partkey % 2 = 0 THEN 'web' ELSE 'service' END || '.C' || p_partkey AS class_name, 'unused' || p_partkey AS method FROM part")
 def java_unused_methods(spark, d):
     from ..operators.graph import unused_methods
 
     read = read_files(spark, d)
-    return unused_methods(java_rules.relation(read, "method"), java_rules.relation(read, "call")).select("class_name", "method")
+    return unused_methods(java_rules.relation(read, "method"), java_rules.relation(read, "call")).select("task_id", "class_name", "method")
 
 
 def _stream_dir(spark) -> str:
     """A folder of the cluster's shared storage for a stream's sink and progress."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("stream_event_gate", PARSED_SQL + " SELECT event_id, repo_url, branch FROM parsed WHERE repo_url IS NOT NULL AND ((trigger_id = 0 AND regexp_matches(lower(repo_url), 'org0/repo0\\.git/?$') AND (branch IS NULL OR branch = 'main' OR starts_with(branch, 'release/'))) OR trigger_id = 1)")
 def stream_event_gate(spark, d):
     schema = tables.read(spark, d, "events").schema
-    rows = streams.event_stream(spark, d, schema, glob="events.parquet").select("event_id", "ts", (F.col("event_id") % 3).alias("trigger_id"), *tables._webhook_columns())
+    rows = streams.event_stream(spark, f"{d}/events.parquet", schema).select("event_id", "ts", (F.col("event_id") % 3).alias("trigger_id"), *tables._webhook_columns())
     out = streams.gated_stream(rows, TRIGGERS).select("event_id", "repo_url", "branch")
     at = _stream_dir(spark)
     return streams.available_now(out, f"{at}/out", f"{at}/progress")
@@ -108,7 +107,7 @@ def stream_event_gate(spark, d):
 def stream_daily_trend(spark, d):
     """Days that the watermark, an hour behind the newest event, has passed; the newest day isn't final."""
     schema = tables.read(spark, d, "events").schema
-    rows = streams.event_stream(spark, d, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = streams.event_stream(spark, f"{d}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     out = streams.daily_counts(rows, late="1 hour").select(F.to_date("window.start").alias("day"), "event_type", "n")
     at = _stream_dir(spark)
     return streams.available_now(out, f"{at}/out", f"{at}/progress")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,9 +45,30 @@ def ship(spark: SparkSession) -> None:
     sc._lintquarry_shipped = True
 
 
+def shared_dir(spark) -> str:
+    """The folder that the cluster names for intermediate tables; an own one only where none is named and everything runs on this
+    machine."""
+    sc = spark.sparkContext
+    context = sc._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lintquarry-checkpoint-"))
+    return (sc.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir().get()).rstrip("/")
+
+
 def checkpointed(df):
-    """df with its lineage cut, in the folder that the cluster names; an own one only where none is named."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lintquarry-checkpoint-"))
+    """df with its lineage cut, in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df, *partition_by: str):
+    """df written to the shared folder and read from there, for what several plans read; it goes when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,9 +17,12 @@ FILES = "task_id bigint, file_path string, content string"
 
 
 def folder(spark: SparkSession, path: str, task_id: int, include_tests: bool = False, suffix: str = ".java") -> DataFrame:
-    """The files below a folder, read whole as UTF-8; a file that isn't UTF-8 is left out."""
+    """The files below a folder, read whole as UTF-8, by their paths within it; a file that isn't UTF-8 is left out."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path)
-    rows = raw.select(F.lit(task_id).cast("bigint").alias("task_id"), F.col("path").alias("file_path"), F.col("content"))
+    own = F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 30)).otherwise(F.col("path"))
+    rows = raw.select(F.lit(task_id).cast("bigint").alias("task_id"), own.alias("file_path"), F.col("content"))
     return decoded(wanted(rows, include_tests))
 
 
@@ -69,8 +72,8 @@ def _entries(data: bytes, suffix: str):
 
 def json_advisories(spark: SparkSession, path: str) -> DataFrame:
     """Advisories from a JSON array; such without group, artifact or fixed version are left out."""
-    raw = spark.read.schema("id string, cve string, groupId string, artifactId string, introduced string, fixedVersion string, severity string").option("multiLine", True).json(path)
-    out = raw.select("id", "cve", F.col("groupId").alias("group_id"), F.col("artifactId").alias("artifact_id"), "introduced", F.col("fixedVersion").alias("fixed_version"), "severity")
+    raw = spark.read.schema("id string, cve string, groupId string, artifactId string, introduced string, fixedVersion string, severity string, title string, url string").option("multiLine", True).json(path)
+    out = raw.select("id", "cve", F.col("groupId").alias("group_id"), F.col("artifactId").alias("artifact_id"), "introduced", F.col("fixedVersion").alias("fixed_version"), "severity", "title", "url")
     return out.dropna(subset=["group_id", "artifact_id", "fixed_version"])
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 _TOKEN = re.compile(
     r"(?P<space>\s+)|(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<text>\"\"\".*?(?<!\\)\"\"\")|(?P<string>\"(?:\\.|[^\"\\\n])*\")|(?P<char>'(?:\\.[^']*|[^'\\])')"
-    r"|(?P<number>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?)"
+    r"|(?P<number>(?:0[xX](?:[0-9a-fA-F_]+\.?[0-9a-fA-F_]*|\.[0-9a-fA-F_]+)[pP][+-]?\d[\d_]*|0[xX][0-9a-fA-F_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?)"
     r"|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<op>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|[-+*/%&|^!~<>=?:;,.(){}\[\]@])",
     re.S,
 )

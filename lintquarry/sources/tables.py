@@ -18,9 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A plain scan dealt out to all cores where its files give fewer tasks than those, for work that costs far more than reading."""
+    """A plain scan dealt out to all cores where it has fewer files than those, for work that costs far more than reading."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if len(df.inputFiles()) < n else df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,8 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p, li = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
     k = F.col("p_partkey")
     methods = p.select(
-        F.concat(F.lit("com.acme.C"), (k % 100).cast("string")).alias("class_name"),
+        (k % 5).cast("bigint").alias("task_id"),
+        F.concat(F.when(k % 50 == 7, "java.util.C").otherwise("com.acme.C"), (k % 100).cast("string")).alias("class_name"),
         F.concat(F.lit("m"), k.cast("string")).alias("method"),
         (k % 4).cast("int").alias("arity"),
         (k % 10 == 0).alias("is_public"),
@@ -159,6 +160,7 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     to = F.col("l_partkey") - F.col("l_partkey") % 3  # so that two methods of three are never called
     edges = li.select(
+        (F.col("l_orderkey") % 4).cast("bigint").alias("task_id"),  # of task 4 there are no calls
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("caller"),
         F.concat(F.lit("com.acme.C"), (to % 100).cast("string")).alias("callee_class"),
         F.concat(F.lit("m"), to.cast("string")).alias("callee"),
@@ -168,10 +170,10 @@ def call_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return methods, edges
 
 
-GRAPH_SQL = """methods AS (SELECT 'com.acme.C' || (p_partkey % 100) AS class_name, 'm' || p_partkey AS method, (p_partkey % 4)::INT AS arity,
+GRAPH_SQL = """methods AS (SELECT p_partkey % 5 AS task_id, CASE WHEN p_partkey % 50 = 7 THEN 'java.util.C' ELSE 'com.acme.C' END || (p_partkey % 100) AS class_name, 'm' || p_partkey AS method, (p_partkey % 4)::INT AS arity,
   p_partkey % 10 = 0 AS is_public, p_partkey % 21 = 0 AS is_override, p_partkey % 33 = 0 AS is_ctor, p_partkey % 35 = 0 AS is_abstract, p_partkey % 6 = 0 AS is_deprecated,
   'F' || (p_partkey % 40) AS file_path FROM part),
-edges AS (SELECT 's' || l_suppkey AS caller, 'com.acme.C' || ((l_partkey - l_partkey % 3) % 100) AS callee_class, 'm' || (l_partkey - l_partkey % 3) AS callee,
+edges AS (SELECT l_orderkey % 4 AS task_id, 's' || l_suppkey AS caller, 'com.acme.C' || ((l_partkey - l_partkey % 3) % 100) AS callee_class, 'm' || (l_partkey - l_partkey % 3) AS callee,
   'F' || ((l_partkey - l_partkey % 3) % 40) AS file_path, (l_orderkey % 500 + 1)::INT AS line FROM lineitem)"""
 
 

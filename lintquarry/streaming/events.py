@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..operators import webhooks
 
 
-def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8, glob: str | None = None) -> DataFrame:
-    """A stream over a folder of Parquet files, a bounded number of files a batch."""
+def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
+    """A stream over a table of Parquet files, a folder or a single file, a bounded number of files a batch."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        # a stream's source is a folder: that of the file, with nothing else in it read
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def gated_stream(events: DataFrame, triggers: list[dict]) -> DataFrame:
@@ -35,3 +39,20 @@ def available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     spark = stream.sparkSession
     stream.writeStream.format("parquet").outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
+
+
+def write_back(states: DataFrame, sink: str, checkpoint: str, template: str, once: bool = True):
+    """Tell the outside how records end: for each batch of states (record_id, status, and what the template names) the rows that ended,
+    each with its comment, as one folder of the sink named by the batch, so that a batch that is run again replaces itself."""
+    from ..functions.text import render
+
+    def batch(rows: DataFrame, number: int) -> None:
+        ended = rows.filter(F.col("status").isin("SUCCESS", "FAILED"))
+        values = F.create_map(*[x for c in rows.columns for x in (F.lit(c), F.col(c).cast("string"))])
+        ended.withColumn("comment", render(F.lit(template), values)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    writer = states.writeStream.outputMode("update" if states.isStreaming else "append").option("checkpointLocation", checkpoint).foreachBatch(batch)
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query

@@ -29,7 +29,7 @@ def test_versions(spark):
     assert all(a == b for a, b in got)
     strict = values(spark, [("1.0", "1.0.1"), ("1.0", "1.0.0")], "a string, b string", V.compare_maven(F.col("a"), F.col("b"), strict_padding=True))
     assert strict == [(-1,), (0,)]
-    release = [("v1.2", "1.2.0", 0), ("1.10", "1.9", 1), ("1.2b3", "1.2", 0), ("1.x", "1.0", 0)]
+    release = [("v1.2", "1.2.0", 0), ("1.10", "1.9", 1), ("1.2b3", "1.2", 0), ("1.x", "1.0", 0), ("1.2.3.4.5.6.7", "1.2.3.4.5.6.8", -1), ("1.0.0.0.0.0.0.0", "1", 0), ("1.12345678901", "1.2345678901", 1), ("", "0", 0)]
     assert all(a == b for a, b in values(spark, release, "a string, b string, want int", V.compare_release(F.col("a"), F.col("b")), "want"))
 
 
@@ -78,6 +78,13 @@ def test_texts(spark):
     assert values(spark, [("jdbc:mysql://h/d",), ("jdbc:h2:mem",), ("x",)], "u string", T.database_type(F.col("u"))) == [("MYSQL",), ("H2",), ("CUSTOM",)]
     made = values(spark, [("${a}-${b} \\${a} ${a}",)], "t string", T.render(F.col("t"), F.create_map(F.lit("a"), F.lit("1"))))
     assert made == [("1-${b} ${a} 1",)]
+    nested = F.create_map(F.lit("a"), F.lit("${b}"), F.lit("b"), F.lit("SECRET"))
+    templates = [("x ${a} ${ b }", "x ${b} SECRET"), ("}${b}}${", "}SECRET}${"), ("\x01${a}\x01", "\x01${b}\x01"), ("", ""), ("${}${c}", "${}${c}"), (None, None)]
+    assert all(a == b for a, b in values(spark, templates, "t string, want string", T.render(F.col("t"), nested), "want"))
+    answer = '{"choices":[{"message":{"content":"hi","n":[1,2]}}],"a":null}'
+    for path, want in (("choices[0].message.content", "hi"), ("choices[0].message.n[1]", "2"), ("choices[3].message", None), ("a", None), ("a.b", None), ("", None), (None, None)):
+        assert values(spark, [(answer,)], "t string", T.json_path(F.col("t"), path)) == [(want,)]
+    assert values(spark, [("x\n  位置二：a/B.java:3-9\ny",), ("none",)], "t string", T.partner_location(F.col("t"))) == [("a/B.java:3-9",), (None,)]
     assert values(spark, [("say [1, [2]] end",), ("none",)], "t string", T.json_array(F.col("t"))) == [("[1, [2]]",), (None,)]
     assert values(spark, [("abc",), ("xyz1",), (None,)], "t string", T.commit_id(F.col("t"))) == [(None,), (None,), (None,)]
 

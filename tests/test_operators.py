@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lintquarry.operators import duplicates, govern, graph, intervals, issues, java_rules, migrate, quality, webhooks
+from lintquarry.operators import duplicates, govern, graph, intervals, issues, java_rules, line_rules, migrate, quality, webhooks
 from lintquarry.schemas import REVIEW_RULE
 from lintquarry.sources import build_files, files
 
@@ -80,33 +80,73 @@ def test_context(spark):
     assert got[1] == (5, "l5", True, "single", 0) and got[3] == (8, "l8", False, None, 1)
 
 
-def test_chain_heads_are_those_of_walking_in_order(spark):
+def walked_runs(files, n, counts=lambda path, i: True):
+    """Runs of equal windows by comparing all places: (task, file_a, idx_a, file_b, idx_b, length)."""
+    out = {}
+    for (t, p, a), (u, q, b) in ((x, y) for x in files for y in files if x[0] == y[0] and x[1] <= y[1]):
+        pair = lambda i, j: 0 <= i <= len(a) - n and 0 <= j <= len(b) - n and (p < q or j - i >= n) and a[i : i + n] == b[j : j + n] and counts(p, i) and counts(q, j)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if pair(i, j) and not pair(i - 1, j - 1):
+                    k = 1
+                    while pair(i + k, j + k):
+                        k += 1
+                    out[t, p, i, q, j] = k
+    return out
+
+
+def test_duplicate_runs_are_those_of_comparing_all_places(spark):
     rng = random.Random(1)
-    rows = {("a", i + s, "b", i + t) for s, t in ((0, 0), (3, 40), (7, 7)) for i in range(30) if rng.random() < 0.8}
-    rows |= {("a", 1, "c", 11), ("a", 2, "c", 12), ("a", 3, "c", 13), ("a", 7, "c", 20)}
-    seen, want = set(), set()
-    for a, i, b, j in sorted(rows):
-        if (a, i, b, j) not in seen:
-            want.add((a, i, b, j))
-        seen.add((a, i + 1, b, j + 1))
-    df = spark.createDataFrame(sorted(rows), "file_a string, idx_a int, file_b string, idx_b int").withColumn("fingerprint", F.lit("x"))
-    got = {(r.file_a, r.idx_a, r.file_b, r.idx_b) for r in duplicates.chain_heads(df).collect()}
-    assert got == want and ("a", 1, "c", 11) in got and ("a", 7, "c", 20) in got
+    block = [rng.choice("abcd") for _ in range(14)]
+    files = [(t, f"f{k}", [rng.choice("ab") for _ in range(rng.randint(0, 12))] + block[rng.randint(0, 3) :] + [rng.choice("ab") for _ in range(9)] + block) for t in (1, 2) for k in range(4)] + [(1, "short", ["a"])]
+    df = spark.createDataFrame([(t, p, " ".join(w)) for t, p, w in files], "task_id int, file_path string, content string")
+    windows = duplicates.chained(duplicates.words(df), 4)
+    want = walked_runs(files, 4)
+    assert {(r.task_id, r.file_a, r.idx_a, r.file_b, r.idx_b): r.length for r in duplicates.runs(windows, 4).collect()} == want and len(want) > 50
+    assert {tuple(r) for r in duplicates.chain_heads(windows, 4).collect()} == set(want)
+    # only windows that reach into a range of lines: one token a line, ranges at lines 3-6 and 20-22
+    ranges = [(3, 6), (20, 22)]
+    rows = [(t, p, w, list(range(1, len(w) + 1)), ranges) for t, p, w in files]
+    tokens = spark.createDataFrame(rows, "task_id int, file_path string, t array<string>, lines array<int>, controls array<struct<s:int,e:int>>")
+    controlled = duplicates.runs(duplicates.chained(tokens, 4, control=True), 4).collect()
+    reach = lambda p, i: any(s <= i + 4 and e >= i + 1 for s, e in ranges)
+    assert {(r.task_id, r.file_a, r.idx_a, r.file_b, r.idx_b): r.length for r in controlled} == walked_runs(files, 4, reach)
+    assert all((r.s_a, r.e_a) == (r.idx_a + 1, r.idx_a + 4) for r in controlled)
 
 
 def test_duplicate_blocks(spark):
     body = " ".join(f"w{k}" for k in range(12))
-    df = spark.createDataFrame([("a", f"x {body} y"), ("b", f"{body}"), ("c", "short")], "file_path string, content string")
-    got = [tuple(r) for r in duplicates.classes(duplicates.windows(df, 5)).select("file_path", "file_of", "idx", "length", "idx_of", "places").collect()]
-    assert got == [("b", "a", 0, 8, 1, 2)]
-    assert duplicates.pairs(duplicates.windows(df, 5), 5).count() == 8
+    df = spark.createDataFrame([(1, "a", f"x {body} y"), (1, "b", f"{body}"), (1, "c", "short"), (2, "d", body)], "task_id bigint, file_path string, content string")
+    for windows in (duplicates.windows(df, 5), duplicates.chained(duplicates.words(df), 5)):
+        got = [tuple(r) for r in duplicates.classes(windows).select("file_path", "file_of", "idx", "length", "idx_of", "places").collect()]
+        assert got == [("b", "a", 0, 8, 1, 2)]
 
 
 def test_null_proof(spark):
     sites = [("a", "self", None), ("b", "param", "a"), ("c", "none", None), ("d", "param", "c"), ("e", "param", "f"), ("f", "param", "e"), ("g", "self", None), ("g", "none", None)]
-    c = spark.createDataFrame([(x,) for x in "abcdefgh"], "param string")
-    got = {r.param: r.proven for r in graph.null_proof(c, spark.createDataFrame(sites, "param string, arg_kind string, arg string")).collect()}
-    assert got == {"a": True, "b": True, "c": False, "d": False, "e": True, "f": True, "g": False, "h": False}
+    c = spark.createDataFrame([(t, x) for x in "abcdefgh" for t in (1, 2)], "task_id bigint, param string")
+    rows = [(1, *s) for s in sites] + [(2, "a", "none", None), (2, "b", "param", "a")]
+    got = {(r.task_id, r.param): r.proven for r in graph.null_proof(c, spark.createDataFrame(rows, "task_id bigint, param string, arg_kind string, arg string")).collect()}
+    assert {p: v for (t, p), v in got.items() if t == 1} == {"a": True, "b": True, "c": False, "d": False, "e": True, "f": True, "g": False, "h": False}
+    assert not any(v for (t, _), v in got.items() if t == 2)
+    # a chain as long as the depth is followed to its end
+    chain = [(1, f"p{k}", "param", f"p{k + 1}") for k in range(9)] + [(1, "p9", "none", None)]
+    long = graph.null_proof(spark.createDataFrame([(1, f"p{k}") for k in range(10)], "task_id bigint, param string"), spark.createDataFrame(chain, "task_id bigint, param string, arg_kind string, arg string"), depth=20)
+    assert not any(r.proven for r in long.collect())
+
+
+def test_tasks_with_the_same_names_stay_apart(spark):
+    methods = spark.createDataFrame([(t, "a.C", "m", False) for t in (1, 2)], "task_id bigint, class_name string, method string, is_public boolean")
+    methods = methods.selectExpr("*", *[f"false AS {c}" for c in ("is_override", "is_ctor", "is_abstract", "is_native")])
+    edges = spark.createDataFrame([(2, "m")], "task_id bigint, callee string")
+    assert [r.task_id for r in graph.unused_methods(methods, edges).collect()] == [1]
+    lines = spark.createDataFrame([(t, "f", n, "// TODO x") for t in (1, 2, 3) for n in range(8)], "task_id bigint, file_path string, line_no int, line string")
+    assert line_rules.todo_comments(lines).count() == 24
+    ranges = spark.createDataFrame([(1, 1, "f", 1, 1), (1, 1, "f", 2, 2)], "id int, task_id bigint, file_path string, s int, e int")
+    code = spark.createDataFrame([(1, "f", 1, "import a;"), (1, "f", 2, ""), (2, "f", 1, "int x;")], "task_id bigint, file_path string, line_no int, line string")
+    assert [r.id for r in migrate.import_only(ranges, code).collect()] == [1]
+    seen = spark.createDataFrame([(1, "C", "m", "()", 1, "old"), (1, "C", "m", "()", 2, "new"), (2, "C", "m", "()", 0, "other")], "task_id bigint, class_name string, method string, descriptor string, seq int, file_path string")
+    assert sorted(r.file_path for r in graph.deduplicated(seen, "seq").collect()) == ["new", "other"]
 
 
 def test_latest_and_status(spark):
@@ -150,11 +190,29 @@ def test_archives_and_folders(spark, tmp_path):
             z.writestr(name, text)
     got = files.archives(spark.createDataFrame([(1, buffer.getvalue()), (2, b"junk"), (3, None)], "task_id bigint, content binary")).collect()
     assert [tuple(r) for r in got] == [(1, "src/A.java", "class A {}")]
-    (tmp_path / "p").mkdir()
-    (tmp_path / "p" / "A.java").write_text("class A {}")
-    (tmp_path / "p" / "ATest.java").write_text("class T {}")
-    assert files.folder(spark, str(tmp_path), 4).count() == 1
-    assert files.folder(spark, str(tmp_path), 4, include_tests=True).count() == 2
+    root = tmp_path / "test" / "snapshot"  # a folder above the snapshot says nothing of its files
+    (root / "p" / "test").mkdir(parents=True)
+    (root / "p" / "A.java").write_text("class A {}")
+    (root / "p" / "ATest.java").write_text("class T {}")
+    (root / "p" / "test" / "B.java").write_text("class B {}")
+    assert [r.file_path for r in files.folder(spark, str(root), 4).collect()] == ["p/A.java"]
+    assert sorted(r.file_path for r in files.folder(spark, str(root) + "/", 4, include_tests=True).collect()) == ["p/A.java", "p/ATest.java", "p/test/B.java"]
+
+
+def test_streams_read_tables_of_either_form(spark, tmp_path):
+    from lintquarry.streaming import events
+
+    rows = spark.range(40).selectExpr("id AS event_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "file.parquet")
+    rows.limit(7).toPandas().to_parquet(tmp_path / "other.parquet")
+    for name in ("folder", "file"):
+        stream = events.event_stream(spark, f"{tmp_path}/{name}.parquet", rows.schema)
+        assert events.available_now(stream, f"{tmp_path}/out-{name}", f"{tmp_path}/at-{name}").count() == 40
+    states = events.event_stream(spark, f"{tmp_path}/folder.parquet", rows.schema).selectExpr("event_id AS record_id", "CASE event_id % 4 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE 'RUNNING' END AS status")
+    events.write_back(states, f"{tmp_path}/sink", f"{tmp_path}/at-sink", "record ${record_id} ended: ${status}")
+    told = spark.read.parquet(f"{tmp_path}/sink")
+    assert told.count() == 20 and told.filter("record_id = 5").select("comment").collect()[0][0] == "record 5 ended: FAILED"
 
 
 def test_issue_table_replaces_only_its_tasks(spark, tmp_path):

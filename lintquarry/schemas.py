@@ -4,15 +4,15 @@ FILES = "task_id bigint, file_path string, content string"
 LINES = "task_id bigint, file_path string, line_no int, line string"
 TOKENS = "task_id bigint, file_path string, idx int, text string, line int"
 IMPORTS = "task_id bigint, file_path string, line int, fqcn string, simple_name string, pkg string, is_star boolean, is_static boolean"
-TYPES = "task_id bigint, file_path string, fqcn string, simple_name string, kind string, line int, line_end int, annotations array<string>, supertypes array<string>"
+TYPES = "task_id bigint, file_path string, fqcn string, simple_name string, kind string, line int, line_end int, annotations array<string>, supertypes array<string>, snippet string"
 METHODS = (
     "task_id bigint, file_path string, class_name string, method string, descriptor string, arity int, line int, line_end int, "
     "is_public boolean, is_static boolean, is_ctor boolean, is_abstract boolean, is_native boolean, is_override boolean, "
-    "annotations array<string>, complexity int"
+    "annotations array<string>, complexity int, snippet string"
 )
 VARIABLES = (
     "task_id bigint, file_path string, class_name string, method string, name string, type string, kind string, modifiers array<string>, "
-    "annotations array<string>, line int, init string"
+    "annotations array<string>, line int, init string, snippet string"
 )
 CALLS = (
     "task_id bigint, file_path string, caller string, caller_class string, scope string, callee_class string, callee string, arity int, "

@@ -15,11 +15,11 @@ _TOKEN = re.compile(
     r"|(?P<name>[^\W\d][\w$]*|\$[\w$]*)|(?P<op>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/&|^%]=|[-+*/%&|^!~<>=?:;,.(){}\[\]@])",
     re.S,
 )
-PRIMITIVES = frozenset("byte short int long float double boolean char void".split())
-MODIFIERS = frozenset("public protected private static final abstract native synchronized transient volatile strictfp default sealed".split())
+PRIMITIVES = frozenset({"byte", "short", "int", "long", "float", "double", "boolean", "char", "void"})
+MODIFIERS = frozenset({"public", "protected", "private", "static", "final", "abstract", "native", "synchronized", "transient", "volatile", "strictfp", "default", "sealed"})
 # Fixed values of the language: binary operators from the loosest.
 PRECEDENCE = {op: k for k, ops in enumerate([["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!="], ["<", ">", "<=", ">=", "instanceof"], ["<<", ">>", ">>>"], ["+", "-"], ["*", "/", "%"]]) for op in ops}
-ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= >>>=".split())
+ASSIGN = frozenset({"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>="})
 
 
 class Token:

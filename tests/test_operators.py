@@ -271,9 +271,9 @@ def rules():
 def test_java_rules():
     got = rules()
     assert got == {
-        "SEC_HARDCODED_SECRET": [13], "SEC_PATH_TRAVERSAL": [14], "SEC_SQL_INJECTION": [18], "SEC_COMMAND_INJECTION": [21], "SEC_WEAK_CRYPTO": [22, 22],
+        "SEC_PATH_TRAVERSAL": [14], "SEC_SQL_INJECTION": [18], "SEC_COMMAND_INJECTION": [21], "SEC_WEAK_CRYPTO": [22, 22],
         "NULL_CHAIN_CALL": [19], "SYSTEM_OUT": [25], "RESOURCE_LEAK": [14], "EMPTY_CATCH": [30], "DEPRECATED_METHOD_DECL": [11], "DEPRECATED_METHOD_CALL": [16], "MAGIC_NUMBER": [16, 20],
-        "STYLE_WILDCARD_IMPORT": [2], "NAMING_CLASS": [6], "NAMING_CONSTANT": [8], "CONC_STATIC_SDF": [10], "CONC_SHARED_MUTABLE_STATE": [9], "CONC_DCL_WITHOUT_VOLATILE": [24],
+        "STYLE_WILDCARD_IMPORT": [2], "CONC_STATIC_SDF": [10], "CONC_SHARED_MUTABLE_STATE": [9], "CONC_DCL_WITHOUT_VOLATILE": [24],
     }
 
 
@@ -298,6 +298,34 @@ def test_java_that_cannot_be_read_gives_an_error_row(spark):
     assert [r.simple_name for r in java_rules.relation(read, "type").collect()] == ["B"]
 
 
+def left_out(body):
+    return sorted(java_rules.File("A.java", body)._left_out())
+
+
+def test_lines_that_no_duplicate_counts():
+    assert left_out("package a;\nimport b.\nC;\nclass A {\nint x;\nA() {\n}\nint getX() { return x; }\nvoid setX(int y) { x = y; }\nA setZ(int y) { x = y; return this; }\nint getY() { x(); return x; }\n}") == [1, 2, 3, 6, 7, 8, 9, 10]
+    assert left_out("class A { void m() {\na.put(1);\na.put(2);\na.put(3);\nb.put(1);\nb.put(2);\n} }") == [2, 3, 4]
+    assert left_out("class A { Object m() {\nreturn Map.of(\nP.e(1),\nP.e(2),\nP.e(3));\n} }") == [2, 3, 4, 5]
+    assert left_out("class A { void m() {\nf(1);\nif (f(2)) {\nf(3);\n}\nswitch (f(4)) { case 1:\nf(5);\n}\ng(1);\nif (x) {\ng(1);\n}\n} }") == [4, 7]
+
+
+def test_a_scan_takes_its_numbers_from_settings(spark):
+    from lintquarry.operators import scan
+    from lintquarry.schemas import CHECKER_CONFIG
+
+    rows = [("complexity", True, '{"threshold": 3}', 2), ("complexity", True, '{"threshold": 9}', 5), ("code_style", True, '{"maxLineLength": 40}', 1), ("duplicate_code", None, "junk", 1), ("naming", True, None, 1)]
+    assert scan.params_of(spark.createDataFrame(rows, CHECKER_CONFIG)) == {"threshold": 3, "maxLineLength": 40}
+    code = "class A {\npublic void m(int a) { if (a > 1) { } if (a > 2) { } if (a > 3) { } }\n}"
+    df = spark.createDataFrame([(1, "A.java", code)], "task_id bigint, file_path string, content string")
+    codes = lambda params: sorted(r.rule_code for r in scan.raw_hits(df, params=params).collect())
+    assert codes({}) == [] and codes({"threshold": 3, "maxLineLength": 40}) == ["MAX_COMPLEXITY", "STYLE_LONG_LINE"]
+
+
+def test_java_that_is_odd_is_read():
+    kinds = [k for k, _ in java_rules.facts("A.java", "class A { double a = 0x1.8p3, b = 0x.8P-2f, c = 0xFFL; }")]
+    assert "error" not in kinds and kinds.count("variable") == 3
+
+
 def test_hits_over_files(spark):
     other = "package com.acme.dao; public class UserDao { void use(users u) { u.go(null, new User(), \"x\"); } }"
     read = java_rules.read(spark.createDataFrame([(1, "users.java", SOURCE), (1, "UserDao.java", other)], "task_id bigint, file_path string, content string")).cache()
@@ -307,5 +335,6 @@ def test_hits_over_files(spark):
     assert got["UNUSED_METHOD"] == {("users.java", "getPriority"), ("users.java", "lonely"), ("UserDao.java", "use")}
     assert got["NULL_CHECK"] == {("users.java", "request"), ("UserDao.java", "u")}
     assert got["ARCH_LAYER_SKIP"] == {("users.java", "com.acme.dao.UserDao")}
+    assert got["SEC_HARDCODED_SECRET"] == {("users.java", "literal in token")} and got["NAMING_CLASS"] == {("users.java", "users")} and got["NAMING_CONSTANT"] == {("users.java", "max")}
     level = {r.rule_code: (r.level, r.severity, r.checker_type) for r in java_rules.all_hits(read).collect()}
     assert level["UNUSED_METHOD"] == ("MAJOR", 0, "other") and level["SEC_SQL_INJECTION"] == ("BLOCKER", 5, "security")

@@ -72,6 +72,14 @@ SUGGESTIONS = {
     "EMPTY_CATCH": "Log the exception, or say in a comment why it is ignored.",
     "MAX_COMPLEXITY": "Split the method; return early; replace branches by a table.",
     "MAGIC_NUMBER": "Give the number a name as a constant.",
+    "DEPRECATED_METHOD_CALL": "Call what the deprecation note names instead.",
+    "DEPRECATED_METHOD_DECL": "Say since when, whether it will go, and what to call instead.",
+    "DEPRECATED_CLASS": "Use what the deprecation note names instead.",
+    "NAMING_CLASS": "Name the class in upper camel case.",
+    "NAMING_METHOD": "Name the method in lower camel case, a verb first.",
+    "NAMING_VARIABLE": "Name the variable in lower camel case, for what it holds.",
+    "NAMING_FIELD": "Name the field in lower camel case.",
+    "NAMING_CONSTANT": "Name the constant in capitals with underscores.",
     "SYSTEM_OUT": "Use a logger.",
     "UNUSED_METHOD": "Delete the method, or say who calls it.",
     "DUP_CODE_BLOCK": "Move the common block into a method of its own.",
@@ -122,6 +130,12 @@ ADVISORIES = [
     ("GHSA-8r6q-hj4w-9v9v", "CVE-2023-33246", "org.apache.rocketmq", "rocketmq-broker", None, "4.9.6", "CRITICAL"),
 ]
 
+# Labels and colours of levels, labels of grades.
+LEVEL_LABELS = {"BLOCKER": "阻断", "CRITICAL": "严重", "MAJOR": "主要", "MINOR": "次要", "INFO": "提示"}
+LEVEL_COLORS = {"BLOCKER": "#b91c1c", "CRITICAL": "#ef4444", "MAJOR": "#f59e0b", "MINOR": "#0ea5e9", "INFO": "#6b7280"}
+OTHER_COLOR = "#808080"
+GRADE_LABELS = {"EXCELLENT": "优秀", "GOOD": "良好", "FAIR": "一般", "POOR": "较差"}
+
 # Frameworks by the artifacts that show them.
 FRAMEWORKS = {
     "Spring Boot": ("spring-boot-starter", "spring-boot", "spring-boot-starter-parent"),
@@ -176,6 +190,19 @@ def suggestion_of_rule(rule: Column) -> Column:
     return lookup(SUGGESTIONS, rule)
 
 
+def level_label(level: Column) -> Column:
+    """A level's label, whatever its case; other texts as they are, INFO's for null."""
+    return F.when(level.isNull(), LEVEL_LABELS["INFO"]).otherwise(F.coalesce(lookup(LEVEL_LABELS, F.upper(level)), level))
+
+
+def level_color(level: Column) -> Column:
+    return F.coalesce(lookup(LEVEL_COLORS, F.upper(level)), F.lit(OTHER_COLOR))
+
+
+def grade_label(grade: Column) -> Column:
+    return F.when(grade.isNull(), "-").otherwise(F.coalesce(lookup(GRADE_LABELS, grade), grade))
+
+
 def advisories(spark: SparkSession) -> DataFrame:
     from ..schemas import ADVISORIES as SCHEMA
 

@@ -15,6 +15,13 @@ def line_stats(lines: DataFrame) -> DataFrame:
     return files.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_lines"), F.sum("c").alias("n_code_lines"))
 
 
+def code_stats(lines: DataFrame, types: DataFrame, methods: DataFrame) -> DataFrame:
+    """line_stats() of each task with its numbers of types and methods; constructors are no methods."""
+    n_types = types.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_classes"))
+    n_methods = methods.filter(~F.col("is_ctor")).groupBy("task_id").agg(F.count(F.lit(1)).alias("n_methods"))
+    return line_stats(lines).join(n_types, "task_id", "left").join(n_methods, "task_id", "left").fillna(0, ["n_classes", "n_methods"])
+
+
 def root_package(packages: DataFrame) -> DataFrame:
     """The longest common beginning, in whole segments, of the packages of each task.
 

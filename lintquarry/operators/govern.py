@@ -80,6 +80,40 @@ def merge(hits: DataFrame, order: str = "seq") -> DataFrame:
     return out.withColumn("line_label", label)
 
 
+def remerge(issues: DataFrame) -> DataFrame:
+    """Stored issues, one for each task, file and rule: groups of one stay as they are.
+
+    Of a group the active ones count, or all if none is; the one of the least id stands for it, with the group's lines merged, their number, the
+    worst severity, AI's part if any had one, the first AI suggestion by id, and for duplicates the partners of the others, each once, in
+    order of their ids. issues: id, task_id, file_path, rule_code, is_ignored, line_start, line_end, line_points (array of s, e; null: the
+    lines themselves), severity, ai_generated, ai_suggestion, description, partner.
+    """
+    some = F.min("is_ignored").over(Window.partitionBy(*GROUP))
+    kept = issues.withColumn("is_ignored", F.coalesce("is_ignored", F.lit(False))).withColumn("_all", some).filter(F.col("is_ignored") == F.col("_all")).drop("_all")
+    own = F.when(F.col("line_start").isNotNull(), F.array(F.struct(F.col("line_start").alias("s"), F.coalesce("line_end", "line_start").alias("e"))))
+    points = kept.withColumn("_p", F.coalesce(F.when(F.size("line_points") > 0, F.col("line_points")), own)).select(*GROUP, F.explode("_p").alias("p")).select(*GROUP, "p.s", "p.e")
+    merged = coalesced(points, GROUP).groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("points"))
+    first = lambda c: F.min_by(c, "id")
+    groups = kept.groupBy(*GROUP, "is_ignored").agg(
+        F.min("id").alias("id"),
+        F.greatest(F.lit(1), F.max("severity")).alias("severity"),
+        F.coalesce(F.max("ai_generated"), F.lit(False)).alias("ai_generated"),
+        F.coalesce(first("ai_suggestion"), F.min_by("ai_suggestion", F.when(F.col("ai_suggestion").isNotNull(), F.col("id")))).alias("ai_suggestion"),
+        F.count(F.lit(1)).alias("occurrence_count"),
+        first("description").alias("description"),
+        first("partner").alias("partner"),
+    )
+    # the partners of the others: each once, at the first id that names it
+    lead = groups.select(*GROUP, F.col("id").alias("_lead"))
+    others = kept.join(lead, GROUP).filter((F.col("id") != F.col("_lead")) & F.col("partner").isNotNull()).groupBy(*GROUP, "partner").agg(F.min("id").alias("at"))
+    others = others.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "partner"))), lambda x: x["partner"]).alias("other_partners"))
+    out = groups.join(merged, GROUP, "left").join(others, GROUP, "left")
+    return out.select(
+        "id", *GROUP, "is_ignored", "severity", "ai_generated", "ai_suggestion", "occurrence_count", "description", "partner", F.coalesce("other_partners", F.array().cast("array<string>")).alias("other_partners"),
+        F.col("points")[0]["s"].alias("line_start"), F.element_at("points", -1)["e"].alias("line_end"), T.line_label(F.col("points")).alias("line_label"),
+    )
+
+
 def govern(hits: DataFrame, review_rule: DataFrame, ignore_rules: list[dict], order: str = "seq") -> DataFrame:
     """Rule settings, ignore rules, merging: in this order."""
     return merge(mark_ignored(apply_rule_settings(hits, review_rule), ignore_rules), order)

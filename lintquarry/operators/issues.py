@@ -138,3 +138,67 @@ def sparse_update(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     new = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in names])
     out = rows.join(new, key, "left")
     return out.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in names else F.col(c) for c in rows.columns])
+
+
+# ---------------------------------------------------------------- look-ups and listings
+
+
+def by_id(rows: DataFrame, value: int, key: str = "id") -> DataFrame:
+    """The row of an identifier: none or one."""
+    return rows.filter(F.col(key) == value).limit(1)
+
+
+def active_config(rows: DataFrame, flag: str = "is_active", key: str = "id") -> DataFrame:
+    """The setting in force: of those switched on the one of the least id."""
+    return rows.filter(F.col(flag)).orderBy(key).limit(1)
+
+
+def rule_page(rules: DataFrame, category: str | None = None, keyword: str | None = None, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of rules by sort_order: of a category, unless it is empty or ALL in any case, and with a keyword in code, name or
+    description."""
+    if category and category.upper() != "ALL":
+        rules = rules.filter(F.col("rule_category") == category)
+    if keyword:
+        rules = rules.filter(contains_any(["rule_code", "rule_name", "description"], keyword))
+    return page(rules, ["sort_order", "rule_code"], number, size)
+
+
+def listed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Settings in the order in which they are shown: by the first of these columns, then the next; nulls first."""
+    return rows.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+
+
+# ---------------------------------------------------------------- changes
+
+
+def reset_task(tasks: DataFrame, task_id: int, snapshot_path: str, now: Column | None = None) -> DataFrame:
+    """Tasks where one begins anew from an archive: its state pending, its error and times null, its counts 0."""
+    mine = F.col("id").eqNullSafe(F.lit(task_id))
+    values = {"snapshot_path": F.lit(snapshot_path), "source_type": F.lit("ZIP"), "status": F.lit("PENDING"), "error_message": F.lit(None), "started_at": F.lit(None), "completed_at": F.lit(None)}
+    values |= {f"{v.lower()}_count": F.lit(0) for v in LEVELS} | {c: F.lit(0) for c in ("total_issues", "total_files", "total_lines")} | {"updated_at": F.current_timestamp() if now is None else now}
+    return tasks.select(*[F.when(mine, values[c].cast(tasks.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in tasks.columns])
+
+
+def ignore_issue(issues: DataFrame, issue_id: int, kind: str | None = None, reason: str | None = None) -> DataFrame:
+    """Issues where one is ignored, by itself (SINGLE) if no kind is named."""
+    mine = F.col("id").eqNullSafe(F.lit(issue_id))
+    values = {"is_ignored": F.lit(True), "ignore_type": F.lit(kind or "SINGLE"), "ignore_reason": F.lit(reason).cast("string")}
+    return issues.withColumns({c: F.when(mine, v).otherwise(F.col(c) if c in issues.columns else F.lit(None)) for c, v in values.items()})
+
+
+def toggled(rows: DataFrame, row_id: int, flag: str = "is_enabled") -> DataFrame:
+    """Rows where one's switch is turned: on, unless it is on."""
+    return rows.withColumn(flag, F.when(F.col("id").eqNullSafe(F.lit(row_id)), ~F.coalesce(flag, F.lit(False))).otherwise(F.col(flag)))
+
+
+def sync_records(records: DataFrame, ended: DataFrame) -> DataFrame:
+    """CI records with the state of their task (task_id, status), but for those that succeeded already; a null state changes nothing."""
+    new = ended.filter("task_id is not null and status is not null").groupBy("task_id").agg(F.max("status").alias("_new"))
+    out = records.join(new, "task_id", "left")
+    guarded = F.col("_new").isNotNull() & (F.col("status") != "SUCCESS")
+    return out.withColumn("status", F.when(guarded, F.col("_new")).otherwise(F.col("status"))).select(*records.columns)
+
+
+def with_trigger_names(records: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Records with their trigger's name, null where there is none: settings are few, a join that Spark may broadcast by their size."""
+    return records.join(triggers.select(F.col("id").alias("trigger_id"), F.col("name").alias("trigger_name")), "trigger_id", "left")

@@ -381,3 +381,109 @@ def gate_page(spark, d):
     newest = issues.newest(tables.tasks(spark, d), 10).select(F.col("id").alias("own_id"), (F.col("id") % 250).alias("task_id"), "created_at")
     verdicts = quality.with_missing_tasks(quality.evaluate(merged(spark, d)), newest)
     return newest.join(verdicts.select("task_id", "score", "grade", "passed"), "task_id")
+
+
+# ---------------------------------------------------------------- look-ups, listings, changes
+
+
+def settings(spark, d):
+    """Customers as settings: switched on or not, in categories, with places to sort by."""
+    k = F.col("c_custkey")
+    return tables.read(spark, d, "customer").select(
+        k.alias("id"), F.col("c_name").alias("rule_code"), F.col("c_mktsegment").alias("rule_category"), F.col("c_name").alias("rule_name"), F.concat(F.lit("about "), F.col("c_mktsegment")).alias("description"),
+        (k % 7 == 3).alias("is_active"), F.when(k % 5 != 0, (k % 11).cast("int")).alias("sort_order"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("is_enabled"),
+    )
+
+
+SETTINGS_SQL = """WITH settings AS (SELECT c_custkey AS id, c_name AS rule_code, c_mktsegment AS rule_category, c_name AS rule_name, 'about ' || c_mktsegment AS description,
+  c_custkey % 7 = 3 AS is_active, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 11)::INT END AS sort_order, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_enabled FROM customer)
+"""
+
+
+@query("active_config", SETTINGS_SQL + "SELECT id, rule_code FROM settings WHERE is_active ORDER BY id LIMIT 1")
+def active_config(spark, d):
+    return issues.active_config(settings(spark, d)).select("id", "rule_code")
+
+
+@query("point_lookup", SETTINGS_SQL + "SELECT id, rule_code FROM settings WHERE id = 12")
+def point_lookup(spark, d):
+    return issues.by_id(settings(spark, d), 12).select("id", "rule_code")
+
+
+@query("rule_page", SETTINGS_SQL + "SELECT rule_code, sort_order FROM settings WHERE rule_category = 'BUILDING' AND sort_order IS NOT NULL AND (contains(rule_code, '0') OR contains(rule_name, '0') OR contains(description, '0')) ORDER BY sort_order, rule_code LIMIT 5 OFFSET 5")
+def rule_page(spark, d):
+    return issues.rule_page(settings(spark, d).filter("sort_order is not null"), "BUILDING", "0", 2, 5).select("rule_code", "sort_order")
+
+
+@query("settings_listed", SETTINGS_SQL + "SELECT id, row_number() OVER (ORDER BY sort_order NULLS FIRST, id) - 1 AS place FROM settings")
+def settings_listed(spark, d):
+    ordered = issues.listed(settings(spark, d), "sort_order", "id").coalesce(1)  # settings are few
+    return ordered.select("id", F.monotonically_increasing_id().alias("place"))
+
+
+@query("settings_toggled", SETTINGS_SQL + "SELECT id, CASE WHEN id = 14 THEN NOT coalesce(is_enabled, false) ELSE is_enabled END AS is_enabled FROM settings")
+def settings_toggled(spark, d):
+    return issues.toggled(settings(spark, d), 14).select("id", "is_enabled")
+
+
+@query("issue_ignored", FLAT_SQL + "SELECT id, is_ignored OR id = 21 AS is_ignored, CASE WHEN id = 21 THEN 'SINGLE' END AS ignore_type, CASE WHEN id = 21 THEN 'known' END AS ignore_reason FROM issues")
+def issue_ignored(spark, d):
+    return issues.ignore_issue(flat(spark, d), 21, reason="known").select("id", "is_ignored", "ignore_type", "ignore_reason")
+
+
+@query("task_reset", f"WITH {tables.TASKS_SQL} SELECT id, CASE WHEN id = 33 THEN 'PENDING' ELSE status END AS status, CASE WHEN id = 33 THEN NULL ELSE 'e' || id END AS error_message, CASE WHEN id = 33 THEN 0 ELSE id % 9 END AS major_count, CASE WHEN id = 33 THEN '/new' END AS snapshot_path FROM tasks")
+def task_reset(spark, d):
+    t = tables.tasks(spark, d).withColumn("error_message", F.concat(F.lit("e"), F.col("id").cast("string"))).withColumn("major_count", F.col("id") % 9).withColumn("snapshot_path", F.lit(None).cast("string"))
+    return issues.reset_task(t, 33, "/new").select("id", "status", "error_message", "major_count", "snapshot_path")
+
+
+RECORDS_SQL = "records AS (SELECT event_id AS id, event_id % 40 AS task_id, event_id % 3 AS trigger_id, CASE event_id % 4 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PENDING' END AS status FROM events)"
+
+
+def records(spark, d):
+    i = F.col("event_id")
+    return tables.read(spark, d, "events").select(i.alias("id"), (i % 40).alias("task_id"), (i % 3).alias("trigger_id"), F.when(i % 4 == 0, "SUCCESS").when(i % 4 == 1, "RUNNING").when(i % 4 == 2, "PENDING").alias("status"))
+
+
+@query("record_sync", f"WITH {RECORDS_SQL} SELECT id, CASE WHEN task_id < 10 AND status <> 'SUCCESS' THEN CASE WHEN task_id % 2 = 0 THEN 'FAILED' ELSE 'SUCCESS' END ELSE status END AS status FROM records")
+def record_sync(spark, d):
+    ended = spark.range(10).select(F.col("id").alias("task_id"), F.when(F.col("id") % 2 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    return issues.sync_records(records(spark, d), ended).select("id", "status")
+
+
+@query("record_names", f"WITH {RECORDS_SQL} SELECT id, CASE trigger_id WHEN 0 THEN 'nightly' WHEN 1 THEN 'push' END AS trigger_name FROM records")
+def record_names(spark, d):
+    return issues.with_trigger_names(records(spark, d), spark.createDataFrame([(0, "nightly"), (1, "push")], "id bigint, name string")).select("id", "trigger_name")
+
+
+@query("level_labels", FLAT_SQL + f"SELECT id, coalesce({C.sql_case('level', C.LEVEL_LABELS)}, level) AS label, coalesce({C.sql_case('level', C.LEVEL_COLORS)}, '{C.OTHER_COLOR}') AS color FROM issues")
+def level_labels(spark, d):
+    level = F.lower(F.col("level"))
+    return flat(spark, d).select("id", C.level_label(level).alias("label"), C.level_color(level).alias("color"))
+
+
+REMERGE_SQL = (
+    "WITH "
+    + tables.HITS_SQL
+    + """, stored AS (SELECT seq AS id, task_id, file_path, rule_code, seq % 10 = 0 AS is_ignored, line_start, line_end, severity, ai_generated, CASE WHEN seq % 9 = 4 THEN 'ai ' || seq END AS ai_suggestion, title AS description,
+  CASE WHEN seq % 4 <> 0 THEN 'p' || (seq % 5) END AS partner FROM hits),
+g AS (SELECT * FROM (SELECT *, bool_and(is_ignored) OVER (PARTITION BY task_id, file_path, rule_code) AS a FROM stored) WHERE is_ignored = a),
+issues AS (SELECT *, line_start AS s, line_end AS e FROM g)"""
+    + ISLANDS.format(src="issues")
+    + """, lead AS (SELECT task_id, file_path, rule_code, is_ignored, min(id) AS id, greatest(1, max(severity)) AS severity, bool_or(ai_generated) AS ai_generated, arg_min(ai_suggestion, id) FILTER (ai_suggestion IS NOT NULL) AS ai_suggestion,
+  count(*) AS occurrence_count, arg_min(description, id) AS description FROM g GROUP BY ALL),
+o AS (SELECT g.task_id, g.file_path, g.rule_code, g.partner, min(g.id) AS since FROM g JOIN lead USING (task_id, file_path, rule_code) WHERE g.id <> lead.id AND g.partner IS NOT NULL GROUP BY ALL),
+p AS (SELECT task_id, file_path, rule_code, string_agg(partner, ',' ORDER BY since) AS others FROM o GROUP BY ALL)
+SELECT lead.id, task_id, file_path, rule_code, lead.is_ignored, lead.severity, lead.ai_generated, lead.ai_suggestion, occurrence_count, lead.description, coalesce(others, '') AS others, line_start, line_end, line_label
+FROM lead JOIN pts USING (task_id, file_path, rule_code) LEFT JOIN p USING (task_id, file_path, rule_code)"""
+)
+
+
+@query("issues_remerged", REMERGE_SQL)
+def issues_remerged(spark, d):
+    i = F.col("seq")
+    rows = hits(spark, d).withColumn("id", i).withColumn("line_points", F.lit(None).cast("array<struct<s:int,e:int>>")).withColumn("ai_suggestion", F.when(i % 9 == 4, F.concat(F.lit("ai "), i.cast("string"))))
+    rows = rows.withColumn("description", F.col("title")).withColumn("partner", F.when(i % 4 != 0, F.concat(F.lit("p"), (i % 5).cast("string"))))
+    out = govern.remerge(rows)
+    names = ["id", "task_id", "file_path", "rule_code", "is_ignored", "severity", "ai_generated", "ai_suggestion", "occurrence_count", "description", "line_start", "line_end", "line_label"]
+    return out.select(*names, F.array_join("other_partners", ",").alias("others"))

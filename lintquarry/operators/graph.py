@@ -94,6 +94,24 @@ def null_proof(candidates: DataFrame, sites: DataFrame, depth: int = 6) -> DataF
     return state
 
 
+def attributed_proof(candidates: DataFrame, sites: DataFrame, depth: int = 6) -> DataFrame:
+    """candidates (task_id, file_path, param, class_name, is_private, line_start, ...) with proven: whether they have call sites of their
+    own and every one's argument is proven, parameters by null_proof().
+
+    A site is a candidate's own if it is made on the candidate's class, or on a type that the file doesn't tell; a private method's
+    then only from within its class.
+    """
+    of = null_proof(candidates.select("task_id", "param").union(sites.filter("arg_kind = 'param'").select("task_id", "arg")), sites, depth)
+    of = of.select("task_id", F.col("param").alias("arg"), F.col("proven").alias("arg_proven"))
+    kind = F.col("arg_kind")
+    good = (kind == "self") | ((kind == "param") & F.coalesce("arg_proven", F.lit(False)))
+    judged = sites.join(of, ["task_id", "arg"], "left").select("task_id", "param", good.alias("good"), "scope_type", "caller_types")
+    own = F.when(F.col("scope_type").isNotNull(), F.col("scope_type") == F.col("class_name")).otherwise(~F.col("is_private") | F.array_contains("caller_types", F.col("class_name")))
+    place = ["task_id", "file_path", "class_name", "param", "line_start"]
+    verdict = candidates.select(*place, "is_private").join(judged, ["task_id", "param"]).filter(own).groupBy(*place).agg(F.bool_and("good").alias("proven"))
+    return candidates.join(verdict, place, "left").withColumn("proven", F.coalesce("proven", F.lit(False)))
+
+
 def ambiguous_names(types: DataFrame, name: str = "name", kind: str = "type") -> DataFrame:
     """Each name's type if it has one only, else null."""
     return types.groupBy(name).agg(F.when(F.count_distinct(kind) == 1, F.min(kind)).alias(kind))

@@ -135,6 +135,17 @@ def test_null_proof(spark):
     assert not any(r.proven for r in long.collect())
 
 
+def test_null_proofs_count_a_class_own_call_sites(spark):
+    one = "class One { private void m(String s) { s.trim(); } public void n(String s) { s.trim(); } void a() { m(\"x\"); } }"
+    two = "class Two { private void m(String s) { s.trim(); } void b(One o, Two t) { m(null); o.n(\"x\"); t.n(null); } public void n(String q) { q.trim(); } }"
+    rows = [(1, "One.java", one), (1, "Two.java", two), (2, "Two.java", two)]
+    read = java_rules.read(spark.createDataFrame(rows, "task_id bigint, file_path string, content string"))
+    proof = graph.attributed_proof(java_rules.relation(read, "null_candidate"), java_rules.relation(read, "null_site")).collect()
+    got = {(r.task_id, r.class_name, r.param): r.proven for r in proof}
+    mine = {k: v for k, v in got.items() if k[2] != "b/2#0" and k[2] != "b/2#1"}
+    assert mine == {(1, "One", "m/1#0"): True, (1, "One", "n/1#0"): True, (1, "Two", "m/1#0"): False, (1, "Two", "n/1#0"): False, (2, "Two", "m/1#0"): False, (2, "Two", "n/1#0"): False}
+
+
 def test_tasks_with_the_same_names_stay_apart(spark):
     methods = spark.createDataFrame([(t, "a.C", "m", False) for t in (1, 2)], "task_id bigint, class_name string, method string, is_public boolean")
     methods = methods.selectExpr("*", *[f"false AS {c}" for c in ("is_override", "is_ctor", "is_abstract", "is_native")])

@@ -4,6 +4,10 @@ Each stage takes what the one before kept, written as Parquet and read again, an
 classifier and the language identifier drop the documents that they reject, one document of each group of near duplicates
 stays, documents that hold a benchmark item go. All stages but the last return the columns of ``documents``; the last one
 returns doc_id, n_tokens and digests of the token ids and of the decoded bytes.
+
+Defined results: a null or empty text gets the classifier's score of no features, and is dropped as a text of no language; rows of
+a repeated or null doc_id are judged each for itself, near duplicates among them as any others; very long texts are read whole; ties
+between near duplicates go to the row that is stored first; empty tables give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -14,6 +14,13 @@ def lines_of(content: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def lines_between(content: Column, s: Column, e: Column) -> Column:
+    """The lines s to e of a text (from 1), joined and without white space at either end; the empty text if there are none."""
+    lines = lines_of(content)
+    inside = (s >= 1) & (e >= s) & (s <= F.size(lines))
+    return F.when(inside, trimmed(F.array_join(F.slice(lines, F.greatest(s, F.lit(1)), F.greatest(e - s + 1, F.lit(0))), "\n"))).otherwise("")
+
+
 def trimmed(c: Column) -> Column:
     """Without control characters and spaces at either end."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")

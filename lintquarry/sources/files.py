@@ -99,6 +99,11 @@ def class_release(files: DataFrame) -> DataFrame:
     return files.select("file_path", (major - 44).alias("release"))
 
 
+def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """Report rows as JSON lines or Parquet, a folder a task; tasks that the rows are of are replaced, and only those."""
+    rows.write.format(kind).partitionBy("task_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
+
+
 def markdown_report(issues: DataFrame, verdicts: DataFrame, top: int = 5) -> DataFrame:
     """A comment for each task: the score, then its worst issues."""
     from ..operators.issues import top_issues

@@ -13,7 +13,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lintquarry.plans import analysis, java_cases, registry, serving, sources  # noqa: F401
+from lintquarry.plans import analysis, java_cases, registry, serving, snapshots, sources  # noqa: F401
 
 ROOT = Path(__file__).resolve().parents[1]
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

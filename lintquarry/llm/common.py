@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 import uuid
 from contextlib import contextmanager
@@ -30,18 +29,6 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); an own one only where none is named and everything runs on this machine."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="lintquarry-shared-")
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 @contextmanager
 def set_for_now(spark: SparkSession, key: str, value: str):
     """A session setting for what runs within; the caller's own comes back after."""
@@ -65,7 +52,7 @@ class Shared:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{session.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         folder, fs = self._at(self.root)
         fs.mkdirs(folder)

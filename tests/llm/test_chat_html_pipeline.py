@@ -240,6 +240,24 @@ def test_pipeline_keeps_clean_documents_and_drops_the_rest(spark, tmp_path):
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
 
 
+def test_pipeline_judges_rows_of_one_identifier_each_for_itself(spark, tmp_path):
+    import corpus_pipeline
+
+    good, labels = corpus(300)
+    texts = [r[1] for r, q in zip(good, labels, strict=True) if q[1]][:6]
+    item = "a benchmark question that nobody should find in any training text at all"
+    rows = good + [(1, t, "en") for t in texts[:3]] + [(1, texts[0], "en"), (None, texts[3], "en"), (None, texts[4], None), (1, f"{texts[5]} {item}", "en")]
+    documents(spark, rows).select(corpus_pipeline.COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").filter("doc_id is null or doc_id < 100")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text for r in kept) == sorted([*texts[:5], f"{texts[5]} {item}"])
+    clean = corpus_pipeline.without_leaks(spark, docs, str(tmp_path)).collect()
+    assert len(clean) == 6 and not any(item in r.text for r in clean)
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) > 100
+
+
 def test_pipeline_stages_on_edge_cases_and_nothing(spark, tmp_path):
     import corpus_pipeline
 

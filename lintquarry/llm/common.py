@@ -62,8 +62,8 @@ class Shared:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def table(self, df: DataFrame, share: int = 1, even: bool = False) -> DataFrame:
-        """Write df and read it back. share: for tables narrower than what the session's shuffle partitions are counted for, one file for
+    def table(self, df: DataFrame, share: int = 1, even: bool = False, by: str | None = None) -> DataFrame:
+        """Write df and read it back. by: a column of few values that the files are laid out by. share: for tables narrower than what the session's shuffle partitions are counted for, one file for
         so many partitions, as small files cost more than their rows; even: dealt out anew after work that must keep all its
         tasks."""
         self.n += 1
@@ -72,7 +72,7 @@ class Shared:
             df = df.repartition(n) if even else df.coalesce(n)
         path = f"{self.root}/{self.n:03d}"
         with set_for_now(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.partitionBy(*[by] if by else []).option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._shared_path = path
         return out
@@ -80,8 +80,11 @@ class Shared:
     def drop(self, *tables: DataFrame) -> None:
         """Delete table()s that no later plan reads."""
         for df in tables:
-            p, fs = self._at(df._shared_path)
-            fs.delete(p, True)
+            self.remove(df._shared_path)
+
+    def remove(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontam, hilbert, html_text, langid, neardup, quality, tiff, token_counts
+from . import audit, bpe, chat, decontam, hilbert, html_text, langid, line_dedup, merkle, neardup, quality, tiff, token_counts
 from .common import read
 
 
@@ -61,9 +61,21 @@ def op10_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.store_texts(read(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_documents(read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_documents(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_language, op4_near_duplicates, op5_decontaminate, op6_tool_calls, op7_html_text, op8_token_counts, op9_hilbert_shards, op10_tiff_media)}
+    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_language, op4_near_duplicates, op5_decontaminate, op6_tool_calls, op7_html_text, op8_token_counts, op9_hilbert_shards, op10_tiff_media, op11_line_dedup, op12_filter_audit, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_tool_calls": chat.ORACLE_SQL}
+    return {"op6_tool_calls": chat.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL, "op13_merkle_manifest": merkle.ORACLE_SQL}

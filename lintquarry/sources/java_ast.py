@@ -87,6 +87,13 @@ class Parser:
         self.source = source
         self.tokens, self.comments = tokenize(source)
         self.at = 0
+        self.closes: dict[int, int] = {}  # where each parenthesis closes
+        opened = []
+        for k, t in enumerate(self.tokens):
+            if t.kind == "op" and t.text == "(":
+                opened.append(k)
+            elif t.kind == "op" and t.text == ")" and opened:
+                self.closes[opened.pop()] = k
         self.in_label = False  # where an arrow ends a case label and makes no lambda
 
     # ------------------------------------------------------------ tokens
@@ -672,15 +679,8 @@ class Parser:
 
     def _is_lambda(self) -> bool:
         """Whether the parentheses here close before an arrow."""
-        depth, k = 0, self.at
-        while k < len(self.tokens):
-            t = self.tokens[k]
-            if t.kind == "op":
-                depth += (t.text == "(") - (t.text == ")")
-                if not depth:
-                    return self.tokens[k + 1].text == "->" if k + 1 < len(self.tokens) else False
-            k += 1
-        return False
+        k = self.closes.get(self.at)
+        return k is not None and k + 1 < len(self.tokens) and self.tokens[k + 1].text == "->"
 
     def _lambda(self) -> Node:
         first = self.tok

@@ -179,6 +179,31 @@ s{i + 1} AS (SELECT s.task_id, s.param, s.proven AND coalesce(m.ok, true) AS pro
 )
 
 
+SITES_SQL = """c AS (SELECT DISTINCT p_partkey % 3 AS task_id, 'C' || (p_partkey % 50) AS class_name, p_partkey % 4 = 0 AS is_private, 'm' || (p_partkey % 7) || '/1#0' AS param FROM part),
+s AS (SELECT l_orderkey % 3 AS task_id, 'm' || (l_partkey % 7) || '/1#0' AS param, CASE WHEN l_orderkey % 997 = 0 THEN 'none' WHEN l_partkey % 5 = 0 THEN 'param' ELSE 'self' END AS kind,
+  'm' || ((l_partkey + 1) % 7) || '/1#0' AS arg, 'C' || (l_suppkey % 50) AS arg_class, l_suppkey % 3 = 0 AS arg_private, CASE WHEN l_linenumber % 3 > 0 THEN 'C' || (l_partkey % 50) END AS scope_type, 'C' || (l_suppkey % 50) AS around FROM lineitem),
+n AS (SELECT * FROM c UNION SELECT task_id, arg_class, arg_private, arg FROM s WHERE kind = 'param'),
+own AS (SELECT DISTINCT n.*, kind, arg_class, arg_private AS ap, arg FROM n JOIN s USING (task_id, param) WHERE CASE WHEN scope_type IS NOT NULL THEN scope_type = class_name ELSE NOT is_private OR around = class_name END),
+fell AS (SELECT task_id, class_name, is_private, param FROM n WHERE NOT EXISTS (SELECT 1 FROM own o WHERE (o.task_id, o.class_name, o.is_private, o.param) = (n.task_id, n.class_name, n.is_private, n.param)) OR
+  EXISTS (SELECT 1 FROM own o WHERE (o.task_id, o.class_name, o.is_private, o.param) = (n.task_id, n.class_name, n.is_private, n.param) AND kind = 'none')
+  UNION SELECT o.task_id, o.class_name, o.is_private, o.param FROM own o JOIN fell f ON o.kind = 'param' AND (o.task_id, o.arg_class, o.ap, o.arg) = (f.task_id, f.class_name, f.is_private, f.param))"""
+
+
+@query("null_attributed", f"WITH RECURSIVE {SITES_SQL} SELECT c.*, NOT EXISTS (SELECT 1 FROM fell f WHERE (f.task_id, f.class_name, f.is_private, f.param) = (c.task_id, c.class_name, c.is_private, c.param)) AS proven FROM c")
+def null_attributed(spark, d):
+    """Seven names of methods over fifty classes: every candidate has sites in its own class, in others and in none that is told."""
+    k, o, p, s = F.col("p_partkey"), F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    cls = lambda c: F.concat(F.lit("C"), (c % 50).cast("string"))
+    param = lambda c: F.concat(F.lit("m"), (c % 7).cast("string"), F.lit("/1#0"))
+    candidates = tables.read(spark, d, "part").select((k % 3).alias("task_id"), cls(k).alias("class_name"), (k % 4 == 0).alias("is_private"), param(k).alias("param")).distinct()
+    kind = F.when(o % 997 == 0, "none").when(p % 5 == 0, "param").otherwise("self")
+    sites = tables.read(spark, d, "lineitem").select(
+        (o % 3).alias("task_id"), param(p).alias("param"), kind.alias("arg_kind"), param(p + 1).alias("arg"), cls(s).alias("arg_class"), (s % 3 == 0).alias("arg_private"),
+        F.when(F.col("l_linenumber") % 3 > 0, cls(p)).alias("scope_type"), F.array(cls(s)).alias("caller_types"),
+    )
+    return graph.attributed_proof(candidates, sites)
+
+
 @query("null_proof", PROOF_SQL + " SELECT task_id, param, proven FROM s6")
 def null_proof(spark, d):
     """Two tasks with the same parameters, and other sites."""

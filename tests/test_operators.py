@@ -349,3 +349,26 @@ def test_hits_over_files(spark):
     assert got["SEC_HARDCODED_SECRET"] == {("users.java", "literal in token")} and got["NAMING_CLASS"] == {("users.java", "users")} and got["NAMING_CONSTANT"] == {("users.java", "max")}
     level = {r.rule_code: (r.level, r.severity, r.checker_type) for r in java_rules.all_hits(read).collect()}
     assert level["UNUSED_METHOD"] == ("MAJOR", 0, "other") and level["SEC_SQL_INJECTION"] == ("BLOCKER", 5, "security")
+
+
+def test_java_files_take_time_in_proportion_to_their_size():
+    """Every rule over a generated class: many methods, chains of calls, guards and locals in one."""
+    import time
+
+    def code(n):
+        method = 'public String m{0}(String a, Map<String, String> b) {{ String c = b.get("k").trim(); if (a != null && c.isEmpty()) {{ return a.trim(); }} return m{0}(c, b) + x.y(a); }}\n'
+        chain = "Object o = f" + ".g(1)" * n + ";"
+        long = "".join(f'String v{k} = "a"; if (v{k} == null || q == null) {{ use(v{k}); }}\n' for k in range(n))
+        return "class A {\n" + "".join(method.format(k) for k in range(n)) + f"void all(String q) {{ {chain}\n{long} }} }}"
+
+    def a_byte(n):
+        text, best = code(n), 9e9
+        for _ in range(2):
+            began = time.process_time()
+            rows = java_rules.facts("A.java", text)
+            best = min(best, time.process_time() - began)
+        assert rows[0][0] != "error", rows
+        return best / len(text)
+
+    a_byte(50)
+    assert a_byte(1200) < 3 * a_byte(100)

@@ -218,6 +218,8 @@ def manifest(docs: DataFrame, forged: Column | None = None) -> DataFrame:
     own = [F.col(c) for c in FIELDS]
     other = F.lit(None).cast("binary") if forged is None else F.when(forged.isNotNull(), leaf([*own[:-1], forged]))
     rows = docs.select("doc_id", group_key(F.col("source")).alias("grp"), leaf(own).alias("node"), other.alias("forged"))
+    # written first: sorting looks at its rows twice, and texts are to be digested once
+    rows = shared.table(rows)
     leaves = shared.table(with_places(shared, rows, ["doc_id", "node"]))
     store = Store(shared, leaves)
     tops = store.tops()

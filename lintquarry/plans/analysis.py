@@ -21,13 +21,24 @@ WINDOWS_SQL = (
 st AS (SELECT task_id, file_path, t, unnest(range(0, len(t) - {N} + 1)) AS idx FROM tok WHERE len(t) >= {N}),
 w AS (SELECT task_id, file_path, idx::INT AS idx, md5(array_to_string(t[idx + 1:idx + {N}], ' ') || ' ') AS fingerprint FROM st)"""
 )
-#: Pairs of places with one fingerprint that begin (side lag) or end (side lead) a run.
-MEET_SQL = f"""{{name}} AS (SELECT a.task_id, a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b.idx AS idx_b FROM e a JOIN e b USING (task_id, fingerprint)
+#: Windows by a hash of their words; those whose fingerprint stands in several places of a task, with their neighbours' hashes.
+HASHED_SQL = (
+    "WITH "
+    + tables.FILES_SQL
+    + f""", tok AS (SELECT task_id, file_path, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS t FROM files),
+st AS (SELECT task_id, file_path, t, unnest(range(0, len(t) - {N} + 1)) AS idx FROM tok WHERE len(t) >= {N}),
+w AS (SELECT task_id, file_path, idx::INT AS idx, hash(t[idx + 1:idx + {N}]) AS h FROM st),
+n AS (SELECT *, lag(h) OVER f AS before, lead(h) OVER f AS after FROM w WINDOW f AS (PARTITION BY task_id, file_path ORDER BY idx)),
+again AS (SELECT task_id, h, count(*) AS places, min((file_path, idx)) AS of, count(before) = count(*) AND min(before) = max(before) AS one_before, count(after) = count(*) AND min(after) = max(after) AS one_after
+  FROM n GROUP BY task_id, h HAVING count(*) > 1),
+e AS (SELECT n.* FROM n SEMI JOIN again USING (task_id, h))"""
+)
+#: Pairs of places with one fingerprint that begin (side before) or end (side after) a run.
+MEET_SQL = f"""{{name}} AS (SELECT a.task_id, a.file_path AS file_a, a.idx AS idx_a, b.file_path AS file_b, b.idx AS idx_b FROM e a JOIN e b USING (task_id, h)
   WHERE (a.file_path < b.file_path OR (a.file_path = b.file_path AND b.idx - a.idx >= {N})) AND (a.{{side}} = b.{{side}}) IS NOT TRUE)"""
 RUNS_SQL = (
-    WINDOWS_SQL
-    + """, e AS (SELECT *, lag(fingerprint) OVER f AS before, lead(fingerprint) OVER f AS after FROM w WINDOW f AS (PARTITION BY task_id, file_path ORDER BY idx)),
-"""
+    HASHED_SQL
+    + ", "
     + MEET_SQL.format(name="heads", side="before")
     + ", "
     + MEET_SQL.format(name="tails", side="after")
@@ -50,11 +61,27 @@ def dup_runs(spark, d):
     return duplicates.runs(chained_windows(spark, d), N)
 
 
-@query("dup_chain_heads", RUNS_SQL + " SELECT * FROM heads")
+@query("dup_chain_heads", HASHED_SQL + ", " + MEET_SQL.format(name="heads", side="before") + " SELECT * FROM heads")
 def dup_chain_heads(spark, d):
     return duplicates.chain_heads(chained_windows(spark, d), N)
 
 
+@query(
+    "dup_blocks",
+    HASHED_SQL
+    + f""", j AS (SELECT *, of[1] AS f, of[2] AS i FROM again),
+c AS (SELECT *, (lag(i) OVER p = i - 1 AND lag(one_after) OVER p AND one_before) IS NOT TRUE AS starts FROM j WINDOW p AS (PARTITION BY task_id, f ORDER BY i)),
+g AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY task_id, f ORDER BY i) AS island FROM c),
+b AS (SELECT task_id, f AS file_of, min(i) AS idx_of, count(*) AS length, any_value(places) AS places, arg_min(h, i) AS h FROM g GROUP BY task_id, f, island),
+m AS (SELECT b.task_id, file_of, idx_of, length, places, e.file_path, e.idx FROM b JOIN e USING (task_id, h)),
+o AS (SELECT *, count(*) OVER (PARTITION BY task_id, file_of, idx_of, file_path ORDER BY idx RANGE BETWEEN 1 FOLLOWING AND {N - 1} FOLLOWING) AS near FROM m)
+SELECT task_id, file_of, idx_of, length, places, file_path, idx, (places * (places - 1) // 2 - sum(near) OVER (PARTITION BY task_id, file_of, idx_of))::BIGINT AS pairs FROM o
+QUALIFY places * (places - 1) // 2 > sum(near) OVER (PARTITION BY task_id, file_of, idx_of)""",
+)
+def dup_blocks(spark, d):
+    return duplicates.blocks(chained_windows(spark, d), N).drop("before")
+
+
 @query(
     "dup_classes",
     WINDOWS_SQL

@@ -372,3 +372,44 @@ def test_java_files_take_time_in_proportion_to_their_size():
 
     a_byte(50)
     assert a_byte(1200) < 3 * a_byte(100)
+
+
+def test_duplicate_blocks_are_those_of_comparing_all_places(spark):
+    """Every pair of places of one text that don't overlap lies in one block, and no block joins places of different texts."""
+    import random
+
+    n, rng = 4, random.Random(7)
+    shared = [[f"s{k}_{i}" for i in range(rng.randrange(4, 12))] for k in range(5)] + [["r"] * 9]
+    texts = {}
+    for f in range(14):
+        words = []
+        for _ in range(4):
+            words += rng.choice(shared) + [f"own{f}_{len(words)}"] * rng.randrange(2)
+        texts[f"f{f:02d}"] = words
+    df = spark.createDataFrame([(1, f, w) for f, w in texts.items()] + [(2, "f00", texts["f00"])], "task_id bigint, file_path string, t array<string>")
+    got = duplicates.blocks(duplicates.chained(df, n), n).collect()
+    assert {r.task_id for r in got} <= {1, 2}
+    places = {}
+    for f, w in texts.items():
+        for i in range(len(w) - n + 1):
+            places.setdefault(tuple(w[i : i + n]), []).append((f, i))
+    want = {(a, b) for at in places.values() for a in at for b in at if a < b and (a[0] != b[0] or b[1] - a[1] >= n)}
+    members, pairs = {}, {}
+    for r in got:
+        if r.task_id == 1:
+            members.setdefault((r.file_of, r.idx_of, r.length), []).append((r.file_path, r.idx))
+            pairs[r.file_of, r.idx_of, r.length] = r.pairs
+    found = []
+    for (_, _, length), at in members.items():
+        own = [((a[0], a[1] + k), (b[0], b[1] + k)) for a in at for b in at for k in range(length) if a < b and (a[0] != b[0] or b[1] - a[1] >= n)]
+        found += own
+    assert len(found) == len(set(found)) and set(found) == want
+    assert sum(pairs[k] * k[2] for k in pairs) == len(want)
+
+
+def test_many_copies_of_a_body_cost_their_places(spark):
+    copies = spark.range(10_000).select(F.lit(1).cast("bigint").alias("task_id"), F.concat(F.lit("f"), F.lpad("id", 5, "0")).alias("file_path"), F.split(F.concat(F.lit("x y z a b c d e "), F.col("id")), " ").alias("t"))
+    got = duplicates.blocks(duplicates.chained(copies, 5), 5)
+    assert [tuple(r) for r in got.groupBy("length", "places", "pairs").count().collect()] == [(4, 10_000, 49_995_000, 10_000)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

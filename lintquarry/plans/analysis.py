@@ -26,8 +26,9 @@ HASHED_SQL = (
     "WITH "
     + tables.FILES_SQL
     + f""", tok AS (SELECT task_id, file_path, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS t FROM files),
-st AS (SELECT task_id, file_path, t, unnest(range(0, len(t) - {N} + 1)) AS idx FROM tok WHERE len(t) >= {N}),
-w AS (SELECT task_id, file_path, idx::INT AS idx, hash(t[idx + 1:idx + {N}]) AS h FROM st),
+u AS (SELECT task_id, file_path, hash(unnest(t)) AS x, generate_subscripts(t, 1) AS i FROM tok WHERE len(t) >= {N}),
+w AS (SELECT task_id, file_path, (i - 1)::INT AS idx, hash(list(x) OVER (PARTITION BY task_id, file_path ORDER BY i ROWS BETWEEN CURRENT ROW AND {N - 1} FOLLOWING)) AS h FROM u
+  QUALIFY i + {N - 1} <= max(i) OVER (PARTITION BY task_id, file_path)),
 n AS (SELECT *, lag(h) OVER f AS before, lead(h) OVER f AS after FROM w WINDOW f AS (PARTITION BY task_id, file_path ORDER BY idx)),
 again AS (SELECT task_id, h, count(*) AS places, min((file_path, idx)) AS of, count(before) = count(*) AND min(before) = max(before) AS one_before, count(after) = count(*) AND min(after) = max(after) AS one_after
   FROM n GROUP BY task_id, h HAVING count(*) > 1),

@@ -202,13 +202,32 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
 
 
+# Blocks of scripts that are written without spaces between words (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Bopomofo, Han, Yi, Tai Viet, Han beyond the basic plane).
+UNSPACED = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x323AF)]
+_BOUNDS = np.array(UNSPACED, np.uint32).ravel() + np.tile(np.array([0, 1], np.uint32), len(UNSPACED))
+
+
+def word_spans(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words among code points: runs of letters, digits and marks; in scripts without spaces each character is a word, as
+    whole clauses would be one."""
+    word = char_class("word")[np.minimum(c, 0x10FFFF)]
+    if not len(c) or c.max() < UNSPACED[0][0]:
+        return runs(word)
+    alone = np.searchsorted(_BOUNDS, c, "right") % 2 == 1
+    cut = ~word
+    starts, ends = word.copy(), word.copy()
+    starts[1:] &= cut[:-1] | alone[1:] | alone[:-1]
+    ends[:-1] &= cut[1:] | alone[1:] | alone[:-1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
 def words_of(texts: list[str | None]) -> list[np.ndarray]:
-    """The hashed words of each text: lower-cased runs of letters, digits and marks, composed (NFC)."""
+    """The hashed words of each text, lower-cased and composed (NFC); see word_spans()."""
     out: list[np.ndarray] = []
     for first, end in chunks(texts):
         part = [unicodedata.normalize("NFC", t.lower()) if t else "" for t in texts[first:end]]
         c, starts, ends = joined(part)
-        s, e = runs(char_class("word")[np.minimum(c, 0x10FFFF)])
+        s, e = word_spans(c)
         h = span_hashes(c, s, e)
         cut = np.searchsorted(s, starts), np.searchsorted(s, ends)
         out += [h[a:b] for a, b in zip(*cut, strict=True)]

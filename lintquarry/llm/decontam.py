@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are sequences of words (lower-cased runs of letters, digits and marks). An item of m words may lie in a document with up to e =
+Texts are sequences of words (lower-cased runs of letters, digits and marks; single characters in scripts without spaces). An item of m words may lie in a document with up to e =
 m / 5 edits of words, rounded down; cut into e + 1 pieces, one piece at least must then lie there unchanged. The pieces'
 hashes are looked up at every word of every document, and around each hit Myers' bit-parallel algorithm computes the item's
 least distance to any part of the document, which decides.
@@ -11,7 +11,7 @@ works and what is broadcast doesn't grow with it.
 
 Defined results: null and empty documents hold nothing; an item without words, or null, is not searched for; items of fewer than
 five words have no allowance and must occur exactly; equal items are reported each; an empty benchmark or document table
-gives no rows; other columns are ignored.
+gives no rows; rows of a repeated or null doc_id are searched each for itself; very long texts are searched whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ space, and the cells of a table are aligned in columns. All visible text is emit
 the main text is another operator's task.
 
 Defined results: null and empty pages give the empty text; malformed markup never fails, a stray "<" is text; equal pages give
-equal texts; trees deeper than MAX_DEPTH are cut flat there, their text kept; a cell covers MAX_COLSPAN columns and MAX_ROWSPAN rows at
+equal texts; trees deeper than MAX_DEPTH are cut flat there, their visible text kept; rows of a repeated or null page_id are rendered each for itself; a cell covers MAX_COLSPAN columns and MAX_ROWSPAN rows at
 most, all cells' text kept; very long pages take a time that grows with their length; an empty table gives no rows; other
 columns are ignored.
 """
@@ -123,21 +123,55 @@ class Scanner:
         return None
 
 
+class Deep:
+    """The open elements below MAX_DEPTH: their names, and how many of them are hidden. Their visible text belongs to the last element above."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.hidden = 0
+
+    def add(self, tag: str, hidden: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, hidden))
+        self.hidden += hidden
+
+    def last(self, kinds) -> int:
+        """The place of the innermost element of these kinds, -1 if there is none."""
+        return max((self.places[t][-1] for t in kinds if self.places.get(t)), default=-1) if self.open else -1
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            tag, hidden = self.open.pop()
+            self.places[tag].pop()
+            self.hidden -= hidden
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root", {})
     stack = [root]
+    deep = Deep()
     at = 0
 
     def text(s: str) -> None:
-        if s:
+        if s and not deep.hidden:
             stack[-1].children.append(html.unescape(s))
 
+    def shrink(k: int) -> None:
+        del stack[k:]
+        deep.cut(0)
+
     def close_until(kinds: frozenset, stop: frozenset) -> None:
         """End the innermost open element of these kinds, if none of stop is open above it."""
+        inner, barred = deep.last(kinds), deep.last(stop)
+        if inner >= 0 or barred >= 0:
+            if inner > barred:
+                deep.cut(inner)
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in kinds:
-                del stack[k:]
+                shrink(k)
                 return
             if stack[k].tag in stop:
                 return
@@ -154,12 +188,19 @@ def parse(page: str) -> Node:
         if tag is None:
             continue
         if closing:
+            inner = deep.last((tag,))
+            if inner >= 0:
+                deep.cut(inner)
+                continue
             if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p", {}))
+                if not deep.hidden:
+                    stack[-1].children.append(Node("p", {}))
+                continue
+            if deep.last(("table", "td", "th")) >= 0 and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shrink(k)
                     break
                 if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                     break  # an end tag inside a cell doesn't end what stands outside it
@@ -169,14 +210,15 @@ def parse(page: str) -> Node:
             kinds, stop = IMPLIED_END[tag]
             close_until(kinds, stop)
             if tag in ("tr", "tbody", "thead", "tfoot"):
-                while len(stack) > 1 and stack[-1].tag in kinds and (tag != "tr" or stack[-1].tag != "tbody"):
+                while len(stack) > 1 and not deep.open and stack[-1].tag in kinds and (tag != "tr" or stack[-1].tag != "tbody"):
                     stack.pop()
         if tag in CLOSES_P:
             close_until(frozenset({"p"}), SCOPE)
         if stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("base",):
-            stack.pop()
+            shrink(len(stack) - 1)
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        if not deep.hidden:
+            stack[-1].children.append(node)
         if tag in RAW:
             m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             end = m.start() if m and m.start() < scanner.last else n
@@ -187,6 +229,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not given.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             if len(stack) < MAX_DEPTH:
                 stack.append(node)
+            else:
+                deep.add(tag, not visible(node))
     return root
 
 

@@ -7,7 +7,9 @@ further from it than nearly all texts that it was made of (and a margin more) is
 
 Defined results: of several texts of an identifier and language the least is learned from; null texts and texts without a letter are ``und``, score 0, rejected; equal texts have equal results; of
 centroids equally near the first in order of language wins; languages that are null are not learned; with nothing to learn
-every text is ``und``; an empty table gives no rows; other columns are ignored.
+every text is ``und``; very long texts are counted whole; an empty table gives no rows; other columns are ignored. The model holds ``clusters`` vectors a language, so the
+number of languages is bounded by a parameter (``max_langs``, the most frequent ones); a text of another language gets the nearest of
+those that were learned.
 """
 
 from __future__ import annotations
@@ -129,13 +131,14 @@ def fit(docs: DataFrame, p: Params = Params()) -> Model:
     """Learn from a bounded sample of each language among the documents that are not held out."""
     ship(docs.sparkSession)
     named = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # the first rows of each language by a hash, found among those below a bound that leaves about four times as many: one
-    # language may hold nearly all rows, and rows above the bound never leave their task
+    # the first identifiers of each language by a hash, found among those below a bound that leaves about four times as many: one
+    # language may hold nearly all rows, and rows above the bound never leave their task. Identifiers are counted, as rows may repeat
+    # them, and to within some hundredths; a language of few is taken whole
     order = F.xxhash64("doc_id", F.lit(p.seed))
-    langs = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
+    langs = named.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct("doc_id", 0.03).alias("ids")).orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()
     bound = F.lit(None).cast("double")
     if langs:
-        bound = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, 4.0 * p.rows_per_lang / r["count"] + 1e-9))])[F.col("lang")]
+        bound = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], min(1.0, 4.0 * p.rows_per_lang / r["ids"]))])[F.col("lang")]
     named = named.withColumn("_order", order).filter(F.pmod("_order", F.lit(1 << 30)) < bound * float(1 << 30))
     first = Window.partitionBy("lang").orderBy("_order", "doc_id")
     named = named.distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= p.rows_per_lang)

@@ -1,6 +1,6 @@
 """Near duplicates by Order MinHash and banded alignment.
 
-A document is its sequence of words; its k-mers are runs of two words, each labelled with its occurrence number. Under each
+A document is its sequence of words, where characters of scripts without spaces count as words; its k-mers are runs of two words, each labelled with its occurrence number. Under each
 of ``sketches`` hash functions the ``length`` least labelled k-mers are taken and hashed *in text order*, so two documents
 agree on a sketch when they share k-mers in the same order: agreement follows edit similarity, not only shared content
 (Marcais et al. 2019). Documents that agree on a sketch are candidates; a banded bit-parallel alignment of their words

@@ -126,3 +126,16 @@ def test_one_repeated_identifier_is_one_row_of_the_samples(spark):
         langid.train = learn
     learned = sum(not held(i) for i, _, _ in rows)
     assert seen[0] == learned and learned / 2 < seen[1] <= learned + 1  # one text of it in either language
+
+
+def test_languages_of_few_repeated_identifiers_are_learned(spark):
+    """Six languages of one identifier, which many rows repeat, beside one of many."""
+    letter = {"l1": "p", "l2": "q", "l3": "r", "l4": "s", "l5": "t", "l6": "v", "en": "n"}
+    words = {g: [f"{a}{b}{c}" for a in f"b{c}kl" for b in "aeiou"] for g, c in letter.items()}
+    ids = [i for i in range(1000) if not held(i)]
+    rows = [(ids[k], " ".join(words["en"]), "en") for k in range(50)]
+    rows += [(ids[100 + k], " ".join(words[f"l{k}"]), f"l{k}") for k in range(1, 7) for _ in range(3000)]
+    model = langid.fit(documents(spark, rows))
+    assert model.langs == ["en", "l1", "l2", "l3", "l4", "l5", "l6"]
+    got = [m[0] for m in model.predict([" ".join(words[g]) for g in sorted(words)])]
+    assert got == sorted(words)

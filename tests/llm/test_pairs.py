@@ -279,3 +279,33 @@ def test_matches_on_edge_cases(spark):
     assert decontam.matches(documents(spark, edge_rows()), items.limit(0)).collect() == []
     assert decontam.matches(documents(spark, []), items).collect() == []
     assert decontam.keep_clean(documents(spark, edge_rows()), items).count() == len(edge_rows()) - 2
+
+
+UNSPACED_TEXTS = {
+    "zh": "今天的天气非常好我们一起去公园散步然后在湖边的茶馆里喝了一杯热茶并且谈论了许多关于未来的计划",
+    "ja": "きょうはとてもよい天気なので友達と一緒に公園を散歩してそれから湖のそばの茶店で温かいお茶を飲みながら将来について話しました",
+    "th": "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะด้วยกันแล้วดื่มชาร้อนที่ร้านริมทะเลสาบและพูดคุยเรื่องแผนการในอนาคต",
+}
+
+
+def changed(text, share, seed):
+    rng = random.Random(seed)
+    return "".join(chr(ord(c) + 1) if rng.random() < share and ord(c) > 0x0E2F else c for c in text)
+
+
+def test_scripts_without_spaces_are_cut_into_characters():
+    assert [len(w) for w in words_of(["今天 abc def天", "カタカナ12", "ภาษาไทย", "naïve café", ""])] == [5, 5, 7, 2, 0]
+    a, b = words_of(["天abc天", "天 abc 天"])
+    assert (a == b).all()
+
+
+@pytest.mark.parametrize("lang", sorted(UNSPACED_TEXTS))
+def test_near_copies_and_leaks_in_scripts_without_spaces(spark, lang):
+    base = UNSPACED_TEXTS[lang]
+    rows = [(0, base, lang), (1, changed(base, 0.08, 1), lang), (2, changed(base, 0.08, 2), lang), (3, base[::-1], lang), (4, "".join(random.Random(5).sample(base, len(base))), lang)]
+    got = grouped(neardup.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute(rows) and any({0, 1, 2} <= g for g in got)
+    item = base[5:30]
+    docs = documents(spark, [(0, f"前{changed(item, 0.1, 3)}后" if lang != "th" else f"ก{changed(item, 0.1, 3)}ข", lang), (1, base[::-1], lang)])
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontam.matches(docs, bench).collect()} == {0}

@@ -275,8 +275,8 @@ def test_hidden_text_below_the_deepest_kept_element():
 
     deep = "<div>" * (MAX_DEPTH + 5)
     assert render(deep + '<div style="display:none">HIDDEN<b>too</b><img alt="and this"></div>x') == "x"
-    assert render(deep + "<ul><li hidden>HIDDEN<li>seen</ul>y").split() == ["seen", "y"]
-    assert render(deep + '<p hidden>HIDDEN<p>seen</p><table><tr><td hidden>HIDDEN<td>cell</td></tr></table>z').split() == ["seen", "cell", "z"]
+    assert render(deep + "<ul><li hidden>HIDDEN<li>seen</ul> y") == "seen y"
+    assert render(deep + '<p hidden>HIDDEN<p>seen</p><table><tr><td hidden>HIDDEN<td>cell</td></tr></table> z').split() == ["seen", "cell", "z"]
     assert render(deep + "<section hidden>" + "<i>a</i>" * 300 + "</section>" + "</div>" * (MAX_DEPTH + 5) + "after") == "after"
-    wide = render("<div>" * 60_000 + "<span hidden>" + "</b>" * 60_000 + "no</span>yes")
+    wide = render("<div>" * 5_000 + "<span hidden>" + "</b>" * 5_000 + "no</span>yes")
     assert wide == "yes"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.catalogs import LEVELS, RANK, lookup, suggestion_of_rule
+from ..session import checkpointed, ship
 from .intervals import coalesced
 
 GROUP = ["task_id", "file_path", "rule_code"]
@@ -43,10 +47,66 @@ def ignore_condition(rules: list[dict], path: Column, rule_code: Column, line: C
     return F.coalesce(out, F.lit(False))
 
 
-def mark_ignored(hits: DataFrame, rules: list[dict]) -> DataFrame:
+def mark_ignored(hits: DataFrame, rules: list[dict] | DataFrame) -> DataFrame:
+    """hits with is_ignored. Rules as a list become one predicate, which suits a few; as a table they are joined, however many there are."""
+    if isinstance(rules, DataFrame):
+        return _marked_by_table(hits, rules)
     return hits.withColumn("is_ignored", ignore_condition(rules, F.col("file_path"), F.col("rule_code"), F.col("line_start")))
 
 
+#: Characters of the pieces of a glob's literal text that it is looked up by.
+GRAM = 4
+_SIGNS = re.compile(r"\*+|\?|\[.[^\]]*\]|\{.*\}|\\.")
+
+
+def _glob_parts(pattern: str) -> tuple[str, list[str]]:
+    """A glob's regular expression, and the pieces of its literal text: every path that it matches holds each of them."""
+    runs = [r for r in _SIGNS.split(pattern) if r]
+    longest = max(map(len, runs), default=0)
+    n = min(GRAM, longest)
+    return T.path_glob(pattern), sorted({r[i : i + n] for r in runs for i in range(len(r) - n + 1)} if n else {""})
+
+
+def pattern_matches(paths: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Of the paths (file_path, each once) those that one of the patterns (pattern) matches.
+
+    A pattern is looked up by that piece of its literal text which fewest patterns share; only paths that hold the piece meet it, and the
+    regular expression decides.
+    """
+    @F.arrow_udf("struct<regex:string,grams:array<string>>")
+    def parts(texts: pa.Array) -> pa.Array:
+        made = [_glob_parts(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([r for r, _ in made], pa.string()), pa.array([g for _, g in made], pa.list_(pa.string()))], ["regex", "grams"])
+
+    ship(paths.sparkSession)
+    rules = checkpointed(patterns.select("pattern").distinct().select("pattern", parts("pattern").alias("p")).select("pattern", "p.regex", F.explode("p.grams").alias("gram")))
+    shared = rules.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    by_rarest = rules.join(shared, "gram").groupBy("pattern", "regex").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    by_rarest = checkpointed(by_rarest.withColumn("size", F.length("gram")))
+    sizes = [r[0] for r in by_rarest.select("size").distinct().collect()]  # GRAM + 1 values at most
+    path = F.col("file_path")
+    grams = lambda n: F.array(F.lit("")) if n == 0 else F.when(F.length(path) >= n, F.transform(F.sequence(F.lit(1), F.length(path) - n + 1), lambda i: path.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    held = paths.select("file_path", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("gram")) if sizes else paths.select("file_path", F.lit(None).cast("string").alias("gram"))
+    return held.join(by_rarest, "gram").filter(F.rlike(path, F.col("regex"))).select("file_path").distinct()
+
+
+def _marked_by_table(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """Names and paths are equal to something that a rule asks for: a code, an ending of the path of a length that some rule has, a path and a line."""
+    on = rules.filter("is_enabled").withColumn("kind", F.upper("rule_type"))
+    codes = on.filter("kind = 'RULE_CODE'").select(F.lower("rule_code").alias("_code")).filter("_code IS NOT NULL").distinct().withColumn("_by_code", F.lit(True))
+    ends = checkpointed(on.filter("file_path IS NOT NULL AND (kind = 'FILE_PATH' OR kind = 'LINE_NUMBER' AND line_number IS NOT NULL)").select(F.col("file_path").alias("ending"), F.when(F.col("kind") == "LINE_NUMBER", F.col("line_number")).alias("line")).distinct())
+    sizes = [r[0] for r in ends.select(F.length("ending")).distinct().collect()]  # no more than a path has characters
+    paths = checkpointed(hits.select("file_path").filter("file_path IS NOT NULL").distinct())
+    path = F.col("file_path")
+    endings = F.filter(F.transform(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: F.when(F.length(path) >= n, F.struct(F.right(path, n).alias("ending")))), lambda x: x.isNotNull())
+    found = checkpointed(paths.select("file_path", F.explode(endings).alias("x")).select("file_path", "x.ending").join(ends, "ending").select("file_path", "line").distinct())
+    globs = on.filter("kind = 'FILE_PATTERN' AND file_pattern IS NOT NULL").select(F.col("file_pattern").alias("pattern"))
+    whole = found.filter("line IS NULL").select("file_path").union(pattern_matches(paths, globs)).distinct().withColumn("_by_path", F.lit(True))
+    lines = found.filter("line IS NOT NULL").select("file_path", F.col("line").alias("line_start")).withColumn("_by_line", F.lit(True))
+    out = hits.withColumn("_code", F.lower("rule_code")).join(codes, "_code", "left").join(whole, "file_path", "left").join(lines, ["file_path", "line_start"], "left")
+    return out.withColumn("is_ignored", F.coalesce("_by_code", "_by_path", "_by_line", F.lit(False))).select(*hits.columns, "is_ignored")
+
+
 def merge(hits: DataFrame, order: str = "seq") -> DataFrame:
     """One issue for each task, file and rule, from hits with is_ignored.
 
@@ -114,6 +174,6 @@ def remerge(issues: DataFrame) -> DataFrame:
     )
 
 
-def govern(hits: DataFrame, review_rule: DataFrame, ignore_rules: list[dict], order: str = "seq") -> DataFrame:
+def govern(hits: DataFrame, review_rule: DataFrame, ignore_rules: list[dict] | DataFrame, order: str = "seq") -> DataFrame:
     """Rule settings, ignore rules, merging: in this order."""
     return merge(mark_ignored(apply_rule_settings(hits, review_rule), ignore_rules), order)

@@ -42,9 +42,14 @@ def context_lines(segments: DataFrame, points: DataFrame, lines: DataFrame, keys
     """
     numbers = segments.select(*keys, F.col("s").alias("_from"), "gap", F.explode(F.sequence("s", "e")).alias("line_no"))
     out = numbers.join(lines, [*keys, "line_no"], "left")
-    p = points.select(*keys, "s", "e")
-    hit = out.join(p, keys).filter(F.col("line_no").between(F.col("s"), F.col("e"))).groupBy(*keys, "line_no").agg(F.min(F.struct("s", "e")).alias("p"))
-    out = out.join(hit, [*keys, "line_no"], "left")
+    # a sweep: each point, in order, has the lines that none before it has, so that lines and points meet once in the order of lines
+    p = points.select(*keys, "s", "e").distinct()
+    reach = F.max("e").over(Window.partitionBy(*keys).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+    own = p.withColumn("_at", F.greatest(F.col("s"), F.coalesce(reach, F.lit(0)) + 1)).filter(F.col("_at") <= F.col("e"))
+    both = out.withColumns({"_at": F.col("line_no"), "_point": F.lit(None).cast("struct<s:int,e:int>"), "_is_line": F.lit(1)})
+    both = both.unionByName(own.select(*keys, "_at", F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")).alias("_point"), F.lit(0).alias("_is_line")), allowMissingColumns=True)
+    last = F.last("_point", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at", "_is_line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = both.withColumn("p", last).filter("_is_line = 1").withColumn("p", F.when(F.col("p.e") >= F.col("line_no"), F.col("p"))).drop("_at", "_point", "_is_line")
     marker = F.when(F.col("p.s") == F.col("p.e"), "single").when(F.col("line_no") == F.col("p.s"), "start").when(F.col("line_no") == F.col("p.e"), "end")
     gap = F.when(F.col("line_no") == F.col("_from"), F.col("gap")).otherwise(0)
     return out.select(*keys, "line_no", "line", F.col("p").isNotNull().alias("issue_line"), marker.alias("marker"), gap.alias("gap_before"))

@@ -55,6 +55,6 @@ def raw_hits(files: DataFrame, dependencies: DataFrame | None = None, advisories
     return out.withColumn("seq", F.xxhash64("rule_code", "line_start", "line_end", "title", "partner"))
 
 
-def governed(files: DataFrame, review_rule: DataFrame, ignore_rules: list[dict], dependencies: DataFrame | None = None, advisories: DataFrame | None = None, params: dict | None = None) -> DataFrame:
+def governed(files: DataFrame, review_rule: DataFrame, ignore_rules: list[dict] | DataFrame, dependencies: DataFrame | None = None, advisories: DataFrame | None = None, params: dict | None = None) -> DataFrame:
     """From a snapshot to its merged issues."""
     return govern.govern(raw_hits(files, dependencies, advisories, params), review_rule, ignore_rules)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import posixpath
+import struct
 import zipfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,31 +45,76 @@ def pasted(spark: SparkSession, code: str, task_id: int) -> DataFrame:
     return spark.createDataFrame([(task_id, "PastedCode.java", code)], FILES)
 
 
-def archives(zips: DataFrame, include_tests: bool = False, suffix: str = ".java") -> DataFrame:
-    """Files of ZIP archives (task_id, content): entries that would leave their folder are refused, system junk is skipped, an archive
-    that can't be read gives no rows."""
+#: Bounds of one archive's entries: bytes of an entry, of all, and how much larger than packed an entry may be.
+ENTRY_BYTES, ARCHIVE_BYTES, RATIO = 64 << 20, 1 << 30, 200
+#: Bytes that one batch of entries takes before it is handed over.
+BATCH_BYTES = 8 << 20
+
+
+def archive_entries(zips: DataFrame, include_tests: bool = False, suffix: str = ".java", entry_bytes: int = ENTRY_BYTES, archive_bytes: int = ARCHIVE_BYTES, ratio: int = RATIO) -> DataFrame:
+    """What ZIP archives (task_id, content) hold: task_id, file_path, content, error.
 
+    Entries are inflated one at a time, no further than their bound. An entry that is damaged, encrypted, too large or inflates suspiciously
+    gives a row with its error and no content, and the next one is read; so do entries beyond the archive's own bound, and an archive that can't be
+    opened (file_path null). Of entries with one name the last counts, as for a tool that unpacks them over one another. Entries that
+    would leave their folder and system junk are left out.
+    """
     def entries(batches):
-        for batch in batches:
-            for task, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list(_entries(data or b"", suffix))
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(found), pa.int64()), pa.array([n for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], ["task_id", "file_path", "content"])
+        rows, size = [], 0
+        for given in batches:
+            for task, data in zip(given.column(0).to_pylist(), given.column(1).to_pylist(), strict=True):
+                for name, content, error in _entries(data or b"", suffix, entry_bytes, archive_bytes, ratio):
+                    rows.append((task, name, content, error))
+                    size += len(content or b"")
+                    if size >= BATCH_BYTES:
+                        yield _entry_batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _entry_batch(rows)
 
     ship(zips.sparkSession)
-    rows = zips.select(F.col("task_id").cast("bigint"), "content").mapInArrow(entries, "task_id bigint, file_path string, content binary")
-    return decoded(wanted(rows, include_tests))
+    rows = zips.select(F.col("task_id").cast("bigint"), "content").mapInArrow(entries, "task_id bigint, file_path string, content binary, error string")
+    whole = rows.filter("file_path IS NULL")
+    return whole.unionByName(wanted(rows.filter("file_path IS NOT NULL"), include_tests))
+
+
+def archives(zips: DataFrame, include_tests: bool = False, suffix: str = ".java") -> DataFrame:
+    """The readable files of ZIP archives (task_id, content)."""
+    return decoded(archive_entries(zips, include_tests, suffix).filter("error IS NULL").drop("error"))
+
+
+def _entry_batch(rows: list) -> pa.RecordBatch:
+    task, name, content, error = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(task, pa.int64()), pa.array(name, pa.string()), pa.array(content, pa.binary()), pa.array(error, pa.string())], ["task_id", "file_path", "content", "error"])
 
 
-def _entries(data: bytes, suffix: str):
+def _entries(data: bytes, suffix: str, entry_bytes: int, archive_bytes: int, ratio: int):
+    """(name, content, error) of each entry."""
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist():
-                name = posixpath.normpath(info.filename.replace("\\", "/"))
-                if info.is_dir() or not name.endswith(suffix) or name.startswith(("/", "../")) or name == "..":
-                    continue
-                yield name, z.read(info)
-    except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+        archive = zipfile.ZipFile(io.BytesIO(data))
+    except (zipfile.BadZipFile, ValueError, EOFError, OSError, NotImplementedError, struct.error) as e:
+        yield None, None, f"archive: {type(e).__name__}"
         return
+    with archive as z:
+        last = {}
+        for info in z.infolist():
+            name = posixpath.normpath(info.filename.replace("\\", "/"))
+            if not (info.is_dir() or not name.endswith(suffix) or name.startswith(("/", "../")) or name == ".."):
+                last[name] = info
+        left = archive_bytes
+        for name, info in last.items():
+            most = min(entry_bytes, left)
+            try:
+                with z.open(info) as f:
+                    content = f.read(most + 1)
+            except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError, struct.error) as e:
+                yield name, None, f"entry: {type(e).__name__}"
+                continue
+            if len(content) > most or len(content) > max(1 << 20, ratio * max(1, info.compress_size)):
+                yield name, None, "entry: too large"
+                continue
+            left -= len(content)
+            yield name, content, None
 
 
 def json_advisories(spark: SparkSession, path: str) -> DataFrame:

@@ -413,3 +413,79 @@ def test_many_copies_of_a_body_cost_their_places(spark):
     assert [tuple(r) for r in got.groupBy("length", "places", "pairs").count().collect()] == [(4, 10_000, 49_995_000, 10_000)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_archives_entry_by_entry(spark):
+    def packed(entries, method=zipfile.ZIP_DEFLATED):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", method) as z:
+            for name, data in entries:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    good = packed([("a/A.java", "class A {}"), ("a/B.java", "class B {}"), ("../C.java", "class C {}"), ("note.txt", "x"), ("__MACOSX/D.java", "class D {}")])
+    at = good.index(b"a/A.java") + len("a/A.java")
+    damaged = good[:at] + bytes(b ^ 0xFF for b in good[at : at + 6]) + good[at + 6 :]
+    twice = packed([("A.java", "old"), ("A.java", "new")])
+    bomb = packed([("Big.java", b"0" * (8 << 20)), ("Small.java", "class S {}")])
+    zips = spark.createDataFrame([(1, good), (2, damaged), (3, twice), (4, bomb), (5, b"no archive"), (6, good[: len(good) // 2]), (7, None)], "task_id bigint, content binary")
+    got = {}
+    for r in files.archive_entries(zips).collect():
+        got.setdefault(r.task_id, {})[r.file_path] = r.error or bytes(r.content).decode()
+    assert got[1] == {"a/A.java": "class A {}", "a/B.java": "class B {}"}
+    assert got[2]["a/B.java"] == "class B {}" and got[2]["a/A.java"].startswith("entry: ")
+    assert got[3] == {"A.java": "new"} and got[4] == {"Big.java": "entry: too large", "Small.java": "class S {}"}
+    assert all(list(got[k]) == [None] and got[k][None].startswith("archive: ") for k in (5, 6, 7))
+    assert files.archive_entries(zips.filter("task_id = 1"), entry_bytes=5).filter("error IS NULL").count() == 0
+    assert files.archive_entries(zips.filter("task_id = 1"), archive_bytes=15).filter("error IS NULL").count() == 1
+    assert {(r.task_id, r.file_path) for r in files.archives(zips).collect()} == {(1, "a/A.java"), (1, "a/B.java"), (2, "a/B.java"), (3, "A.java"), (4, "Small.java")}
+
+
+def test_ignore_rules_as_a_table_are_those_of_a_list(spark):
+    rng = random.Random(4)
+    names = ["src/main/A.java", "src/test/ATest.java", "gen/deep/er/B.java", "C.java", "x/C.java", "a[1]/D.java", "é/ü.java", "m1/m2/m3/E.kt", "", "/"]
+    hits = [(k, rng.choice(names), rng.choice(["SEC_A", "sec_b", "STYLE_C", None]), rng.choice([1, 2, 7, None])) for k in range(300)]
+    hits.append((999, None, "SEC_A", 1))
+    df = spark.createDataFrame(hits, "seq bigint, file_path string, rule_code string, line_start int")
+    globs = ["**/*.java", "*.java", "src/**", "**/gen/**", "gen/**/B.java", "?.java", "x/{C,D}.java", "a\\[1\\]/*", "[C-E].java", "**", "é/*", "m*/m?/**", "**/nothing/**", "*", "{src,gen}/**", ""]
+    every = [{"id": k, "rule_type": "FILE_PATTERN", "file_pattern": g, "is_enabled": True} for k, g in enumerate(globs)]
+    every += [{"id": 50 + k, "rule_type": "file_path", "file_path": p, "is_enabled": True} for k, p in enumerate(["C.java", "n/A.java", "", "src/main/A.java"])]
+    every += [{"id": 60 + k, "rule_type": "LINE_NUMBER", "file_path": p, "line_number": n, "is_enabled": True} for k, (p, n) in enumerate([("B.java", 7), ("E.kt", None), (None, 2), ("java", 1)])]
+    every += [{"id": 70, "rule_type": "RULE_CODE", "rule_code": "Sec_A", "is_enabled": True}, {"id": 71, "rule_type": "RULE_CODE", "rule_code": "STYLE_C", "is_enabled": False}, {"id": 72, "rule_type": None, "is_enabled": True}, {"id": 73, "rule_type": "RULE_CODE", "rule_code": "STYLE_C", "is_enabled": None}]
+    schema = "id bigint, rule_type string, rule_code string, file_pattern string, file_path string, line_number int, is_enabled boolean"
+    names_of = [c.split()[0] for c in schema.split(", ")]
+    for rules in (every[1:9:3], every[10:14] + every[24:], every[3:5] + every[19:22], [], every):
+        table = spark.createDataFrame([[r.get(c) for c in names_of] for r in rules], schema)
+        got = {r.seq: r.is_ignored for r in govern.mark_ignored(df, table).collect()}
+        assert got == {r.seq: r.is_ignored for r in govern.mark_ignored(df, rules).collect()}, rules
+
+
+def test_fifty_thousand_ignore_rules(spark):
+    n = 50_000
+    rules = spark.range(n).select(
+        "id", F.when(F.col("id") % 5 < 3, "FILE_PATTERN").when(F.col("id") % 5 == 3, "FILE_PATH").otherwise("LINE_NUMBER").alias("rule_type"), F.lit(None).cast("string").alias("rule_code"),
+        F.concat(F.lit("src/main/**/Foo"), F.lpad("id", 6, "0"), F.lit("*.java")).alias("file_pattern"), F.concat(F.lit("Foo"), F.lpad("id", 6, "0"), F.lit(".java")).alias("file_path"), F.lit(3).alias("line_number"), F.lit(True).alias("is_enabled"),
+    )
+    hits = spark.range(0, 2 * n, 7).select(F.col("id").alias("seq"), F.concat(F.lit("src/main/x/Foo"), F.lpad("id", 6, "0"), F.lit(".java")).alias("file_path"), F.lit("A").alias("rule_code"), (F.col("id") % 2 + 2).cast("int").alias("line_start"))
+    got = govern.mark_ignored(hits, rules)
+    assert got._jdf.queryExecution().executedPlan().toString().count("\n") < 120
+    want = sum(1 for k in range(0, n, 7) if k % 5 < 4 or k % 2 + 2 == 3)
+    assert got.filter("is_ignored").count() == want
+
+
+def test_context_lines_of_many_points_and_of_overlapping_ones(spark):
+    rng = random.Random(3)
+    points = [(f, s, s + rng.randrange(6)) for f in "ab" for s in (rng.randrange(1, 90) for _ in range(25))]
+    lines = [(f, n, f"{f}{n}") for f in "ab" for n in range(1, 101)]
+    p = spark.createDataFrame([(*x, 100) for x in points], "file_path string, s int, e int, total int")
+    ln = spark.createDataFrame(lines, "file_path string, line_no int, line string")
+    got = {(r.file_path, r.line_no): (r.issue_line, r.marker) for r in intervals.context_lines(intervals.context_windows(p, ["file_path"], 2), p, ln, ["file_path"]).collect()}
+    assert len(got) > 100
+    for (f, n), (issue, marker) in got.items():
+        first = min(((s, e) for g, s, e in points if g == f and s <= n <= e), default=None)
+        assert issue == (first is not None)
+        assert marker == (None if first is None else "single" if first[0] == first[1] else "start" if n == first[0] else "end" if n == first[1] else None)
+    many = spark.range(100_000).select(F.lit("f").alias("file_path"), (F.col("id") + 1).cast("int").alias("s"), (F.col("id") + 1).cast("int").alias("e"), F.lit(100_000).alias("total"))
+    text = many.select("file_path", F.col("s").alias("line_no"), F.lit("x").alias("line"))
+    rows = intervals.context_lines(intervals.context_windows(many, ["file_path"], 3), many, text, ["file_path"])
+    assert rows.filter("marker = 'single'").count() == 100_000

@@ -41,11 +41,31 @@ def advisory_hits(dependencies: DataFrame, advisories: DataFrame, manifest: str
     return out.withColumn("level", F.col("_level")).withColumn("severity", rank_of(F.col("_level"))).drop("_level")
 
 
-def raw_hits(files: DataFrame, dependencies: DataFrame | None = None, advisories: DataFrame | None = None, params: dict | None = None) -> DataFrame:
+def digests(files: DataFrame) -> DataFrame:
+    """task_id, file_path, digest of each file's content: what a later scan compares with."""
+    return files.select("task_id", "file_path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+def reread(files: DataFrame, known: DataFrame, known_read: DataFrame, params: dict | None = None) -> DataFrame:
+    """java_rules.read() of a new snapshot of one source, of which only files that changed since another are parsed.
+
+    known: the digests() of the other snapshot, known_read: its read() result, under the same rule settings. A file with the path and the content of
+    a known one takes over its rows, under the new task; files that are gone leave none. Rules over all files run on the whole, as ever.
+    """
+    now = files.withColumn("digest", F.sha2(F.col("content").cast("binary"), 256))
+    old = known.select("file_path", "digest").distinct()
+    fresh = java_rules.read(now.join(old, ["file_path", "digest"], "left_anti").select("task_id", "file_path", "content"), params)
+    same = now.join(known.select("file_path", "digest", F.col("task_id").alias("_was")), ["file_path", "digest"]).groupBy("task_id", "file_path").agg(F.min("_was").alias("_was"))
+    kept = known_read.withColumnRenamed("task_id", "_was").join(same, ["file_path", "_was"]).select(*known_read.columns)
+    return fresh.unionByName(kept)
+
+
+def raw_hits(files: DataFrame, dependencies: DataFrame | None = None, advisories: DataFrame | None = None, params: dict | None = None, read: DataFrame | None = None) -> DataFrame:
     """Every checker's hits over Java files and their manifests' dependencies, in the columns that govern() takes, partner of a duplicate
-    included. Files are parsed once, into the shared folder, a part for each relation."""
+    included. Files are parsed once, into the shared folder, a part for each relation, unless what was read of them is given (reread())."""
     params = params or {}
-    read = stored(java_rules.read(files, params), "kind")
+    if read is None:
+        read = stored(java_rules.read(files, params), "kind")
     parts = [java_rules.all_hits(read, files, int(params.get("minTokens", 100))), line_hits(files, int(params.get("maxLineLength", 120)))]
     if dependencies is not None and advisories is not None:
         parts.append(advisory_hits(dependencies, advisories))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -64,3 +64,27 @@ def gated(events: DataFrame, triggers: list[dict], legacy_glob: bool = False) ->
             own = F.col("trigger_id") == t["trigger_id"]
             ok = ok | (own & T.in_repo_scope(F.col("repo_url"), F.lit(t.get("scope") or "")) & branch_matches(F.col("branch"), (t.get("branch_filter") or "").split(","), legacy_glob))
     return parsed(events).filter(F.coalesce(ok, F.lit(False)))
+
+
+#: Triggers as a table: the versions of each, in force from from_ts until the next one.
+SETTINGS = "trigger_id bigint, from_ts timestamp_ntz, is_enabled boolean, scope string, branch_filter string"
+
+
+def glob_regex(pattern: Column) -> Column:
+    """branch_glob() of functions.text for patterns in a column."""
+    out = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|\-])", r"\\$1")
+    for sign, by in (("?", "[^/]"), ("**/", "\u0001"), ("**", "\u0002"), ("*", "[^/]*"), ("\u0001", "(.*/)?"), ("\u0002", ".*")):
+        out = F.replace(out, F.lit(sign), F.lit(by))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
+def gated_by(events: DataFrame, settings: DataFrame) -> DataFrame:
+    """gated() by a table of settings: each event (with ts and trigger_id) by the version of its trigger that was in force at its time."""
+    until = F.lead("from_ts").over(Window.partitionBy("trigger_id").orderBy("from_ts"))
+    versions = settings.withColumn("until", until).filter("is_enabled").select(F.col("trigger_id").alias("_trigger"), "from_ts", "until", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce("branch_filter", F.lit("")).alias("branch_filter"))
+    rows = parsed(events)
+    at = F.col("ts").cast("timestamp_ntz")
+    held = (F.col("trigger_id") == F.col("_trigger")) & (at >= F.col("from_ts")) & (F.col("until").isNull() | (at < F.col("until")))
+    patterns = F.filter(F.transform(F.split("branch_filter", ","), lambda p: F.trim(p)), lambda p: p != "")
+    branch = F.col("branch").isNull() | (F.size(patterns) == 0) | F.exists(patterns, lambda p: F.rlike(F.col("branch"), glob_regex(p)))
+    return rows.join(versions, held).filter(T.in_repo_scope(F.col("repo_url"), F.col("scope")) & branch).select(*rows.columns)

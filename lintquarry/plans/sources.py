@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from ..operators import govern, java_rules
+from ..operators import govern, java_rules, webhooks
 from ..sources import tables
 from ..streaming import events as streams
 from .analysis import PARSED_SQL, TRIGGERS
@@ -113,3 +114,43 @@ def stream_daily_trend(spark, d):
     return streams.available_now(out, f"{at}/out", f"{at}/progress")
 
 
+
+
+#: Versions of the triggers: the second ones hold from the middle day of the events on.
+SETTINGS_SQL = """mid AS (SELECT date_trunc('day', min(ts)) + to_days((date_diff('day', min(ts)::DATE, max(ts)::DATE) // 2)::INT) AS middle FROM events)"""
+
+
+@query(
+    "stream_settings",
+    PARSED_SQL
+    + f""", {SETTINGS_SQL} SELECT p.event_id, repo_url, branch FROM parsed p JOIN events e USING (event_id), mid WHERE repo_url IS NOT NULL AND CASE trigger_id
+  WHEN 0 THEN e.ts < middle AND regexp_matches(lower(repo_url), 'org0/repo0\\.git/?$') AND (branch IS NULL OR branch = 'main' OR starts_with(branch, 'release/'))
+  WHEN 1 THEN e.ts < middle OR branch IS NULL OR branch = 'main' ELSE e.ts >= middle END""",
+)
+def stream_settings(spark, d):
+    """A trigger that is switched off, one that gets a filter and one that is switched on, in the middle of the events."""
+    at = _stream_dir(spark)
+    first, last = tables.read(spark, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    mid = datetime(first.year, first.month, first.day) + timedelta(days=(last.date() - first.date()).days // 2)
+    begin = datetime(1970, 1, 1)
+    versions = [(0, begin, True, "org0/repo0", "main,release/**"), (0, mid, False, None, None), (1, begin, True, None, None), (1, mid, True, "", "main"), (2, begin, False, None, None), (2, mid, True, None, " ")]
+    spark.createDataFrame(versions, webhooks.SETTINGS).write.parquet(f"{at}/settings")
+    schema = tables.read(spark, d, "events").schema
+    rows = streams.event_stream(spark, f"{d}/events.parquet", schema).select("event_id", "ts", (F.col("event_id") % 3).alias("trigger_id"), *tables._webhook_columns())
+    return streams.gated_by_table(rows, f"{at}/settings", f"{at}/out", f"{at}/progress").select("event_id", "repo_url", "branch")
+
+
+STATUS_SQL = "s AS (SELECT user_id AS record_id, ts, CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'purchase' THEN CASE WHEN event_id % 7 = 0 THEN 'SUCCESS' ELSE 'RUNNING' END WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status FROM events WHERE user_id IS NOT NULL)"
+
+
+@query("stream_record_states", f"WITH {STATUS_SQL} SELECT record_id, CASE WHEN bool_or(status = 'SUCCESS') THEN 'SUCCESS' ELSE arg_max(status, (ts, status)) END AS status FROM s GROUP BY 1")
+def stream_record_states(spark, d):
+    """The last state of each record from a stream whose batches come out of the order of their events."""
+    at = _stream_dir(spark)
+    won = F.when(F.col("event_id") % 7 == 0, "SUCCESS").otherwise("RUNNING")
+    status = F.when(F.col("event_type") == "signup", "PENDING").when(F.col("event_type") == "purchase", won).when(F.col("event_type") == "error", "FAILED").otherwise("RUNNING")
+    rows = tables.read(spark, d, "events").select(F.col("user_id").alias("record_id"), status.alias("status"), "ts", F.pmod(F.xxhash64("event_id"), F.lit(4)).alias("part"))
+    rows.repartition(4, "part").drop("part").write.parquet(f"{at}/events")
+    events = streams.event_stream(spark, f"{at}/events", spark.read.parquet(f"{at}/events").schema, files_per_trigger=1)
+    out = streams.available_now(streams.record_status_stream(events, late="3650 days"), f"{at}/out", f"{at}/progress")
+    return out.groupBy("record_id").agg(F.max_by("status", "n").alias("status"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import webhooks
+from ..session import ship
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -34,6 +36,67 @@ def record_states(events: DataFrame) -> DataFrame:
     return events.groupBy("record_id").agg(F.coalesce(F.max(F.when(F.col("status") == "SUCCESS", F.lit("SUCCESS"))), last["status"]).alias("status"))
 
 
+#: What a record's state holds: its status, the time of the event that gave it, and how many rows it has put out.
+STATE = "status string, ts timestamp, n bigint"
+STATUS_ROWS = "record_id bigint, status string, ts timestamp, n bigint"
+
+
+def record_status_stream(events: DataFrame, late: str = "1 day", expire_ms: int | None = None) -> DataFrame:
+    """How records' states change, as a stateful stream: a row (record_id, status, ts, n) for each batch that changes one, n counting up.
+
+    events: record_id, status, ts. A record that has succeeded stays so; otherwise the newest event counts, so one that comes late
+    doesn't undo a newer one. Records that haven't ended are given up (EXPIRED) when the watermark is ``expire_ms`` past their last event; their
+    state then goes, as does that of ended ones when nothing about them can come in time any more.
+    """
+    def change(key, batches, state):
+        import pandas as pd
+
+        now = state.get if state.exists else (None, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if now[0] not in ENDED:
+                yield pd.DataFrame({"record_id": [key[0]], "status": ["EXPIRED"], "ts": [now[1]], "n": [now[2] + 1]})
+            return
+        status, ts, n = now
+        for rows in batches:
+            for s, t in zip(rows["status"], rows["ts"], strict=True):
+                won = s == "SUCCESS" and status != "SUCCESS"
+                newer = ts is None or (t, s) > (ts, status)
+                if won or status != "SUCCESS" and newer:
+                    status, ts = s, t
+        if (status, ts) != now[:2]:
+            n += 1
+            yield pd.DataFrame({"record_id": [key[0]], "status": [status], "ts": [ts], "n": [n]})
+        state.update((status, ts, n))
+        if expire_ms is not None:
+            state.setTimeoutTimestamp(max(int(ts.timestamp() * 1000) + expire_ms, state.getCurrentWatermarkMs() + 1))
+
+    ship(events.sparkSession)
+    timeout = GroupStateTimeout.EventTimeTimeout if expire_ms is not None else GroupStateTimeout.NoTimeout
+    keyed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(F.col("record_id").cast("bigint").alias("record_id"), "status", "ts").filter("record_id IS NOT NULL AND status IS NOT NULL AND ts IS NOT NULL")
+    return keyed.groupBy("record_id").applyInPandasWithState(change, STATUS_ROWS, STATE, "append", timeout)
+
+
+ENDED = ("SUCCESS", "FAILED")
+
+
+def gated_by_table(events: DataFrame, settings_path: str, sink: str, checkpoint: str) -> DataFrame:
+    """Deliveries that may start a scan by the triggers as the settings table has them: read anew for each batch, so that what changes there
+    holds from the next batch on, and each event is judged by the version in force at its own time. A batch that is run again
+    replaces its own folder."""
+    spark = events.sparkSession
+
+    def batch(rows: DataFrame, number: int) -> None:
+        settings = spark.read.schema(webhooks.SETTINGS).parquet(settings_path)
+        webhooks.gated_by(rows, settings).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    shape = webhooks.gated_by(spark.createDataFrame([], events.schema), spark.createDataFrame([], webhooks.SETTINGS)).schema
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sink)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    return spark.read.schema(shape).parquet(sink).select(*shape.names)
+
+
 def available_now(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into Parquet, then read the result."""
     spark = stream.sparkSession

@@ -489,3 +489,68 @@ def test_context_lines_of_many_points_and_of_overlapping_ones(spark):
     text = many.select("file_path", F.col("s").alias("line_no"), F.lit("x").alias("line"))
     rows = intervals.context_lines(intervals.context_windows(many, ["file_path"], 3), many, text, ["file_path"])
     assert rows.filter("marker = 'single'").count() == 100_000
+
+
+def test_a_trigger_disabled_between_two_batches(spark, tmp_path):
+    from datetime import datetime
+
+    from lintquarry.streaming import events
+
+    payload = '{"repoUrl": "https://h/o/r.git", "branch": "%s"}'
+    schema = "event_id bigint, ts timestamp_ntz, trigger_id bigint, platform string, payload string"
+    day = lambda n: datetime(2026, 1, n)
+
+    def arrive(name, rows):
+        spark.createDataFrame([(i, t, 1, "GENERIC", payload % b) for i, t, b in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        return {r.event_id for r in events.gated_by_table(stream, f"{tmp_path}/settings", f"{tmp_path}/out", f"{tmp_path}/progress").collect()}
+
+    spark.createDataFrame([(1, day(1), True, "o/r", "main,release/**,fix-?")], webhooks.SETTINGS).write.parquet(f"{tmp_path}/settings")
+    arrive("a", [(1, day(2), "main"), (2, day(2), "dev"), (3, day(2), "release/1/2"), (4, day(2), "fix-1"), (5, day(2), "fix-12")])
+    assert run() == {1, 3, 4}
+    spark.createDataFrame([(1, day(5), False, None, None)], webhooks.SETTINGS).write.mode("append").parquet(f"{tmp_path}/settings")
+    arrive("b", [(6, day(6), "main"), (7, day(4), "main")])
+    assert run() == {1, 3, 4, 7}
+
+
+@pytest.mark.parametrize("pattern", ["release/**", "**/main", "*", "**", "a.b/?", "x[1]", "feature/*/y", "a+b", "**/x/**"])
+def test_globs_in_a_column_are_those_of_a_list(spark, pattern):
+    branches = ["release/1", "release/1/2", "main", "a/main", "x/y/main", "a.b/c", "aXb/c", "x[1]", "x1", "feature/z/y", "feature/z/w/y", "a+b", "aab", "x/q", "a/x/b", ""]
+    df = spark.createDataFrame([(b, pattern) for b in branches], "b string, p string")
+    got = [r.b for r in df.filter(F.rlike(F.col("b"), webhooks.glob_regex(F.col("p")))).collect()]
+    assert got == [r.b for r in df.filter(webhooks.branch_matches(F.col("b"), [pattern])).collect()]
+
+
+def test_record_states_of_a_stream_with_late_events_and_expiry(spark, tmp_path):
+    from datetime import datetime
+
+    from lintquarry.streaming import events
+
+    schema = "record_id bigint, status string, ts timestamp"
+    at = lambda d, h=0: datetime(2026, 1, d, h)
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = events.available_now(events.record_status_stream(stream, "2 days", expire_ms=5 * 86_400_000), f"{tmp_path}/out", f"{tmp_path}/progress")
+        return {r.record_id: r.status for r in out.groupBy("record_id").agg(F.max_by("status", "n").alias("status")).collect()}
+
+    assert run("a", [(1, "PENDING", at(1)), (1, "RUNNING", at(1, 5)), (2, "SUCCESS", at(1)), (2, "FAILED", at(1, 9)), (3, "RUNNING", at(1)), (4, "FAILED", at(1, 8))]) == {1: "RUNNING", 2: "SUCCESS", 3: "RUNNING", 4: "FAILED"}
+    # a late event doesn't undo a newer one, but a success always counts
+    assert run("b", [(1, "PENDING", at(1, 2)), (4, "SUCCESS", at(1, 2)), (2, "RUNNING", at(1, 20)), (3, "RUNNING", at(1, 3))]) == {1: "RUNNING", 2: "SUCCESS", 3: "RUNNING", 4: "SUCCESS"}
+    # the watermark passes what record 1 and 3 are given
+    assert run("c", [(5, "PENDING", at(20))]) == {1: "EXPIRED", 2: "SUCCESS", 3: "EXPIRED", 4: "SUCCESS", 5: "PENDING"}
+
+
+def test_only_changed_files_are_parsed_again(spark):
+    from lintquarry.operators import scan
+
+    schema = "task_id bigint, file_path string, content string"
+    old = spark.createDataFrame([(1, "A.java", "class a { }"), (1, "B.java", "class b { }"), (1, "C.java", "class c { }"), (1, "N.java", None)], schema)
+    # rows that no parser makes show which files weren't parsed again
+    read = java_rules.read(old).withColumn("type", F.when(F.col("type").isNotNull(), F.col("type").withField("simple_name", F.concat(F.lit("kept_"), F.col("type.simple_name")))))
+    now = spark.createDataFrame([(2, "A.java", "class a { }"), (2, "B.java", "class b2 { }"), (2, "D.java", "class c { }"), (2, "N.java", None)], schema)
+    got = java_rules.relation(scan.reread(now, scan.digests(old), read), "type")
+    assert {(r.task_id, r.file_path, r.simple_name) for r in got.collect()} == {(2, "A.java", "kept_a"), (2, "B.java", "b2"), (2, "D.java", "c")}

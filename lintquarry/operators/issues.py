@@ -202,3 +202,19 @@ def sync_records(records: DataFrame, ended: DataFrame) -> DataFrame:
 def with_trigger_names(records: DataFrame, triggers: DataFrame) -> DataFrame:
     """Records with their trigger's name, null where there is none: settings are few, a join that Spark may broadcast by their size."""
     return records.join(triggers.select(F.col("id").alias("trigger_id"), F.col("name").alias("trigger_name")), "trigger_id", "left")
+
+
+def task_status(tasks: DataFrame, counts: DataFrame) -> DataFrame:
+    """What the status call tells of each task: its state, its message, how long it took in seconds (null while it runs) and its issues by level."""
+    at = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    levels = [F.coalesce(F.col(v.lower()), F.lit(0)).cast("bigint").alias(v.lower()) for v in LEVELS]
+    return tasks.join(counts.withColumnRenamed("task_id", "id"), "id", "left").select("id", "status", "error_message", (at("completed_at") - at("started_at")).alias("seconds"), *levels)
+
+
+def history(tasks: DataFrame, project: str | None = None, status: str | None = None, number: int = 1, size: int = 10) -> DataFrame:
+    """A page of tasks, newest first: of a project or task whose name holds a text, in a state; empty texts and ALL filter nothing."""
+    if project and project.strip():
+        tasks = tasks.filter(contains_any(["project_name", "task_name"], project.strip()))
+    if status and status.strip() and status.strip().upper() != "ALL":
+        tasks = tasks.filter(F.col("status") == status.strip().upper())
+    return page(tasks, [F.col("created_at").desc(), F.col("id").desc()], number, size)

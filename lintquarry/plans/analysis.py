@@ -130,13 +130,13 @@ def version_compare(spark, d):
 
 KEY_SQL = "list_transform(string_split_regex(regexp_replace({v}, '^[vV]', ''), '[^0-9A-Za-z]+'), lambda s: coalesce(TRY_CAST(regexp_extract(s, '^([0-9]+)', 1) AS HUGEINT), 0))"
 #: Versions of many segments, and of many digits.
-LONG_SQL = PAIR_SQL + ", q AS (SELECT dep_id, CASE WHEN dep_id % 2 = 0 THEN a || '.1.2.3.4.5.6.' || (dep_id % 3) ELSE a END AS a, CASE dep_id % 4 WHEN 0 THEN a || '.1.2.3.4.5.6.1' WHEN 2 THEN a || '.1.2.3.4.5.6.12345678901' ELSE b END AS b FROM p WHERE a IS NOT NULL AND b IS NOT NULL)"
+LONG_SQL = PAIR_SQL + ", q AS (SELECT dep_id, CASE WHEN dep_id % 2 = 0 THEN a || '.1.2.3.4.5.6.' || (dep_id % 3) ELSE a END AS a, CASE dep_id % 4 WHEN 0 THEN a || '.1.2.3.4.5.6.1' WHEN 2 THEN a || '.1.2.3.4.5.6.12345678901' ELSE b END AS b FROM p)"
 
 
-@query("release_compare", LONG_SQL + f", x AS (SELECT *, {KEY_SQL.format(v='a')} AS ka, {KEY_SQL.format(v='b')} AS kb FROM q) SELECT dep_id, a, b, coalesce(list_filter(list_transform(range(1, greatest(len(ka), len(kb)) + 1), lambda i: sign(coalesce(ka[i], 0) - coalesce(kb[i], 0))), lambda s: s <> 0)[1], 0)::INT AS c FROM x")
+@query("release_compare", LONG_SQL + f", x AS (SELECT *, {KEY_SQL.format(v='a')} AS ka, {KEY_SQL.format(v='b')} AS kb FROM q) SELECT dep_id, a, b, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN coalesce(list_filter(list_transform(range(1, greatest(len(ka), len(kb)) + 1), lambda i: sign(coalesce(ka[i], 0) - coalesce(kb[i], 0))), lambda s: s <> 0)[1], 0)::INT END AS c FROM x")
 def release_compare(spark, d):
     k = F.col("dep_id")
-    pairs = version_pairs(spark, d).filter("a is not null and b is not null")
+    pairs = version_pairs(spark, d)
     longer = F.concat("a", F.lit(".1.2.3.4.5.6."))
     a, b = F.when(k % 2 == 0, F.concat(longer, (k % 3).cast("string"))).otherwise(F.col("a")), F.when(k % 4 == 0, F.concat(longer, F.lit("1"))).when(k % 4 == 2, F.concat(longer, F.lit("12345678901"))).otherwise(F.col("b"))
     pairs = pairs.select("dep_id", a.alias("a"), b.alias("b"))
@@ -477,7 +477,15 @@ def import_only_purge(spark, d):
     return migrate.import_only(ranges, lines)
 
 
-@query("rule_level_migration", "WITH r AS (SELECT * FROM " + C.sql_rows([("SEC_XXE", "BUG"), ("OTHER", " info "), ("OTHER", "WARNING"), ("STYLE_WILDCARD_IMPORT", "MINOR"), ("NULL_CHECK", "MAJOR"), ("X", None)], "rule_code, default_level") + f") SELECT rule_code, CASE WHEN upper(trim(default_level)) IN ('BUG', 'WARNING', 'INFO') THEN coalesce({C.sql_by_rule('rule_code', 0)}, {C.sql_case('upper(trim(default_level))', C.MIGRATED)}) WHEN rule_code = 'STYLE_WILDCARD_IMPORT' AND default_level = 'MINOR' THEN 'INFO' ELSE default_level END AS default_level FROM r")
+MIGRATED_RULES = [*sorted(C.RULES)[:8], "STYLE_WILDCARD_IMPORT", "OTHER", "X"]
+MIGRATED_LEVELS = ["BUG", " info ", "WARNING", "MINOR", "MAJOR", None, "Bug", "CRITICAL"]
+PICKED = "([{values}])[p_partkey % {n} + 1]"
+MIGRATED_SQL = f"""WITH r AS (SELECT p_partkey AS id, {PICKED.format(values=', '.join(map(C.sql_value, MIGRATED_RULES)), n=len(MIGRATED_RULES))} AS rule_code, {PICKED.format(values=', '.join(map(C.sql_value, MIGRATED_LEVELS)), n=len(MIGRATED_LEVELS))} AS default_level FROM part)
+SELECT id, rule_code, CASE WHEN upper(trim(default_level)) IN ('BUG', 'WARNING', 'INFO') THEN coalesce({C.sql_by_rule('rule_code', 0)}, {C.sql_case('upper(trim(default_level))', C.MIGRATED)}) WHEN rule_code = 'STYLE_WILDCARD_IMPORT' AND default_level = 'MINOR' THEN 'INFO' ELSE default_level END AS default_level FROM r"""
+
+
+@query("rule_level_migration", MIGRATED_SQL)
 def rule_level_migration(spark, d):
-    rows = [("SEC_XXE", "BUG"), ("OTHER", " info "), ("OTHER", "WARNING"), ("STYLE_WILDCARD_IMPORT", "MINOR"), ("NULL_CHECK", "MAJOR"), ("X", None)]
-    return migrate.rule_levels(spark.createDataFrame(rows, "rule_code string, default_level string"))
+    k = F.col("p_partkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    return migrate.rule_levels(tables.read(spark, d, "part").select(k.alias("id"), pick(MIGRATED_RULES).alias("rule_code"), pick(MIGRATED_LEVELS).alias("default_level")))

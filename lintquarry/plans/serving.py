@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
 from ..functions import text as T
 from ..operators import govern, intervals, issues, migrate, quality
 from ..schemas import REVIEW_RULE
-from ..sources import tables
+from ..session import shared_dir
+from ..sources import files, tables
 from .registry import query
 
 REVIEW_RULES = [
@@ -311,13 +314,19 @@ def line_labels(spark, d):
     return merged(spark, d).filter("occurrence_count > 1").select("task_id", "file_path", "rule_code", T.line_label(F.col("line_points")).alias("line_label"))
 
 
-@query("checker_enablement", "WITH c AS (SELECT * FROM (VALUES ('naming', TRUE), ('security', TRUE), ('ai_design', FALSE), ('other', NULL)) t(checker_code, default_enabled)), s AS (SELECT * FROM (VALUES ('naming', FALSE), ('security', NULL), ('ai_design', TRUE)) t(checker_code, on_)) SELECT checker_code, default_enabled, coalesce(on_, default_enabled, TRUE) AS is_enabled FROM c LEFT JOIN s USING (checker_code)")
+@query(
+    "checker_enablement",
+    """WITH c AS (SELECT 'c' || s_suppkey AS checker_code, CASE s_suppkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS default_enabled FROM supplier),
+s AS (SELECT 'c' || (p_partkey % 120) AS checker_code, max(p_partkey) AS last FROM part GROUP BY 1)
+SELECT checker_code, default_enabled, coalesce(CASE last % 7 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END, default_enabled, TRUE) AS is_enabled FROM c LEFT JOIN s USING (checker_code)""",
+)
 def checker_enablement(spark, d):
+    """Suppliers as checkers, parts as their settings' rows, of which the last counts."""
     from ..operators import checkers
-    from ..schemas import CHECKER_CONFIG
 
-    known = spark.createDataFrame([("naming", True), ("security", True), ("ai_design", False), ("other", None)], "checker_code string, default_enabled boolean")
-    config = spark.createDataFrame([("naming", False, None, 1), ("security", None, None, 2), ("ai_design", True, None, 3)], CHECKER_CONFIG)
+    k, p = F.col("s_suppkey"), F.col("p_partkey")
+    known = tables.read(spark, d, "supplier").select(F.concat(F.lit("c"), k.cast("string")).alias("checker_code"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("default_enabled"))
+    config = tables.read(spark, d, "part").select(F.concat(F.lit("c"), (p % 120).cast("string")).alias("checker_code"), F.when(p % 7 == 0, True).when(p % 7 == 1, False).alias("is_enabled"), F.lit(None).cast("string").alias("params"), p.cast("int").alias("sort_order"))
     return checkers.enabled(known, config)
 
 
@@ -410,15 +419,14 @@ def point_lookup(spark, d):
     return issues.by_id(settings(spark, d), 12).select("id", "rule_code")
 
 
-@query("rule_page", SETTINGS_SQL + "SELECT rule_code, sort_order FROM settings WHERE rule_category = 'BUILDING' AND sort_order IS NOT NULL AND (contains(rule_code, '0') OR contains(rule_name, '0') OR contains(description, '0')) ORDER BY sort_order, rule_code LIMIT 5 OFFSET 5")
+@query("rule_page", SETTINGS_SQL + "SELECT rule_code, sort_order FROM settings WHERE rule_category = 'BUILDING' AND (contains(rule_code, '0') OR contains(rule_name, '0') OR contains(description, '0')) ORDER BY sort_order NULLS FIRST, rule_code LIMIT 5 OFFSET 5")
 def rule_page(spark, d):
-    return issues.rule_page(settings(spark, d).filter("sort_order is not null"), "BUILDING", "0", 2, 5).select("rule_code", "sort_order")
+    return issues.rule_page(settings(spark, d), "BUILDING", "0", 2, 5).select("rule_code", "sort_order")
 
 
-@query("settings_listed", SETTINGS_SQL + "SELECT id, row_number() OVER (ORDER BY sort_order NULLS FIRST, id) - 1 AS place FROM settings")
+@query("settings_listed", SETTINGS_SQL + "SELECT id, sort_order FROM settings ORDER BY sort_order NULLS FIRST, id")
 def settings_listed(spark, d):
-    ordered = issues.listed(settings(spark, d), "sort_order", "id").coalesce(1)  # settings are few
-    return ordered.select("id", F.monotonically_increasing_id().alias("place"))
+    return issues.listed(settings(spark, d), "sort_order", "id").select("id", "sort_order")
 
 
 @query("settings_toggled", SETTINGS_SQL + "SELECT id, CASE WHEN id = 14 THEN NOT coalesce(is_enabled, false) ELSE is_enabled END AS is_enabled FROM settings")
@@ -487,3 +495,83 @@ def issues_remerged(spark, d):
     out = govern.remerge(rows)
     names = ["id", "task_id", "file_path", "rule_code", "is_ignored", "severity", "ai_generated", "ai_suggestion", "occurrence_count", "description", "line_start", "line_end", "line_label"]
     return out.select(*names, F.array_join("other_partners", ",").alias("others"))
+
+
+# ---------------------------------------------------------------- settings, reports and tables as files
+
+#: Rules of each kind for every part: endings of paths, lines, globs and codes; few of them match.
+IGNORE_ROWS = """r AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'LINE_NUMBER' WHEN 1 THEN 'FILE_PATH' WHEN 2 THEN 'FILE_PATTERN' ELSE 'RULE_CODE' END AS kind, p_partkey % 9 <> 0 AS is_enabled,
+  CASE WHEN p_partkey % 4 = 0 THEN 'f' || (p_partkey % 7) WHEN p_partkey % 4 = 1 THEN 'x' || p_partkey END AS own, (p_partkey % 200 + 1)::INT AS line,
+  CASE WHEN p_partkey % 4 = 2 THEN CASE WHEN p_partkey % 400 = 2 THEN '[e-g]6' ELSE '**/gen' || p_partkey || '/*.java' END END AS pattern, CASE WHEN p_partkey % 4 = 3 THEN CASE WHEN p_partkey % 500 = 3 THEN 'null_CHECK' ELSE 'CODE_' || p_partkey END END AS code FROM part)"""
+
+
+@query(
+    "ignore_rules_table",
+    f"""WITH {tables.HITS_SQL}, {IGNORE_ROWS}, e AS (SELECT * FROM r WHERE is_enabled),
+lines AS (SELECT DISTINCT own AS file_path, line AS line_start, true AS by_line FROM e WHERE kind = 'LINE_NUMBER')
+SELECT seq, coalesce(by_line, false) OR (EXISTS (SELECT 1 FROM e WHERE pattern = '[e-g]6') AND file_path = 'f6') OR (EXISTS (SELECT 1 FROM e WHERE code = 'null_CHECK') AND rule_code = 'NULL_CHECK') AS is_ignored
+FROM hits LEFT JOIN lines USING (file_path, line_start)""",
+)
+def ignore_rules_table(spark, d):
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    kind = F.when(k % 4 == 0, "LINE_NUMBER").when(k % 4 == 1, "FILE_PATH").when(k % 4 == 2, "FILE_PATTERN").otherwise("RULE_CODE")
+    rules = tables.read(spark, d, "part").select(
+        k.alias("id"), kind.alias("rule_type"), F.when(k % 500 == 3, "null_CHECK").otherwise(text("CODE_", k)).alias("rule_code"), F.when(k % 400 == 2, "[e-g]6").otherwise(text("**/gen", k, "/*.java")).alias("file_pattern"),
+        F.when(k % 4 == 0, text("f", k % 7)).when(k % 4 == 1, text("x", k)).alias("file_path"), (k % 200 + 1).cast("int").alias("line_number"), (k % 9 != 0).alias("is_enabled"),
+    )
+    return govern.mark_ignored(tables.raw_hits(spark, d), rules).select("seq", "is_ignored")
+
+
+LEVEL_ROWS = FLAT_SQL + "SELECT task_id, level, count(*) AS n FROM issues WHERE NOT is_ignored GROUP BY ALL"
+
+
+@query("report_written", LEVEL_ROWS)
+def report_written(spark, d):
+    """A report's rows written as JSON lines, a folder a task, some of them twice over, and read again."""
+    at = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    rows = quality.level_counts(flat(spark, d)).select("task_id", "level", "n")
+    files.write_report(rows, at)
+    files.write_report(rows.filter("task_id % 2 = 0"), at)
+    return spark.read.schema("level string, n bigint, task_id bigint").json(at)
+
+
+@query("issues_evolved", FLAT_SQL + "SELECT id, task_id, level, NULL::VARCHAR AS note FROM issues")
+def issues_evolved(spark, d):
+    """An older table without a column that newer ones have."""
+    at = f"{shared_dir(spark)}/issues-{uuid.uuid4().hex}"
+    rows = flat(spark, d).select("id", "task_id", "level")
+    files.write_issues(rows, at)
+    return files.read_issues(spark, at, like=rows.limit(0).withColumn("note", F.lit(None).cast("string")))
+
+
+@query(
+    "markdown_comments",
+    FLAT_SQL.rstrip()
+    + f""", t AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY {C.sql_case('level', C.RANK)} DESC, file_path, line_start, rule_code, id) AS place FROM issues WHERE NOT is_ignored),
+b AS (SELECT task_id, string_agg('| ' || level || ' | ' || file_path || ' | ' || line_start || ' | ' || replace(title, '|', chr(92) || '|') || ' |', chr(10) ORDER BY place) AS rows FROM t WHERE place <= 3 GROUP BY 1)
+SELECT task_id, concat_ws(chr(10) || chr(10), 'Score ' || (task_id % 100) || ' (GOOD), debt ' || task_id || 'm', rows) AS comment FROM (SELECT DISTINCT task_id FROM issues) LEFT JOIN b USING (task_id)""",
+)
+def markdown_comments(spark, d):
+    own = flat(spark, d).withColumn("line_label", F.col("line_start").cast("string")).withColumn("rule_code", F.concat("rule_code", F.lpad(F.col("id").cast("string"), 12, "0")))
+    t = F.col("task_id")
+    verdicts = own.select("task_id").distinct().select(t, (t % 100).alias("score"), F.lit("GOOD").alias("grade"), F.concat(t.cast("string"), F.lit("m")).alias("debt_text"))
+    return files.markdown_report(own, verdicts, 3)
+
+
+COUNTED = ", ".join(f"count(*) FILTER (level = '{v}') AS {v.lower()}" for v in C.LEVELS)
+
+
+@query("task_status", f"WITH {tables.TASKS_SQL}, {tables.HITS_SQL}, c AS (SELECT task_id, {COUNTED} FROM hits GROUP BY 1) SELECT id, status, 'e' || id AS error_message, CASE WHEN id % 3 > 0 THEN (id % 500)::BIGINT END AS seconds, {', '.join(f'coalesce({v.lower()}, 0) AS {v.lower()}' for v in C.LEVELS)} FROM tasks LEFT JOIN c ON task_id = id")
+def task_status(spark, d):
+    counts = quality.level_pivot(flat(spark, d).withColumn("is_ignored", F.lit(False)))
+    begin = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    t = tables.tasks(spark, d).withColumn("error_message", F.concat(F.lit("e"), F.col("id").cast("string"))).withColumn("started_at", begin)
+    t = t.withColumn("completed_at", F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.unix_timestamp(begin.cast("timestamp")) + F.col("id") % 500)))
+    return issues.task_status(t, counts)
+
+
+@query("task_history", f"WITH {tables.TASKS_SQL} SELECT id, project_name, status FROM tasks WHERE contains(project_name, 'URGENT') AND status = 'SUCCESS' ORDER BY created_at DESC, id DESC LIMIT 10 OFFSET 10")
+def task_history(spark, d):
+    t = tables.tasks(spark, d).withColumn("task_name", F.lit("task"))
+    return issues.history(t, " URGENT ", "success", 2, 10).select("id", "project_name", "status")

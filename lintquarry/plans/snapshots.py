@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import catalogs as C
 from ..functions import text as T
 from ..operators import checkers, environment, graph, issues
+from ..session import shared_dir
 from ..sources import build_files, files, tables
 from .registry import query
 
@@ -133,9 +139,70 @@ def level_numbers(spark, d):
     return parts(spark, d).select("id", issues.level_number(chosen([*C.LEVELS, "?"])).cast("int").alias("place"))
 
 
-@query("pasted_source", "SELECT 7::BIGINT AS task_id, 'PastedCode.java' AS file_path, 'class A {}' AS content")
+@query("pasted_source", "SELECT doc_id AS task_id, 'PastedCode.java' AS file_path, text AS content FROM documents")
 def pasted_source(spark, d):
-    return files.pasted(spark, "class A {}", 7)
+    return files.pasted_rows(tables.read(spark, d, "documents").select(F.col("doc_id").alias("task_id"), F.col("text").alias("content")))
+
+
+@query(
+    "archive_files",
+    """WITH d AS (SELECT doc_id AS task_id, 'x' || coalesce(text, '') AS body FROM documents), e AS (SELECT task_id, 'src/A.java' AS file_path, body FROM d UNION ALL SELECT task_id, 'src/B.java', 'class B {}' FROM d)
+SELECT task_id, CASE WHEN task_id % 11 <> 4 THEN file_path END AS file_path, CASE WHEN task_id % 11 = 4 THEN 'archive: BadZipFile' WHEN strlen(body) > 4000 THEN 'entry: too large' WHEN task_id % 7 = 3 AND file_path = 'src/A.java' THEN 'entry: BadZipFile' END AS error,
+  CASE WHEN task_id % 11 = 4 OR strlen(body) > 4000 OR task_id % 7 = 3 AND file_path = 'src/A.java' THEN NULL ELSE sha256(body) END AS digest FROM e WHERE task_id % 11 <> 4 OR file_path = 'src/A.java'""",
+)
+def archive_files(spark, d):
+    """A ZIP archive of each document, beside a second file; some of them with a damaged entry, some cut off, some with more in a file than is
+    allowed."""
+    @F.arrow_udf("binary")
+    def packed(keys: pa.Array, bodies: pa.Array) -> pa.Array:
+        out = []
+        for key, body in zip(keys.to_pylist(), bodies.to_pylist(), strict=True):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("src/A.java", body)
+                z.writestr("src/B.java", "class B {}")
+                z.writestr("../C.java", "class C {}")
+            data = bytearray(data.getvalue())
+            if key % 7 == 3:
+                data[data.index(b"PK\x01\x02") + 16] ^= 0xFF  # the checksum in the list of entries
+            out.append(bytes(data[: len(data) // 2]) if key % 11 == 4 else bytes(data))
+        return pa.array(out, pa.binary())
+
+    docs = tables.spread(tables.read(spark, d, "documents")).select(F.col("doc_id").alias("task_id"), F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("body"))
+    found = files.archive_entries(docs.select("task_id", packed("task_id", "body").alias("content")), entry_bytes=4000)
+    return found.select("task_id", "file_path", "error", F.sha2("content", 256).alias("digest"))
+
+
+@query("json_advisories", "SELECT p_partkey::VARCHAR AS id, p_brand AS group_id, p_name AS artifact_id, CASE WHEN p_size % 3 > 0 THEN p_size::VARCHAR END AS introduced, p_partkey || '.0' AS fixed_version FROM part WHERE p_partkey % 5 > 0")
+def json_advisories(spark, d):
+    """Documents of up to 500 advisories, of which some lack what they must have."""
+    k = F.col("p_partkey")
+    at = f"{shared_dir(spark)}/advisories-{uuid.uuid4().hex}"
+    rows = tables.read(spark, d, "part").select(
+        F.floor(k / 500).alias("file"),
+        F.struct(
+            k.cast("string").alias("id"), F.when(k % 15 != 0, F.col("p_brand")).alias("groupId"), F.when(k % 15 != 5, F.col("p_name")).alias("artifactId"),
+            F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string")).alias("introduced"), F.when(k % 15 != 10, F.concat(k.cast("string"), F.lit(".0"))).alias("fixedVersion"),
+        ).alias("row"),
+    )
+    rows.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(at)
+    return files.json_advisories(spark, at).select("id", "group_id", "artifact_id", "introduced", "fixed_version")
+
+
+@query("json_paths", "SELECT event_id, CASE WHEN event_id % 5 > 0 THEN (event_id % 9)::VARCHAR END AS nested, 't' || event_id AS top, user_id::VARCHAR AS first, NULL::VARCHAR AS none FROM events")
+def json_paths(spark, d):
+    k = F.col("event_id")
+    doc = F.to_json(F.struct(F.array(F.struct(F.struct(F.when(k % 5 > 0, k % 9).alias("c")).alias("b"))).alias("a"), F.concat(F.lit("t"), k.cast("string")).alias("t"), F.array("user_id").alias("u")))
+    at = lambda path: T.json_path(F.col("doc"), path)
+    return tables.read(spark, d, "events").select("event_id", doc.alias("doc")).select("event_id", at("a[0].b.c").alias("nested"), at("t").alias("top"), at("u[0]").alias("first"), at("a[1].b").alias("none"))
+
+
+@query("partner_locations", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN 'src/F' || p_partkey || '.java:' || p_size || '-' || (p_size + 9) END AS partner FROM part")
+def partner_locations(spark, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    there = F.concat(F.lit("src/F"), k.cast("string"), F.lit(".java:"), n.cast("string"), F.lit("-"), (n + 9).cast("string"))
+    text = F.concat(F.lit("blocks\n  位置一：a:1-2\n  "), F.when(k % 4 > 0, F.lit("位置二：")).otherwise(F.lit("at ")), there, F.lit("\nend"))
+    return tables.read(spark, d, "part").select(k.alias("id"), T.partner_location(text).alias("partner"))
 
 
 @query(

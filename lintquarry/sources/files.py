@@ -51,6 +51,11 @@ ENTRY_BYTES, ARCHIVE_BYTES, RATIO = 64 << 20, 1 << 30, 200
 BATCH_BYTES = 8 << 20
 
 
+def pasted_rows(codes: DataFrame) -> DataFrame:
+    """Pasted texts (task_id, content), one file each."""
+    return codes.select(F.col("task_id").cast("bigint"), F.lit("PastedCode.java").alias("file_path"), "content")
+
+
 def archive_entries(zips: DataFrame, include_tests: bool = False, suffix: str = ".java", entry_bytes: int = ENTRY_BYTES, archive_bytes: int = ARCHIVE_BYTES, ratio: int = RATIO) -> DataFrame:
     """What ZIP archives (task_id, content) hold: task_id, file_path, content, error.
 
@@ -124,9 +129,30 @@ def json_advisories(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=["group_id", "artifact_id", "fixed_version"])
 
 
-def jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a relational store, by Spark's own source; give partitionColumn, bounds and numPartitions for large ones."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc(spark: SparkSession, url: str, table: str, split: str | None = None, parts: int = 8, fetch: int = 10_000, **options: str) -> DataFrame:
+    """A table of a relational store, by Spark's own source.
+
+    split: a number or time column; one query asks for its least and greatest value, and the table is then read in so many ranges of it side by
+    side (a null in it belongs to the first). Without it one task reads all. Rows come ``fetch`` at a time; stores of the MySQL family keep to that only
+    with cursors, which the address asks for then.
+    """
+    plain = {"url": jdbc_url(url), "fetchsize": str(fetch), **options}
+    whole = spark.read.format("jdbc").options(**plain).option("dbtable", table)
+    if split is None:
+        return whole.load()
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(split)
+    lo, hi = spark.read.format("jdbc").options(**plain).option("query", f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}").load().first()
+    if lo is None:
+        return whole.load()
+    return whole.option("partitionColumn", split).option("lowerBound", str(lo)).option("upperBound", str(hi + 1 if isinstance(hi, int) else hi)).option("numPartitions", parts).load()
+
+
+def jdbc_url(url: str) -> str:
+    """The address with what its family of stores needs for reading row by row."""
+    # Address beginnings of the MySQL family.
+    if url.lower().startswith(("jdbc:mysql:", "jdbc:mariadb:", "jdbc:oceanbase:")) and "useCursorFetch" not in url:
+        return url + ("&" if "?" in url else "?") + "useCursorFetch=true"
+    return url
 
 
 def write_issues(issues: DataFrame, path: str) -> None:

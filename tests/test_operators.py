@@ -554,3 +554,25 @@ def test_only_changed_files_are_parsed_again(spark):
     now = spark.createDataFrame([(2, "A.java", "class a { }"), (2, "B.java", "class b2 { }"), (2, "D.java", "class c { }"), (2, "N.java", None)], schema)
     got = java_rules.relation(scan.reread(now, scan.digests(old), read), "type")
     assert {(r.task_id, r.file_path, r.simple_name) for r in got.collect()} == {(2, "A.java", "kept_a"), (2, "B.java", "b2"), (2, "D.java", "c")}
+
+
+def test_jdbc_reads_in_ranges(spark):
+    from lintquarry.sources import files as sources
+
+    url, driver = "jdbc:derby:memory:lintquarry;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(1000).select((F.col("id") * 3).alias("id"), F.concat(F.lit("n"), F.col("id")).alias("name"))
+    rows.write.format("jdbc").options(url=url, driver=driver, dbtable="issue").save()
+    whole = sources.jdbc(spark, url, "issue", driver=driver)
+    split = sources.jdbc(spark, url, "issue", split="id", parts=8, driver=driver)
+    assert (whole.rdd.getNumPartitions(), split.rdd.getNumPartitions()) == (1, 8)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, rows.collect()))
+    sizes = [len(p) for p in split.rdd.glom().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 130
+    rows.limit(0).write.format("jdbc").options(url=url, driver=driver, dbtable="nothing").save()
+    assert sources.jdbc(spark, url, "nothing", split="id", driver=driver).count() == 0
+    assert sources.jdbc_url("jdbc:mysql://h/d?x=1") == "jdbc:mysql://h/d?x=1&useCursorFetch=true" and sources.jdbc_url("jdbc:mariadb://h/d").endswith("?useCursorFetch=true") and sources.jdbc_url("jdbc:h2:mem") == "jdbc:h2:mem"
+
+
+def test_a_page_comes_with_the_number_of_rows(spark):
+    rows, n = issues.paged(spark.range(25).withColumn("x", F.col("id") % 2), ["x", "id"], 2, 10)
+    assert n == 25 and [r.id for r in rows.collect()] == [20, 22, 24, 1, 3, 5, 7, 9, 11, 13]

@@ -15,6 +15,7 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -75,95 +76,119 @@ def unpack_bits(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1\1+", re.S)
+
+
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 1:
-            out += bytes((257 - (j - i), data[i]))
-        else:
-            while j < n and j - i < 128 and (j + 1 >= n or data[j] != data[j + 1]):
-                j += 1
-            out.append(j - i - 1)
-            out += data[i:j]
-        i = j
+    """Runs of three bytes and more as such, the rest as it is; 128 bytes a packet at most."""
+    out, at = bytearray(), 0
+
+    def plain(start: int, end: int) -> None:
+        for k in range(start, end, 128):
+            part = data[k : min(k + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _RUN.finditer(data):
+        plain(at, m.start())
+        n = m.end() - m.start()
+        while n > 1:
+            k = min(n, 128)
+            out.extend((257 - k, data[m.start()]))
+            n -= k
+        at = m.end() - n
+    plain(at, len(data))
     return bytes(out)
 
 
+#: Codes since the last clear from which each width holds.
+_WIDTHS = ((9, 254), (10, 766), (11, 1790), (12, 1 << 62))
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """TIFF's LZW: codes from the high bit down, of 9 to 12 bits, widened one code early."""
-    table: list[bytes] = []
-    out, width, held, bits, last, i = bytearray(), 9, 0, 0, b"", 0
-    while len(out) < size:
-        while bits < width:
-            if i >= len(data):
-                return bytes(out)
-            held, bits, i = (held << 8 | data[i]) & 0xFFFFFF, bits + 8, i + 1
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == LZW_END:
+    """TIFF's LZW: codes from the high bit down, of 9 to 12 bits, widened one code early. How wide a code is hangs on its number since the last clear, so
+    that codes are taken from the bits many at a time."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    out: list[bytes] = []
+    got = at = number = 0
+    table: list[bytes] | None = None
+    last = b""
+    while got < size:
+        width, until = next(x for x in _WIDTHS if number < x[1])
+        n = min(until - number, 4096, (len(bits) - at) // width)
+        if n <= 0:
             break
-        if code == LZW_CLEAR:
-            table, width, last = [bytes((k,)) for k in range(256)] + [b"", b""], 9, b""
-            continue
-        if not table:
-            raise TiffError("LZW data without a clear code")
-        if not last:
-            if code > 255:
+        codes = bits[at : at + n * width].reshape(n, width) @ (1 << np.arange(width - 1, -1, -1))
+        for k, code in enumerate(codes.tolist()):
+            if code == LZW_CLEAR:
+                table, last, number = [bytes((x,)) for x in range(256)] + [b"", b""], b"", 0
+                at += (k + 1) * width
+                break
+            if code == LZW_END:
+                return b"".join(out)
+            if table is None:
+                raise TiffError("LZW data without a clear code")
+            known = len(table)
+            if last:
+                if code < known:
+                    entry = table[code]
+                elif code == known:
+                    entry = last + last[:1]
+                else:
+                    raise TiffError("LZW code out of range")
+                table.append(last + entry[:1])
+            elif code > 255:
                 raise TiffError("LZW code out of range")
-            entry = table[code]
+            else:
+                entry = table[code]
+            out.append(entry)
+            last = entry
+            got += len(entry)
+            if got >= size:
+                return b"".join(out)
         else:
-            if code > len(table):
-                raise TiffError("LZW code out of range")
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out += entry
-        last = entry
-        width = min(12, max(9, (len(table) + 1).bit_length()))
-    return bytes(out)
+            at += n * width
+            number += n
+    return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-
+    """TIFF's LZW; the codes are found one after another and laid into bits together."""
+    codes, widths = [LZW_CLEAR], [9]
+    add, widen = codes.append, widths.append
     table: dict[int, int] = {}  # the code of a longer run, by its beginning's code and its last byte
+    find = table.get
     size, width, run = 258, 9, -1
-    put(LZW_CLEAR, 9)
     for k in data:
-        if run < 0:
-            run = k
-            continue
-        longer = table.get(run << 8 | k)
+        key = run << 8 | k
+        longer = find(key) if run >= 0 else k
         if longer is not None:
             run = longer
             continue
-        put(run, width)
-        table[run << 8 | k] = size
+        add(run)
+        widen(width)
+        table[key] = size
         size += 1
+        if size == 4094:
+            add(LZW_CLEAR)
+            widen(width)
+            table.clear()
+            size, width = 258, 9
+        elif size == 512 or size == 1024 or size == 2048:
+            width += 1
         run = k
-        if size == 4094:  # before the code width would pass 12 bits
-            put(LZW_CLEAR, 12)
-            table, size, width = {}, 258, 9
-        else:
-            width = max(9, size.bit_length())
     if run >= 0:
-        put(run, width)
+        add(run)
+        widen(width)
         size += 1
         width = min(12, max(9, size.bit_length()))
-    put(LZW_END, width)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    add(LZW_END)
+    widen(width)
+    w = np.array(widths)
+    ends = np.cumsum(w)
+    place = np.arange(ends[-1])
+    shift = np.repeat(ends, w) - 1 - place
+    return np.packbits((np.repeat(np.array(codes), w) >> shift & 1).astype(np.uint8)).tobytes()
 
 
 def unpacked(data: bytes, compression: int, size: int) -> bytes:

@@ -38,7 +38,7 @@ class Params:
     #: Pre-tokens in the broadcast table at most.
     frequent: int = 1 << 15
     #: Documents, about, that they are counted in.
-    sample_docs: int = 10_000
+    sample_docs: int = 2_000
     #: Tasks that merge the counts; so many rows come to the driver.
     merges: int = 8
     seed: int = 3

@@ -70,32 +70,31 @@ def nonnull_returns(seeds: DataFrame, depends: DataFrame, rounds: int | None = 5
     return known
 
 
-def unguarded(points: DataFrame, guards: DataFrame) -> DataFrame:
-    """The points (task_id, file_path, method_at, name, pos, ...) that no guard (..., s, e: from s up to before e) of their name covers.
+def with_guards(points: DataFrame, guards: DataFrame) -> DataFrame:
+    """points (task_id, file_path, method_at, name, pos, ...) with guarded: whether a guard (..., s, e: from s up to before e) of their name covers them.
 
     A sweep: by place in the text, a point is covered if the furthest end of the guards that began before reaches beyond it.
     """
     key = ["task_id", "file_path", "method_at", "name"]
     rest = [c for c in points.columns if c not in key]
-    ends = guards.select(*key, F.col("s").alias("_at"), F.col("e").alias("_end"), F.lit(0).alias("_point"), F.lit(None).cast(_struct(points, rest)).alias("_row"))
-    own = points.select(*key, F.col("pos").alias("_at"), F.lit(None).cast("int").alias("_end"), F.lit(1).alias("_point"), F.struct(*rest).alias("_row"))
+    row = F.struct(*rest)
+    kind = points.select(row.alias("r")).schema["r"].dataType
+    ends = guards.select(*key, F.col("s").alias("_at"), F.col("e").alias("_end"), F.lit(0).alias("_point"), F.lit(None).cast(kind).alias("_row"))
+    own = points.select(*key, F.col("pos").alias("_at"), F.lit(None).cast("int").alias("_end"), F.lit(1).alias("_point"), row.alias("_row"))
     before = Window.partitionBy(*key).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = ends.unionByName(own).withColumn("_reach", F.max("_end").over(before)).filter("_point = 1")
-    return swept.filter(F.col("_reach").isNull() | (F.col("_reach") <= F.col("_at"))).select(*key, "_row.*").select(*points.columns)
+    return swept.select(*key, "_row.*", F.coalesce(F.col("_reach") > F.col("_at"), F.lit(False)).alias("guarded")).select(*points.columns, "guarded")
 
 
-def _struct(df: DataFrame, columns: list[str]) -> str:
-    return df.select(F.struct(*columns).alias("r")).schema["r"].dataType.simpleString()
+def unguarded(points: DataFrame, guards: DataFrame) -> DataFrame:
+    return with_guards(points, guards).filter("NOT guarded").drop("guarded")
 
 
-def _with_guards(needs: DataFrame, guards: DataFrame) -> DataFrame:
+def _held_by_guards(needs: DataFrame, guards: DataFrame) -> DataFrame:
     """Needs of names that a guard covers hold: arg_kind self."""
     asks = F.col("pos").isNotNull() & (F.col("arg_kind") != "self")
-    named = needs.filter(asks).withColumn("_id", F.monotonically_increasing_id())
-    named = checkpointed(named)
-    bare = unguarded(named.select("task_id", "file_path", "method_at", "name", "pos", "_id"), guards).select("_id", F.lit(True).alias("_bare"))
-    named = named.join(bare, "_id", "left").withColumn("arg_kind", F.when(F.col("_bare"), F.col("arg_kind")).otherwise("self")).drop("_id", "_bare")
-    return needs.filter(~asks).unionByName(named)
+    named = with_guards(needs.filter(asks), guards)
+    return needs.filter(~asks).unionByName(named.withColumn("arg_kind", F.when(F.col("guarded"), "self").otherwise(F.col("arg_kind"))).drop("guarded"))
 
 
 def returns_of(read_files: DataFrame) -> DataFrame:
@@ -108,7 +107,7 @@ def returns_of(read_files: DataFrame) -> DataFrame:
     local = F.concat_ws("|", "scope_type", "param")
     units = relation(read_files, "null_return").withColumn("unit", F.concat_ws("@", "file_path", "unit")).drop("scope_type")
     units = units.unionByName(sites.withColumn("unit", local).withColumn("method", local).drop("param", "scope_type", "caller_types"))
-    units = _with_guards(units, guards)
+    units = _held_by_guards(units, guards)
     on = F.when(F.col("arg_kind") == "ret", F.col("arg")).when((F.col("arg_kind") == "param") & F.col("arg").startswith("="), F.concat_ws("|", "arg_class", "arg"))
     needs = checkpointed(units.select("task_id", "unit", "method", on.alias("on"), F.col("arg_kind") == "self").toDF("task_id", "unit", "method", "on", "holds"))
     whole = needs.groupBy("task_id", "unit", "method").agg(F.bool_and(F.col("holds") | F.col("on").isNotNull()).alias("can"), F.bool_and("holds").alias("sure")).filter("can")
@@ -121,7 +120,7 @@ def resolved_sites(read_files: DataFrame) -> DataFrame:
     """What calls pass, where guards and methods that never return null are taken into account: arg_kind self, param or none."""
     from .java_rules import relation
 
-    sites = _with_guards(relation(read_files, "null_site"), relation(read_files, "guard").filter("form != 'checked'"))
+    sites = _held_by_guards(relation(read_files, "null_site"), relation(read_files, "guard").filter("form != 'checked'"))
     proven = returns_of(read_files).select("task_id", F.col("method").alias("arg"), F.lit(True).alias("_given"))
     rest = sites.filter("arg_kind != 'ret'")
     given = sites.filter("arg_kind = 'ret'").join(proven, ["task_id", "arg"], "left")

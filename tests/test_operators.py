@@ -604,3 +604,21 @@ def test_proofs_of_a_common_name_meet_no_site_with_a_candidate(spark):
     got = graph.attributed_proof(candidates, sites)
     # public ones also hear of every site whose type isn't told, some of which pass what isn't provable; private ones hear of their own class
     assert got.filter("proven").count() == sum(1 for k in range(n) if k % 2 == 0 and k % 1000 > 0)
+
+
+@pytest.mark.parametrize("n,control", [(8, False), (9, False), (9, True), (2, False), (1, False)])
+def test_windows_that_may_be_repeated(spark, n, control):
+    """Every window that stands in several places is kept as it was, and of files that share nothing none is."""
+    rng = random.Random(n)
+    fresh = lambda size: [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    common, loop = fresh(30), fresh(3)
+    texts = [fresh(40) + common + fresh(40), common[5:] + fresh(20), fresh(10) + common + fresh(30) + common, loop * 12, ["x"] * 40, fresh(5) + common, fresh(n), [], None]
+    files = [(1, f"f{i}", t, None if t is None else list(range(1, len(t) + 1)), [{"s": 3, "e": 60}]) for i, t in enumerate(texts)]
+    files += [(t, f"own{i}", w, list(range(1, 301)), [{"s": 1, "e": 300}]) for t in (1, 2) for i in range(20) for w in [fresh(300)]]
+    schema = "task_id bigint, file_path string, t array<string>, lines array<int>, controls array<struct<s:int,e:int>>"
+    tokens = spark.createDataFrame(files, schema)
+    again = lambda w: w.join(w.groupBy("task_id", "fingerprint").count().filter("count > 1").drop("count"), ["task_id", "fingerprint"])
+    rows = lambda w: sorted(str(sorted(r.asDict(True).items())) for r in w.collect())
+    every, some = duplicates.chained(tokens, n, control), duplicates.repeated(tokens, n, control)
+    assert rows(again(every)) and rows(again(some)) == rows(again(every))
+    assert some.filter("file_path LIKE 'own%'").count() == 0 and every.filter("file_path LIKE 'own%'").count() > 40 * 280

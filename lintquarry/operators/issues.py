@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalogs import LEVELS, RANK, literal_map, rank_of
 from ..functions.text import not_blank
+from ..session import stored
 
 
 def contains_any(columns: list[str], keyword: str, wildcards: bool = False) -> Column:
@@ -168,6 +169,18 @@ def listed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
 
 
+def placed(rows: DataFrame, *keys: str) -> DataFrame:
+    """listed() with each row's place, from 0. Sorted ranges are written once; their sizes, a row each, tell where each begins, so that no
+    task sees all rows."""
+    ranges = stored(listed(rows, *keys).withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = ranges.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    begins = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # no more rows than the session has shuffle partitions
+    out = ranges.withColumn("_part", part).join(F.broadcast(begins), "_part").withColumn("place", F.col("_before") + row)
+    return listed(out.drop("_at", "_part", "_before"), "place")
+
+
 # ---------------------------------------------------------------- changes
 
 

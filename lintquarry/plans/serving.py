@@ -424,9 +424,9 @@ def rule_page(spark, d):
     return issues.rule_page(settings(spark, d), "BUILDING", "0", 2, 5).select("rule_code", "sort_order")
 
 
-@query("settings_listed", SETTINGS_SQL + "SELECT id, sort_order FROM settings ORDER BY sort_order NULLS FIRST, id")
+@query("settings_listed", SETTINGS_SQL + "SELECT id, sort_order, row_number() OVER (ORDER BY sort_order NULLS FIRST, id) - 1 AS place FROM settings ORDER BY sort_order NULLS FIRST, id")
 def settings_listed(spark, d):
-    return issues.listed(settings(spark, d), "sort_order", "id").select("id", "sort_order")
+    return issues.placed(settings(spark, d).select("id", "sort_order"), "sort_order", "id").select("id", "sort_order", "place")
 
 
 @query("settings_toggled", SETTINGS_SQL + "SELECT id, CASE WHEN id = 14 THEN NOT coalesce(is_enabled, false) ELSE is_enabled END AS is_enabled FROM settings")

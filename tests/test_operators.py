@@ -234,6 +234,13 @@ def test_issue_table_replaces_only_its_tasks(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_issues(spark, path).select("task_id", "id").collect()) == [(1, 1), (2, 3)]
 
 
+def test_places_of_settings(spark):
+    rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 <> 0 THEN id % 11 END AS k").repartition(7)
+    got = issues.placed(rows, "k", "id").collect()
+    want = sorted(((r.k, r.id) for r in rows.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.k, r.id, r.place) for r in got] == [(*w, i) for i, w in enumerate(want)]
+
+
 # ---------------------------------------------------------------- Java
 
 SOURCE = '''package com.acme.web;

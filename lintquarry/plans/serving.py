@@ -528,12 +528,12 @@ LEVEL_ROWS = FLAT_SQL + "SELECT task_id, level, count(*) AS n FROM issues WHERE
 
 @query("report_written", LEVEL_ROWS)
 def report_written(spark, d):
-    """A report's rows written as JSON lines, a folder a task, some of them twice over, and read again."""
+    """A report's rows written as JSON lines, those of some tasks twice over, and read again."""
     at = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
     rows = quality.level_counts(flat(spark, d)).select("task_id", "level", "n")
     files.write_report(rows, at)
     files.write_report(rows.filter("task_id % 2 = 0"), at)
-    return spark.read.schema("level string, n bigint, task_id bigint").json(at)
+    return files.read_report(spark, at, "level string, n bigint, task_id bigint")
 
 
 @query("issues_evolved", FLAT_SQL + "SELECT id, task_id, level, NULL::VARCHAR AS note FROM issues")

@@ -234,6 +234,24 @@ def test_issue_table_replaces_only_its_tasks(spark, tmp_path):
     assert sorted(tuple(r) for r in files.read_issues(spark, path).select("task_id", "id").collect()) == [(1, 1), (2, 3)]
 
 
+def test_reports_and_issues_of_many_tasks_are_few_files(spark, tmp_path):
+    """Tasks are replaced without a folder for each."""
+    rows = spark.range(4000).selectExpr("id AS task_id", "'old' AS level", "id AS n").unionByName(spark.sql("SELECT CAST(null AS BIGINT) AS task_id, 'old' AS level, 7L AS n"))
+    new = rows.filter("task_id % 2 = 0 OR task_id IS NULL").withColumn("level", F.lit("new"))
+    for kind in ("json", "parquet"):
+        at = str(tmp_path / kind)
+        files.write_report(rows, at, kind)
+        files.write_report(new, at, kind)
+        got = {r.task_id: r.level for r in files.read_report(spark, at, "task_id bigint, level string, n bigint", kind).collect()}
+        assert got == {k: "new" if k is None or k % 2 == 0 else "old" for k in [None, *range(4000)]}
+        assert len([p for p in (tmp_path / kind).rglob("*") if p.is_dir()]) < 10
+    files.write_issues(rows, str(tmp_path / "issues"))
+    files.write_issues(new.withColumn("note", F.lit("x")), str(tmp_path / "issues"))
+    got = files.read_issues(spark, str(tmp_path / "issues"))
+    assert got.columns == ["task_id", "level", "n", "note"] and got.count() == 4001 and got.filter("note = 'x'").count() == 2001
+    assert len([p for p in (tmp_path / "issues").rglob("*") if p.is_dir()]) < 10
+
+
 def test_places_of_settings(spark):
     rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 <> 0 THEN id % 11 END AS k").repartition(7)
     got = issues.placed(rows, "k", "id").collect()

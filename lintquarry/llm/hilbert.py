@@ -53,13 +53,16 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def text_bounds(df: DataFrame, name: str, bits: int, most: int = 4096) -> list[str]:
-    """Values that cut a category's values, in order, into 2**bits parts at most: all values count if there are up to ``most``, else so many
-    of them chosen by a hash."""
-    rows = df.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(F.xxhash64(name), name).limit(most).collect()
-    values = sorted(r[0] for r in rows)
-    n = 1 << bits
-    return values[1:] if len(values) <= n else [values[len(values) * k // n] for k in range(1, n)]
+def text_bounds(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Values that cut a category's distinct values, in order, into 2**bits parts at most, of nearly equal numbers. However many there are, all of
+    them are ranked, where they lie; only the bounds come to the driver."""
+    shared, n = Shared(df.sparkSession, "hilbert"), 1 << bits
+    values = shared.table(df.select(name).filter(F.col(name).isNotNull()).distinct(), 16)
+    few = [r[0] for r in values.limit(n + 1).collect()]
+    if len(few) <= n:
+        return sorted(few)[1:]
+    ranks, total = ranked(shared, values, [name], n)
+    return sorted(r[0] for r in ranks.filter(F.col("_rank").isin([total * k // n for k in range(1, n)])).select(name).collect())
 
 
 def size_bounds(df: DataFrame, name: str, bits: int) -> list[float]:
@@ -86,15 +89,13 @@ def with_curve(df: DataFrame, dims: list[Column], bits: int, name: str = "curve"
     return df.withColumn(name, index(*dims))
 
 
-def shards(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
-    """df with shard and slot: runs of the order whose row counts differ by one at most.
+def ranked(shared: Shared, df: DataFrame, order: list[str], least_parts: int) -> tuple[DataFrame, int]:
+    """df with each row's _rank in the order, from 0, and the number of rows.
 
     Rows are range-partitioned on the whole order, so that a cell with a third of all rows is still dealt over many
     tasks; the sorted partitions are written once, and their sizes, a row each, tell where each begins.
     """
-    spark = df.sparkSession
-    shared = Shared(spark, "hilbert")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_shards)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least_parts)
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     ranged = shared.table(ranged)
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
@@ -104,13 +105,18 @@ def shards(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
     sizes = shared.table(sizes.withColumn("_before", F.coalesce(before, F.lit(0))), 16)
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     ranged = ranged.withColumn("_part", part).join(F.broadcast(sizes.select("_part", "_before")), "_part")  # no more rows than the session has shuffle partitions
+    return ranged.withColumn("_rank", F.col("_before") + row).drop("_at", "_part", "_before"), total
+
+
+def shards(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
+    """df with shard and slot: runs of the order whose row counts differ by one at most."""
+    ranks, total = ranked(Shared(df.sparkSession, "hilbert"), df, order, n_shards)
     small, larger = divmod(total, n_shards)  # the first ``larger`` shards have one row more
     edge = larger * (small + 1)
     rank = F.col("_rank")
     shard = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(larger + F.floor((rank - edge) / max(small, 1)))
     start = F.least(F.col("shard"), F.lit(larger)) + F.col("shard") * small
-    out = ranged.withColumn("_rank", F.col("_before") + row).withColumn("shard", shard.cast("int")).withColumn("slot", (rank - start).cast("bigint"))
-    return out.drop("_at", "_rank", "_part", "_before")
+    return ranks.withColumn("shard", shard.cast("int")).withColumn("slot", (rank - start).cast("bigint")).drop("_rank")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, bits: int = 5) -> DataFrame:

@@ -251,3 +251,12 @@ def test_shards_are_the_cuts_of_one_sort_and_narrow_in_each_dimension(spark):
                 ranges.setdefault((d, r.shard), []).append(v)
     read = lambda d, values: sum(min(v) <= x <= max(v) for x in values for (e, _), v in ranges.items() if e == d) / len(values)
     assert read(0, "abcd") < 9 and read(1, [f"s{k:02}" for k in range(20)]) < 10 and read(2, [30, 100, 300, 1000, 3000]) < 9
+
+
+def test_bounds_of_a_category_come_from_all_its_values(spark):
+    values = [f"v{i * 7919 % 9001:05d}" for i in range(9001)]
+    rows = spark.createDataFrame([(v,) for v in values * 2] + [(None,)], "source string").repartition(5)
+    assert hilbert.text_bounds(rows, "source", 5) == [sorted(values)[9001 * k // 32] for k in range(1, 32)]
+    assert hilbert.text_bounds(rows.filter("source < 'v00032'"), "source", 5) == [f"v{i:05d}" for i in range(1, 32)]
+    assert len(hilbert.text_bounds(rows.filter("source < 'v00033'"), "source", 5)) == 31
+    assert hilbert.text_bounds(rows.filter("source IS NULL"), "source", 5) == []

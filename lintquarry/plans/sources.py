@@ -44,7 +44,7 @@ def java_files(spark, d):
     }
     for name, value in values.items():
         text = F.replace(text, F.lit(name), value)
-    return tables.spread(tables.read(spark, d, "part")).select((k % 10).alias("task_id"), F.concat(F.lit("C"), k.cast("string"), F.lit(".java")).alias("file_path"), text.alias("content"))
+    return tables.spread(tables.read(spark, d, "part"), tables.SPREAD_ROWS).select((k % 10).alias("task_id"), F.concat(F.lit("C"), k.cast("string"), F.lit(".java")).alias("file_path"), text.alias("content"))
 
 
 JAVA_SQL = """WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS task_id, 'C' || p_partkey || '.java' AS file_path FROM part), h AS (

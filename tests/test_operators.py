@@ -252,6 +252,15 @@ def test_reports_and_issues_of_many_tasks_are_few_files(spark, tmp_path):
     assert len([p for p in (tmp_path / "issues").rglob("*") if p.is_dir()]) < 10
 
 
+def test_tables_are_spread_by_their_rows(spark, tmp_path):
+    from lintquarry.sources import tables
+
+    spark.range(1000).write.parquet(str(tmp_path / "t.parquet"))
+    got = tables.spread(tables.read(spark, str(tmp_path), "t"), 30)
+    sizes = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 34 and max(sizes) <= 40 and sum(sizes) == 1000
+
+
 def test_places_of_settings(spark):
     rows = spark.range(5000).selectExpr("id", "CASE WHEN id % 5 <> 0 THEN id % 11 END AS k").repartition(7)
     got = issues.placed(rows, "k", "id").collect()

@@ -385,6 +385,33 @@ def test_hits_over_files(spark):
     assert level["UNUSED_METHOD"] == ("MAJOR", 0, "other") and level["SEC_SQL_INJECTION"] == ("BLOCKER", 5, "security")
 
 
+def test_wanted_relations_are_those_of_a_whole_reading(spark):
+    text = "class A { int total = 1; void m(String s) { " + "if (s.length() > 5) { total = total + 5 / 2; } " * 12 + "} }"
+    files = spark.createDataFrame([(1, "A.java", text), (1, "B.java", "class {"), (2, "C.java", None)], "task_id long, file_path string, content string")
+    whole = java_rules.read(files).persist()
+    for kinds in (["tokens"], ["null_candidate", "guard"], ["hit", "method"]):
+        some = java_rules.read(files, kinds=kinds)
+        assert set(some.columns) == {"task_id", "file_path", "kind", "error", *kinds}
+        for kind in (*kinds, "error"):
+            assert sorted(map(str, java_rules.relation(some, kind).collect())) == sorted(map(str, java_rules.relation(whole, kind).collect()))
+    whole.unpersist()
+    with pytest.raises(ValueError):
+        java_rules.read(files, kinds=["token"])
+
+
+def test_java_tokens_with_spaces_comments_and_signs():
+    from lintquarry.sources.java_ast import tokenize
+
+    tokens, comments = tokenize("a  /= .5 /* x\n*/ + b.c(...) // end\n\t'\\n' \"\"\"\n q\"\"\" >>>= 1 ")
+    assert [(t.kind, t.text, t.line) for t in tokens] == [
+        ("name", "a", 1), ("op", "/=", 1), ("number", ".5", 1), ("op", "+", 2), ("name", "b", 2), ("op", ".", 2), ("name", "c", 2), ("op", "(", 2), ("op", "...", 2), ("op", ")", 2),
+        ("char", "'\\n'", 3), ("text", '"""\n q"""', 3), ("op", ">>>=", 4), ("number", "1", 4), ("end", "", 4),
+    ]
+    assert [(c.text, c.start) for c in comments] == [("/* x\n*/", 9), ("// end", 28)]
+    with pytest.raises(SyntaxError, match="line 2: '#'"):
+        tokenize("a\n # b")
+
+
 def test_java_files_take_time_in_proportion_to_their_size():
     """Every rule over a generated class: many methods, chains of calls, guards and locals in one."""
     import time

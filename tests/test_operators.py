@@ -385,6 +385,22 @@ def test_hits_over_files(spark):
     assert level["UNUSED_METHOD"] == ("MAJOR", 0, "other") and level["SEC_SQL_INJECTION"] == ("BLOCKER", 5, "security")
 
 
+def test_windows_are_stretches_of_a_file_put_together_once(spark, monkeypatch):
+    from hashlib import md5
+
+    monkeypatch.setattr(duplicates, "BATCH_WINDOWS", 7)
+    words = [f"w{k % 13}é" for k in range(60)]
+    odd = " \t\x0b".join(words) + "\f\r\n"
+    rows = [(1, "a", odd), (None, "b", "x\u00a0y " * 5), (1, "c", "one two"), (2, "d", None), (2, "e", " ".join(words[:5]))]
+    df = spark.createDataFrame(rows, "task_id long, file_path string, content string").coalesce(1)
+    found = duplicates.windows(df, 5)
+    assert "transform" not in found._jdf.queryExecution().executedPlan().toString()  # no array of words is cut for each window
+    expected = {(1, "a", i, md5((" ".join(words[i : i + 5]) + " ").encode()).hexdigest()) for i in range(56)} | {(None, "b", 0, md5(("x\u00a0y " * 5).encode()).hexdigest()), (2, "e", 0, md5((" ".join(words[:5]) + " ").encode()).hexdigest())}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    assert [r.file_path for r in duplicates.windows(df, 5, max_bytes=50).select("file_path").distinct().orderBy("file_path").collect()] == ["b", "e"]
+
+
 def test_wanted_relations_are_those_of_a_whole_reading(spark):
     text = "class A { int total = 1; void m(String s) { " + "if (s.length() > 5) { total = total + 5 / 2; } " * 12 + "} }"
     files = spark.createDataFrame([(1, "A.java", text), (1, "B.java", "class {"), (2, "C.java", None)], "task_id long, file_path string, content string")

@@ -428,6 +428,39 @@ def test_java_tokens_with_spaces_comments_and_signs():
         tokenize("a\n # b")
 
 
+def test_a_file_that_is_read_leaves_no_tree(monkeypatch):
+    import gc
+
+    from lintquarry.operators import java_rules
+    from lintquarry.sources.java_ast import Node
+
+    gc.collect()
+    before = sum(isinstance(x, Node) for x in gc.get_objects())
+    gc.disable()
+    try:
+        rows = [java_rules.facts("A.java", "class A { int f(String s) { if (s != null) { return s.length(); } int n = 4711; return n; } }") for _ in range(5)]
+        left = sum(isinstance(x, Node) for x in gc.get_objects()) - before
+    finally:
+        gc.enable()
+    assert left == 0 and all(r == rows[0] and any(k == "hit" for k, _ in r) for r in rows)
+
+
+def test_duplicates_of_many_small_files_are_handed_over_together(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import DataFrame
+
+    from lintquarry.operators import duplicates
+
+    made, was = [], spark.range(1).__class__.mapInArrow
+    monkeypatch.setattr(spark.range(1).__class__, "mapInArrow", lambda self, f, schema: made.append(f) or was(self, f, schema))
+    tokens = spark.createDataFrame([(1, f"f{k}", [f"w{i + k % 2}" for i in range(30)]) for k in range(50)], "task_id bigint, file_path string, t array<string>")
+    assert isinstance(tokens, DataFrame) and duplicates.repeated(tokens, 10).count() == 50 * 21
+    h = pa.array([list(range(k, k + 30)) for k in range(50)], pa.list_(pa.int64()))
+    given = [pa.array([1] * 50), pa.array([f"f{k}" for k in range(50)]), h]
+    for f, more, names in ((made[0], [], []), (made[1], [h], ["marks"])):
+        assert len([*f([pa.RecordBatch.from_arrays([*given, *more], ["task_id", "file_path", "h", *names])])]) <= 1
+
+
 def test_java_files_take_time_in_proportion_to_their_size():
     """Every rule over a generated class: many methods, chains of calls, guards and locals in one."""
     import time

@@ -19,10 +19,11 @@ GROUP = ["task_id", "file_path", "rule_code"]
 def apply_rule_settings(hits: DataFrame, review_rule: DataFrame) -> DataFrame:
     """Hits of rules that aren't switched off, at the level that the rule's row asks for.
 
-    Only ``false`` switches a rule off; only a level's exact name overrides, and then severity follows.
+    Only ``false`` switches a rule off; only a level's exact name overrides, and then severity follows. The settings, a row for each rule, go to the
+    hits: by their code the hits would stand in as many tasks as there are codes, most of them in one, and stay there for all that follows.
     """
     rules = review_rule.groupBy("rule_code").agg(F.max_by("is_enabled", "sort_order").alias("_on"), F.max_by("default_level", "sort_order").alias("_level"))
-    out = hits.join(rules, "rule_code", "left").filter(~F.col("_on").eqNullSafe(False))
+    out = hits.join(F.broadcast(rules), "rule_code", "left").filter(~F.col("_on").eqNullSafe(False))
     override = F.when(F.col("_level").isin(*LEVELS), F.col("_level"))
     return out.withColumn("severity", F.coalesce(lookup(RANK, override), "severity")).withColumn("level", F.coalesce(override, "level")).drop("_on", "_level")
 

@@ -54,6 +54,13 @@ def verdict(spark, blocker=0, critical=0, major=0, minor=0, gate=quality.Gate())
     return r.score, r.grade, r.passed
 
 
+def test_hits_of_one_rule_stay_in_many_tasks(spark):
+    hits = spark.range(0, 4000, 1, 4).selectExpr("id AS task_id", "'f' AS file_path", "'MAGIC_NUMBER' AS rule_code", "'MINOR' AS level", "2 AS severity")
+    out = govern.apply_rule_settings(hits, spark.createDataFrame([("MAGIC_NUMBER", None, None, "BLOCKER", None, 1)], REVIEW_RULE))
+    places = out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level")).collect()
+    assert len(places) == 4 and all(r.n == 1000 and r.level == "BLOCKER" for r in places)
+
+
 def test_gate(spark):
     assert verdict(spark, critical=2, major=2, minor=3) == (57, "POOR", False)
     assert verdict(spark, major=4) == (80, "GOOD", True)

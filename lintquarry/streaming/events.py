@@ -36,45 +36,64 @@ def record_states(events: DataFrame) -> DataFrame:
     return events.groupBy("record_id").agg(F.coalesce(F.max(F.when(F.col("status") == "SUCCESS", F.lit("SUCCESS"))), last["status"]).alias("status"))
 
 
-#: What a record's state holds: its status, the time of the event that gave it, and how many rows it has put out.
-STATE = "status string, ts timestamp, n bigint"
+#: What the state of a group of records holds of each: its status, the time of the event that gave it (microseconds), how many rows it has put out,
+#: and when it is given up (milliseconds).
+STATE = "record_id array<bigint>, status array<string>, ts array<bigint>, n array<bigint>, due array<bigint>"
 STATUS_ROWS = "record_id bigint, status string, ts timestamp, n bigint"
 
 
-def record_status_stream(events: DataFrame, late: str = "1 day", expire_ms: int | None = None) -> DataFrame:
+def record_status_stream(events: DataFrame, late: str = "1 day", expire_ms: int | None = None, buckets: int = 1024) -> DataFrame:
     """How records' states change, as a stateful stream: a row (record_id, status, ts, n) for each batch that changes one, n counting up.
 
     events: record_id, status, ts. A record that has succeeded stays so; otherwise the newest event counts, so one that comes late
     doesn't undo a newer one. Records that haven't ended are given up (EXPIRED) when the watermark is ``expire_ms`` past their last event; their
-    state then goes, as does that of ended ones when nothing about them can come in time any more.
+    state then goes, as does that of ended ones when nothing about them can come in time any more. Records are kept in ``buckets`` by their hash,
+    as handing a group to Python costs milliseconds and a record in it microseconds; a stream keeps the number that it began with.
     """
     def change(key, batches, state):
         import pandas as pd
 
-        now = state.get if state.exists else (None, None, 0)
-        if state.hasTimedOut:
+        held = {r: now for r, *now in zip(*state.get, strict=True)} if state.exists else {}
+        was = {}
+        for rows in batches:
+            at = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+            for r, s, t in zip(rows["record_id"].tolist(), rows["status"].tolist(), at, strict=True):
+                now = held.get(r)
+                if now is None:
+                    held[r], was[r] = [s, t, 0, 0], None
+                    continue
+                was.setdefault(r, (now[0], now[1]))
+                if now[0] != "SUCCESS" and (s == "SUCCESS" or (t, s) > (now[1], now[0])):
+                    now[0], now[1] = s, t
+        out = []
+        for r, before in was.items():
+            now = held[r]
+            if (now[0], now[1]) != before:
+                now[2] += 1
+                out.append((r, *now[:3]))
+        if expire_ms is not None:
+            mark = state.getCurrentWatermarkMs()
+            for r in was:
+                held[r][3] = max(held[r][1] // 1000 + expire_ms, mark + 1)
+            for r in [r for r, now in held.items() if now[3] < mark]:
+                status, ts, n, _ = held.pop(r)
+                if status not in ENDED:
+                    out.append((r, "EXPIRED", ts, n + 1))
+        if out:
+            made = pd.DataFrame(out, columns=["record_id", "status", "ts", "n"])
+            yield made.assign(ts=pd.to_datetime(made["ts"], unit="us"))
+        if not held:
             state.remove()
-            if now[0] not in ENDED:
-                yield pd.DataFrame({"record_id": [key[0]], "status": ["EXPIRED"], "ts": [now[1]], "n": [now[2] + 1]})
             return
-        status, ts, n = now
-        for rows in batches:
-            for s, t in zip(rows["status"], rows["ts"], strict=True):
-                won = s == "SUCCESS" and status != "SUCCESS"
-                newer = ts is None or (t, s) > (ts, status)
-                if won or status != "SUCCESS" and newer:
-                    status, ts = s, t
-        if (status, ts) != now[:2]:
-            n += 1
-            yield pd.DataFrame({"record_id": [key[0]], "status": [status], "ts": [ts], "n": [n]})
-        state.update((status, ts, n))
+        state.update(tuple(map(list, zip(*((r, *now) for r, now in held.items()), strict=True))))
         if expire_ms is not None:
-            state.setTimeoutTimestamp(max(int(ts.timestamp() * 1000) + expire_ms, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(min(now[3] for now in held.values()), mark))
 
     ship(events.sparkSession)
     timeout = GroupStateTimeout.EventTimeTimeout if expire_ms is not None else GroupStateTimeout.NoTimeout
     keyed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(F.col("record_id").cast("bigint").alias("record_id"), "status", "ts").filter("record_id IS NOT NULL AND status IS NOT NULL AND ts IS NOT NULL")
-    return keyed.groupBy("record_id").applyInPandasWithState(change, STATUS_ROWS, STATE, "append", timeout)
+    bucketed = keyed.withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets)))
+    return bucketed.groupBy("bucket").applyInPandasWithState(change, STATUS_ROWS, STATE, "append", timeout)
 
 
 ENDED = ("SUCCESS", "FAILED")

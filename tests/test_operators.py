@@ -677,6 +677,41 @@ def test_record_states_of_a_stream_with_late_events_and_expiry(spark, tmp_path):
     assert run("c", [(5, "PENDING", at(20))]) == {1: "EXPIRED", 2: "SUCCESS", 3: "EXPIRED", 4: "SUCCESS", 5: "PENDING"}
 
 
+@pytest.mark.parametrize("buckets", [1, 1024])
+def test_records_of_one_bucket_have_states_of_their_own(spark, tmp_path, buckets):
+    from datetime import datetime
+
+    from lintquarry.streaming import events
+
+    schema = "record_id bigint, status string, ts timestamp"
+    at = lambda d, h=0: datetime(2026, 1, d, h, 0, 0, 123456)
+
+    def run(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        out = events.available_now(events.record_status_stream(stream, "2 days", 5 * 86_400_000, buckets), f"{tmp_path}/out", f"{tmp_path}/progress")
+        last = F.max_by(F.struct("status", "ts", "n"), "n").alias("x")
+        return {r.record_id: tuple(r.x) for r in out.groupBy("record_id").agg(last).collect()}
+
+    run("a", [(1, "PENDING", at(1)), (2, "RUNNING", at(1)), (3, "SUCCESS", at(1)), (4, "RUNNING", at(4))])
+    # the watermark comes to the seventh: record 1 lives on by what it was given, 2 is given up, 3 has ended
+    want = {1: ("RUNNING", at(3), 2), 2: ("EXPIRED", at(1), 2), 3: ("SUCCESS", at(1), 1), 4: ("RUNNING", at(4), 1), 5: ("PENDING", at(9), 1)}
+    assert run("b", [(1, "RUNNING", at(3)), (4, "PENDING", at(3)), (5, "PENDING", at(9))]) == want
+    # at the 28th the rest is given up
+    assert run("c", [(6, "PENDING", at(30))]) == want | {1: ("EXPIRED", at(3), 3), 4: ("EXPIRED", at(4), 2), 5: ("EXPIRED", at(9), 2), 6: ("PENDING", at(30), 1)}
+
+
+def test_a_stream_of_many_records_keeps_few_states(spark, tmp_path):
+    from lintquarry.streaming import events
+
+    spark.range(9000).selectExpr("id AS record_id", "'RUNNING' AS status", "TIMESTAMP '2026-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/in")
+    out = events.record_status_stream(events.event_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema))
+    query = out.writeStream.format("memory").queryName("many_records").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("many_records").agg(F.count_distinct("record_id")).first()[0] == 9000
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+
+
 def test_only_changed_files_are_parsed_again(spark):
     from lintquarry.operators import scan
 

@@ -76,5 +76,5 @@ def raw_hits(files: DataFrame, dependencies: DataFrame | None = None, advisories
 
 
 def governed(files: DataFrame, review_rule: DataFrame, ignore_rules: list[dict] | DataFrame, dependencies: DataFrame | None = None, advisories: DataFrame | None = None, params: dict | None = None) -> DataFrame:
-    """From a snapshot to its merged issues."""
-    return govern.govern(raw_hits(files, dependencies, advisories, params), review_rule, ignore_rules)
+    """From a snapshot to its merged issues. The hits are stored, as merging looks at them twice and would find them twice."""
+    return govern.govern(stored(raw_hits(files, dependencies, advisories, params)), review_rule, ignore_rules)

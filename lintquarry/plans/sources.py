@@ -67,7 +67,7 @@ def java_ast_rules(spark, d):
 
 @query("java_scan_merged", JAVA_SQL + " SELECT task_id, file_path, rule_code, count(*) AS occurrence_count, min(line_start)::INT AS line_start FROM h GROUP BY ALL")
 def java_scan_merged(spark, d):
-    h = java_rules.all_hits(read_files(spark, d))
+    h = stored(java_rules.all_hits(read_files(spark, d)))  # merging looks at the hits twice
     h = h.withColumn("is_ignored", F.lit(False)).withColumn("description", F.col("title")).withColumn("checker_name", F.col("checker_type")).withColumn("suggestion", F.lit(None).cast("string")).withColumn("ai_generated", F.lit(False)).withColumn("seq", F.col("line_start"))
     return govern.merge(h).select("task_id", "file_path", "rule_code", "occurrence_count", "line_start")
 

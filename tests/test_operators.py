@@ -774,3 +774,39 @@ def test_windows_that_may_be_repeated(spark, n, control):
     every, some = duplicates.chained(tokens, n, control), duplicates.repeated(tokens, n, control)
     assert rows(again(every)) and rows(again(some)) == rows(again(every))
     assert some.filter("file_path LIKE 'own%'").count() == 0 and every.filter("file_path LIKE 'own%'").count() > 40 * 280
+
+
+@pytest.mark.parametrize("n,control,tokens_of_slice", [(9, True, 1 << 16), (20, False, 500), (2, True, 1)])
+def test_stretches_of_windows_give_the_blocks_of_single_windows(spark, monkeypatch, n, control, tokens_of_slice):
+    """A row for windows that go on alike: blocks and hits are those of a row a window, with far fewer rows."""
+    from lintquarry.session import stored
+
+    monkeypatch.setattr(duplicates, "SLICE_TOKENS", tokens_of_slice)
+    rng = random.Random(n)
+    fresh = lambda size: [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    common, loop, other = fresh(150), fresh(3), fresh(60)
+    texts = [fresh(40) + common + fresh(40), common[25:] + fresh(20), fresh(10) + common + fresh(30) + common, loop * 12, ["x"] * 40, fresh(5) + loop * 9, ["x"] * 30 + common[:70] + ["x"] * 30, fresh(n), other + other, other[7:] + fresh(9), [], None]
+    texts += [rng.choice([common, other])[rng.randrange(30) :][: rng.randrange(60)] + rng.choice([loop * 5, fresh(7), []]) + rng.choice([common, other])[: rng.randrange(60)] for _ in range(25)]
+    flow = lambda w: [{"s": s, "e": s + rng.randrange(40)} for s in sorted(rng.randrange(1, 1 + len(w or "x")) for _ in range(rng.randrange(4)))]
+    files = [(1 + (i % 3 == 2), f"f{i:02d}", t, None if t is None else [1 + k // 2 for k in range(len(t))], flow(t)) for i, t in enumerate(texts)]
+    files += [(2, f, t, lines, ranges) for task, f, t, lines, ranges in files if task == 1 and t][:6]
+    tokens = spark.createDataFrame(files, "task_id bigint, file_path string, t array<string>, lines array<int>, controls array<struct<s:int,e:int>>")
+    rows = lambda df: sorted(str(sorted(r.asDict(True).items())) for r in df.collect())
+    every, some = stored(duplicates.chained(tokens, n, control)), stored(duplicates.stretched(tokens, n, control))
+    want, got = stored(duplicates.blocks(every, n)), stored(duplicates.blocks(some, n))
+    assert rows(want) and rows(got) == rows(want)
+    assert rows(duplicates.hits(got, n)) == rows(duplicates.hits(want, n))
+    assert rows(duplicates.blocks(duplicates.stretched(tokens.drop("lines", "controls"), n), n)) == rows(duplicates.blocks(duplicates.chained(tokens.drop("lines", "controls"), n), n))
+    # copies of whole files are alike everywhere, and what stands once has no row
+    copies = spark.createDataFrame([(1, f"c{k}", common) for k in range(20)] + [(1, f"own{k}", fresh(150)) for k in range(20)], "task_id bigint, file_path string, t array<string>")
+    once = stored(duplicates.stretched(copies, n)).groupBy(F.substring("file_path", 1, 3)).agg(F.count("m"), F.sum("m")).collect() if n >= 8 else []
+    assert all(r[0] != "own" for r in once) and sum(r[2] for r in once) == (20 * (150 - n + 1) if once else 0) and (n < 20 or sum(r[1] for r in once) < 20 * 70)
+
+
+def test_dup_hits_reads_only_tokens(spark, monkeypatch):
+    from lintquarry.plans import java_cases
+
+    asked, was = [], java_rules.read
+    monkeypatch.setattr(java_rules, "read", lambda files, params=None, kinds=None: asked.append(kinds) or was(files, params, kinds))
+    monkeypatch.setattr(java_cases, "twin_files", lambda spark, d: spark.range(10).select(F.lit(1).alias("task_id"), F.concat(F.lit("T"), "id").alias("file_path"), F.replace(F.replace(F.lit(java_cases.TWINS), F.lit("@"), F.col("id").cast("string")), F.lit("#"), (F.col("id") % 5).cast("string")).alias("content")))
+    assert java_cases.dup_hits(spark, None).count() == 5 and asked == [["tokens"]]
